@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import sharding
+from tidegate.llm import chat, fingerprints, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_shard_tree": sharding.query,
+        "op3_merkle_fingerprints": fingerprints.query,
+        "op6_perspective_rotation": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_shard_tree": sharding.sql(),
+        "op3_merkle_fingerprints": fingerprints.sql(),
+        "op6_perspective_rotation": chat.sql(),
     }
