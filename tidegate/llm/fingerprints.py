@@ -47,11 +47,17 @@ def leaves_of(fingerprint: Column) -> Column:
     return F.regexp_extract_all(F.substring(fingerprint, ROOT_HEX + 2, 2**31 - 1), F.lit(f"[0-9a-f]{{{LEAF_HEX}}}"), F.lit(0))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two fingerprints; 1 exactly for equal ones."""
-    x, y = F.array_distinct(leaves_of(a)), F.array_distinct(leaves_of(b))
-    common = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
-    return F.when(F.substring(a, 1, ROOT_HEX) == F.substring(b, 1, ROOT_HEX), F.lit(1.0)).otherwise(F.least(common, F.lit(1.0) - F.lit(1e-9)))
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``df`` with ``out``: 0 to 1 for the fingerprints in columns a and b; 1 exactly for equal ones."""
+    # the distinct leaves stand as columns of their own, so that each list is made once
+    df = df.withColumns({"__x": F.array_distinct(leaves_of(F.col(a))), "__y": F.array_distinct(leaves_of(F.col(b)))})
+    common = F.size(F.array_intersect("__x", "__y")) / F.greatest(F.size("__x"), F.size("__y"), F.lit(1))
+    same = F.substring(a, 1, ROOT_HEX) == F.substring(b, 1, ROOT_HEX)
+    return df.withColumn(out, F.when(same, F.lit(1.0)).otherwise(F.least(common, F.lit(1.0 - 1e-9)))).drop("__x", "__y")
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    return df.withColumn("__tree", tree(F.col(text))).withColumn(out, fingerprint_of(F.col("__tree"))).drop("__tree")
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
@@ -100,7 +106,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy(F.desc("__range"))  # over at most MAX_RANGES + CELLS + 1 rows
     last = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("__range", "__head", F.coalesce(F.lag("__range").over(order), F.last("__range").over(last)).alias("__before"))
-    rows = ranged.withColumn("fingerprint", fingerprint_of(tree(F.col("text")))).join(F.broadcast(heads), "__range")
+    rows = with_fingerprint(ranged, "text", "fingerprint").join(F.broadcast(heads), "__range")
     copies = F.when(F.col("doc_id").eqNullSafe(F.col("__head")), F.array(F.struct(F.col("__range").alias("at"), F.lit(0).alias("copy")), F.struct(F.col("__before").alias("at"), F.lit(1).alias("copy")))).otherwise(
         F.array(F.struct(F.col("__range").alias("at"), F.lit(0).alias("copy")))
     )
@@ -119,8 +125,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs.select("doc_id", "text"))
     third = F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.length("text") - third), F.col("next_text").substr(F.lit(1), third)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint_of(tree(F.col("edited"))).alias("edited_fingerprint"), "next_fingerprint")
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    rows = with_fingerprint(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fingerprint")
+    rows = with_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
+    rows = with_likeness(rows, "fingerprint", "next_fingerprint", "near_next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

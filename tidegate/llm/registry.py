@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import chat, fingerprints, sharding
+from tidegate.llm import chat, fingerprints, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
         "op2_shard_tree": sharding.query,
         "op3_merkle_fingerprints": fingerprints.query,
         "op6_perspective_rotation": chat.query,
+        "op7_secret_novelty": secrets.query,
+        "op10_quality_trees": quality.query,
     }
 
 
