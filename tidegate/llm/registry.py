@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import chat, fingerprints, quality, secrets, sharding
+from tidegate.llm import chat, fingerprints, quality, secrets, sentencepieces, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece_trie": sentencepieces.query,
         "op2_shard_tree": sharding.query,
         "op3_merkle_fingerprints": fingerprints.query,
         "op6_perspective_rotation": chat.query,
