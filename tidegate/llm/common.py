@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+def words_of(text: str, lower: bool = False) -> list[bytes]:
+    """The words of ``WORD`` in UTF-8; ``lower`` turns A-Z, and only these, to lower case.
 
-def lower_ascii(text: str) -> str:
-    return text.translate(_LOWER)
+    bytes.split() cuts at exactly the characters that WORD leaves out, bytes.lower() changes ASCII alone.
+    """
+    raw = text.encode("utf-8", "replace")
+    return (raw.lower() if lower else raw).split()
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import chat, fingerprints, quality, secrets, sentencepieces, sharding
+from tidegate.llm import chat, decontamination, fingerprints, quality, secrets, sentencepieces, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +16,10 @@ def queries() -> dict[str, Query]:
         "op1_sentencepiece_trie": sentencepieces.query,
         "op2_shard_tree": sharding.query,
         "op3_merkle_fingerprints": fingerprints.query,
+        "op5_simhash_bktree": simhash.query,
         "op6_perspective_rotation": chat.query,
         "op7_secret_novelty": secrets.query,
+        "op9_simhash_windows": decontamination.query,
         "op10_quality_trees": quality.query,
     }
 
