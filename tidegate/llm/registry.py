@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import chat, decontamination, fingerprints, quality, secrets, sentencepieces, sharding, simhash
+from tidegate.llm import chat, decontamination, fingerprints, quality, secrets, sentencepieces, sharding, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_sentencepiece_trie": sentencepieces.query,
         "op2_shard_tree": sharding.query,
         "op3_merkle_fingerprints": fingerprints.query,
+        "op4_prefix_suffix_trees": substrings.query,
         "op5_simhash_bktree": simhash.query,
         "op6_perspective_rotation": chat.query,
         "op7_secret_novelty": secrets.query,
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_shard_tree": sharding.sql(),
         "op3_merkle_fingerprints": fingerprints.sql(),
+        "op4_prefix_suffix_trees": substrings.sql(),
         "op6_perspective_rotation": chat.sql(),
     }
