@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidegate.plans import admission
+from tidegate.plans import admission, record
 
-QUERIES = {**admission.QUERIES}
+QUERIES = {**admission.QUERIES, **record.QUERIES}
