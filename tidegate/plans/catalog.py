@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidegate.plans import admission, record
+from tidegate.plans import admission, federated, record
 
-QUERIES = {**admission.QUERIES, **record.QUERIES}
+QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES}
