@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidegate.plans import admission, federated, record
+from tidegate.plans import admission, evaluation, federated, record
 
-QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES}
+QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES, **evaluation.QUERIES}
