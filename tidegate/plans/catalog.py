@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidegate.plans import admission, evaluation, federated, record
+from tidegate.plans import admission, evaluation, federated, learning, record
 
-QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES, **evaluation.QUERIES}
+QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES, **evaluation.QUERIES, **learning.QUERIES}

@@ -1,0 +1,94 @@
+"""A three-tank plant with hysteresis control, dead time and correlated flow noise, one site a group."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SCHEMA = "site long, step long, L_T1 double, L_T2 double, L_T3 double, F_PU1 double, F_PU2 double, F_PU3 double, F_PU4 double, S_PU1 int, S_PU2 int, S_PU3 int, S_PU4 int, DEMAND double, ATT_FLAG int"
+KINDS = ("level_freeze", "level_offset", "pump_stuck_off", "flow_scale")
+
+
+@dataclass(frozen=True)
+class Plant:
+    """Fixed values of the simulated plant."""
+
+    area: tuple = (12.0, 15.0, 10.0)
+    qnom: tuple = (2.20, 2.05, 1.95, 2.00)
+    low: tuple = (2.0, 2.5, 1.8)
+    high: tuple = (4.5, 5.0, 4.0)
+    start: tuple = (3.2, 3.6, 2.9)
+    dt: float = 1.0
+    level_noise: float = 0.004
+    flow_noise: float = 0.020
+    rho: float = 0.55
+    delay: int = 2
+    period: int = 1440
+    depth: float = 0.45
+
+
+def attacks(n: int, count: int = 6) -> list[tuple[int, int, str]]:
+    """(start, end, kind): windows spread over the inner 76 % of a record, kinds in turn."""
+    a, b = int(0.12 * n), int(0.88 * n)
+    width = max(1, (b - a) // (2 * max(1, count)))
+    return [(a + i * (b - a) // count, a + i * (b - a) // count + width, KINDS[i % len(KINDS)]) for i in range(count)]
+
+
+def simulate(n: int, seed: int, plant: Plant = Plant(), scripted: list | None = None, shift: float = 0.0, site: int = 0) -> pd.DataFrame:
+    """Order of a step: control, dead time, flow, balance, clipping, attack on the record."""
+    rng = np.random.default_rng(seed)
+    area, q = np.array(plant.area) * (1 + 0.10 * shift), np.array(plant.qnom) * (1 + 0.12 * shift)
+    low, high = np.array(plant.low) * (1 + 0.06 * shift), np.array(plant.high) * (1 + 0.06 * shift)
+    white = rng.normal(0, plant.flow_noise * np.sqrt(1 - plant.rho**2), (n, 4))
+    sensor = rng.normal(0, plant.level_noise, (n, 3))
+    t = np.arange(n)
+    demand = np.clip(1 - plant.depth * np.cos(2 * np.pi * t / plant.period) + rng.normal(0, 0.02, n), 0.15, 1.25)
+    level, want, noise = np.array(plant.start, float), np.ones(4, int), np.zeros(4)
+    queue = [want.copy() for _ in range(plant.delay + 1)]
+    kind_at = {}
+    for start, end, kind in scripted or []:
+        kind_at.update(dict.fromkeys(range(start, min(end, n)), kind))
+    rows = np.zeros((n, 13))
+    shown = level.copy()
+    for i in range(n):
+        for k in range(3):  # pump k fills tank k
+            want[k] = 1 if level[k] < low[k] else 0 if level[k] > high[k] else want[k]
+        want[3] = int(demand[i] > 0.35)
+        queue.append(want.copy())
+        s = queue.pop(0).copy()
+        kind = kind_at.get(i)
+        if kind == "pump_stuck_off":
+            s[0] = 0
+        noise = plant.rho * noise + white[i]
+        flow = np.maximum(s * (q + noise), 0)
+        flow[3] *= demand[i]
+        net = np.array([flow[0] - flow[1], flow[1] - flow[2], flow[2] - flow[3]])
+        level = np.clip(level + plant.dt * net / area, 0.05, 12.0)
+        seen, seen_flow = level + sensor[i], flow.copy()
+        if kind == "level_freeze":
+            seen[0] = shown[0]
+        elif kind == "level_offset":
+            seen[1] += 0.8
+        elif kind == "flow_scale":
+            seen_flow[1] *= 1.4
+        shown = seen
+        rows[i] = [*seen, *seen_flow, *s, demand[i], kind is not None]
+    names = ["L_T1", "L_T2", "L_T3", "F_PU1", "F_PU2", "F_PU3", "F_PU4", "S_PU1", "S_PU2", "S_PU3", "S_PU4", "DEMAND", "ATT_FLAG"]
+    out = pd.DataFrame(rows, columns=names).astype({c: "int32" for c in names if c.startswith("S_") or c == "ATT_FLAG"})
+    out.insert(0, "step", t)
+    out.insert(0, "site", site)
+    return out
+
+
+def simulate_sites(sites: DataFrame) -> DataFrame:
+    """Records of all sites; sites: site, n, seed, shift (in [-1, 1]), attacked (boolean). A site's length bounds its group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        return simulate(int(r["n"]), int(r["seed"]), scripted=attacks(int(r["n"])) if r["attacked"] else None, shift=float(r["shift"]), site=int(r["site"]))
+
+    return sites.select(F.col("site").cast("long").alias("site"), "n", "seed", "shift", "attacked").groupBy("site").applyInPandas(run, SCHEMA)
