@@ -68,7 +68,7 @@ LONE = [("digest", pa.binary()), ("first", pa.int64()), ("whole", pa.binary())]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], hot: int, lone: bool) -> Iterator[pa.RecordBatch]:
-    """digest, text, grams, counts -> runs of windows with repeated owners; ``back`` is the owner's place less ``first``.
+    """digest, text, copies, grams, counts -> runs of windows with repeated owners; ``back`` is the owner's place less ``first``.
 
     With ``lone`` the windows of hot owners instead, one by one, with the digest of their 35 words.
     """
@@ -81,7 +81,7 @@ def _runs(batches: Iterator[pa.RecordBatch], hot: int, lone: bool) -> Iterator[p
             for column, value in zip(out, row, strict=True):
                 column.append(value)
 
-        for digest, text, grams, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for digest, text, _, grams, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = words_of(text)
             g, own = owners(words, known)
             held = np.array(grams, np.int64).view(np.uint64)[(np.array(counts) > hot) == lone]
@@ -225,9 +225,10 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     texts = distinct_texts(docs)
     held = with_repeated_grams(docs, texts)
-    runs = held.select("digest", "text", "found.gram", "found.total").mapInArrow(lambda b: _runs(b, hot, False), "digest binary, route long, first long, n int, back int, words binary")
+    # copies goes along so that all uses of the texts share one exchange
+    runs = held.select("digest", "text", "copies", "found.gram", "found.total").mapInArrow(lambda b: _runs(b, hot, False), "digest binary, route long, first long, n int, back int, words binary")
     trees = runs.repartition("route").sortWithinPartitions("route").mapInArrow(_trees, "digest binary, first long, bits long")
-    heavy = held.filter(F.exists("found", lambda x: x["total"] > hot)).select("digest", "text", "found.gram", "found.total")
+    heavy = held.filter(F.exists("found", lambda x: x["total"] > hot)).select("digest", "text", "copies", "found.gram", "found.total")
     whole = heavy.mapInArrow(lambda b: _runs(b, hot, True), "digest binary, first long, whole binary")
     again = whole.groupBy("whole").agg(F.count("*").alias("times")).filter("times > 1")
     found = trees.unionByName(whole.join(again, "whole").select("digest", "first", F.lit(1).cast("long").alias("bits")))
