@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+#: Prefixes that give a role, the form of a flow tag, endings of commands, parts of a balance target's name.
 _CONTINUOUS, _DISCRETE = ("L_", "F_", "P_"), ("S_",)
-_FLOW_TAG = re.compile(r"(^|_)(FIT|FI|FT|FQ|FLOW)[_0-9]", re.I)
+_FLOW_TAG = re.compile(r"F(IT|T|IC)?\d*Z?")
+_COMMANDS = {"CO", "SP"}
+_STORES = ("LIT", "LEVEL", "TANK", "PIT", "PRESSURE", "TIT", "TEMP", "_L_", "_LT_")
+_FLOWS = ("FT", "FIT", "FLOW", "PUMP", "VALVE", "_F_")
 
 
 def role_by_name(channel: str) -> str | None:
@@ -16,12 +20,21 @@ def role_by_name(channel: str) -> str | None:
 
 
 def is_flow(channel: str) -> bool:
-    """A flow meter: F_ at the start, or a flow tag as a part of the name."""
-    return channel.upper().startswith("F_") or bool(_FLOW_TAG.search(channel))
+    """A measured flow: one part of the name is a flow tag, and the name is not that of a command."""
+    *rest, last = channel.upper().split("_")
+    return last not in _COMMANDS and any(_FLOW_TAG.fullmatch(part) for part in [*rest, last])
 
 
-def is_level(channel: str) -> bool:
-    return channel.upper().startswith("L_") or bool(re.search(r"(^|_)LIT[_0-9]?", channel, re.I))
+def is_store(channel: str) -> bool:
+    """Could be the stored quantity of a balance."""
+    u = channel.upper()
+    return u[:1] == "L" or u[-2:] == "_L" or any(s in u for s in _STORES)
+
+
+def may_flow(channel: str) -> bool:
+    """Could be a flow into or out of a store; looser than ``is_flow``."""
+    u = channel.upper()
+    return u[:1] == "F" or u[-2:] == "_F" or any(s in u for s in _FLOWS)
 
 
 def is_analyser(channel: str) -> bool:
