@@ -4,10 +4,10 @@ Two texts are near copies if the sets of their 5-word shingles (lower case A-Z)
 similarity of 0.8 or more; near copies of near copies form a group, of which the document of the least
 doc_id stays.
 
-1. One pass gives each text its digest, a 128-bit SimHash and four min-hash keys. Equal texts are one entry.
-2. Entries are filed in shards by each key; similar texts share at least one with a chance of
-   1 - 0.2 ** 4 at a similarity of 0.8, more above. A shard beyond ``BUCKET`` entries is filed again by pairs
-   of keys, then by three and by all four; only entries that agree in all four share a shard without bound.
+1. One pass gives each text its digest, a 128-bit SimHash and min-hash keys, four for each level. Equal texts are one entry.
+2. Entries are filed in shards by each of four keys; similar texts share at least one with a chance of
+   1 - 0.2 ** 4 at a similarity of 0.8, more above. A shard beyond ``BUCKET`` entries is filed again within itself by the
+   next level's four keys, up to ``LEVELS``; at the last one a shard has no bound, and holds entries that agree in three keys.
 3. Each shard is a BK-tree on Hamming distance. Entries with another one within ``RADIUS`` bits are candidates:
    at a similarity of 0.8 SimHash differs in 19 bits of 128 on average, with a standard deviation of 4.
 4. Candidates' shingles go to their shards once, and links are verified exactly. Entries that are
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,8 @@ from tidegate.llm.common import clean_text, cut, words_of
 from tidegate.llm.decontamination import WordHashes, shingles
 from tidegate.llm.simhash import BKTree
 
-SHINGLE, SIMILARITY, RADIUS, KEYS, BUCKET = 5, 0.8, 32, 4, 4096
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+SHINGLE, SIMILARITY, RADIUS, KEYS, LEVELS, BUCKET = 5, 0.8, 32, 4, 3, 4096
+_MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(KEYS * LEVELS + 2)]
 
 
 def shingle_set(text: str, known: WordHashes) -> np.ndarray:
@@ -49,10 +48,10 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
 def sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
     """SimHash as two signed numbers, and the min-hash keys. An empty set has its own fixed keys."""
     if not len(h):
-        return [0, 0], [0] * KEYS
-    keys = [int(_mixed(h, i).min().view(np.int64)) for i in range(KEYS)]
+        return [0, 0], [0] * (KEYS * LEVELS)
+    keys = [int(_mixed(h, i).min().view(np.int64)) for i in range(KEYS * LEVELS)]
     words = []
-    for i in (KEYS, KEYS + 1):
+    for i in (KEYS * LEVELS, KEYS * LEVELS + 1):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 65536):
             ones += np.unpackbits(_mixed(h[at : at + 65536], i).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -174,18 +173,18 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shards(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """shard, digest, low, high for entries (digest, low, high, keys) that share a shard with another one."""
     done = None
-    filed = entries
-    for level in range(1, KEYS + 1):
-        chosen = F.array(*[F.xxhash64(F.lit(str(c)), *[F.col("keys")[i] for i in c]) for c in combinations(range(KEYS), level)])
-        filed = filed.select("digest", "low", "high", "keys", F.explode(chosen).alias("shard"))
+    filed = entries.withColumn("shard", F.lit(0).cast("long"))
+    for level in range(LEVELS):
+        inner = F.array(*[F.xxhash64("shard", F.lit(i), F.col("keys")[KEYS * level + i]) for i in range(KEYS)])
+        filed = filed.select("digest", "low", "high", "keys", F.explode(inner).alias("shard"))
         counts = filed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
         sized = filed.join(counts, "shard")
-        last = level == KEYS
+        last = level == LEVELS - 1
         here = (sized if last else sized.filter(F.col("n") <= bucket)).select("shard", "digest", "low", "high")
         done = here if done is None else done.unionByName(here)
         if last or counts.filter(F.col("n") > bucket).isEmpty():
             break
-        filed = sized.filter(F.col("n") > bucket).select("digest", "low", "high", "keys").distinct()
+        filed = sized.filter(F.col("n") > bucket).drop("n")
     return done
 
 

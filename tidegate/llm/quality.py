@@ -148,17 +148,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     return fit(np.array([r[2] for r in got]).reshape(len(got), len(STATISTICS)), np.array([r[1] for r in got], dtype=float))
 
 
-def score(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (which must not include score) with ``score``, 0 to 1, higher for better text."""
+def score(docs: DataFrame, forest: Forest, keep: list[str], out: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` with ``out``, 0 to 1, higher for better text; it takes the place of a kept column of its name."""
+    keep = [c for c in keep if c.lower() != out.lower()]
     texts = docs.select(F.col("text").alias("__text"), *keep)
     schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = forest.score(matrix(b.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*b.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*b.schema.names[1:], out])
 
-    return texts.mapInArrow(run, f"{schema}, score double")
+    return texts.mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,4 +172,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose score reaches the threshold, with the columns of documents."""
     forest = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, forest, docs.columns).filter(F.col("score") >= THRESHOLD).select(docs.columns)
+    return score(docs, forest, docs.columns, "__score").filter(F.col("__score") >= THRESHOLD).select(docs.columns)
