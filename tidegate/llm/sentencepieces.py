@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,8 @@ from tidegate.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text that are segmented together, and words (or pairs of pieces) that are remembered from chunk to chunk.
-CHUNK_CHARS, MEMORY = 4_000_000, 300_000
+CHUNK_CHARS, MEMORY = 4_000_000, 500_000
+TAIL = 3
 UNITS = re.compile(rf"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 
 
@@ -48,6 +49,11 @@ class Pieces:
         self.ids = {text[i]: i for i in range(n) if not special[i]}
         self.score = {text[i]: sp.get_score(i) for i in range(n) if not special[i]}
         self.longest = max(map(len, self.ids))
+        # lengths of the pieces that end in given characters, longest first: only these need a look
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            tails.setdefault(p[-TAIL:], set()).add(len(p))
+        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
         if any(MARK in p.lstrip(MARK) or re.search("[\n\t]", p) and len(p) > 1 for p in self.ids):
             raise ValueError("a piece holds a mark or a line break behind another character; words can't be cut at marks")
         self.bpe = all(s <= 0 and s == int(s) for s in self.score.values())
@@ -74,10 +80,14 @@ class Pieces:
 
     def extend(self, word: str, states: list[tuple[int, float]]) -> None:
         """Append the states (start of the last piece, score) of the prefixes of ``word`` that ``states`` lacks."""
-        ids, pairs = self.ids, self.pairs
+        ids, pairs, tails = self.ids, self.pairs, self.tails
         for end in range(len(states), len(word) + 1):
             found = None
-            for start in range(max(0, end - self.longest), end):
+            sizes = tails.get(word[end - TAIL : end], ()) if end >= TAIL else ()
+            for size in (*sizes, *range(min(end, TAIL - 1), 0, -1)):
+                start = end - size
+                if start < 0:
+                    continue
                 piece = word[start:end]
                 if piece not in ids:
                     continue
@@ -100,7 +110,9 @@ class Pieces:
             self.known.clear()
         before, states = "", [(0, 0.0)]
         for word in sorted(words - self.known.keys()):
-            common = sum(1 for _ in takewhile(lambda ab: ab[0] == ab[1], zip(before, word, strict=False)))
+            common, most = 0, min(len(before), len(word))
+            while common < most and before[common] == word[common]:
+                common += 1
             del states[common + 1 :]
             self.extend(word, states)
             out: list[int] = []
@@ -115,7 +127,7 @@ class Pieces:
                 else:
                     out.append(self.unknown)
                 end = start
-            self.known[word] = np.array(out[::-1], dtype=np.int32).tobytes()
+            self.known[word] = array("i", out[::-1]).tobytes()
             before = word
             if len(self.pairs) > MEMORY:
                 self.pairs.clear()
