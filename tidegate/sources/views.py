@@ -95,7 +95,7 @@ SQL_CELLS = """cells AS (SELECT year(o_orderdate)::INTEGER AS seed, o_orderprior
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, score, label of the whole record by descending score; id breaks ties."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("value").alias("score"), (F.col("event_type") == "error").cast("int").alias("label"))
-    return cumulative(e, [], F.floor("score").cast("long"), [F.desc("score"), F.asc("id")], {"tp": F.col("label")}, row="rank", descending=True)
+    return cumulative(e, [], F.floor(F.col("score") * 64).cast("long"), [F.desc("score"), F.asc("id")], {"tp": F.col("label")}, row="rank", descending=True)
 
 
 SQL_SCORES = """sc AS (SELECT event_id AS id, value AS score, CAST(event_type = 'error' AS INTEGER) AS label, row_number() OVER w AS rank, sum(CAST(event_type = 'error' AS INTEGER)) OVER w AS tp FROM events
