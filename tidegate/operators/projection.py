@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidegate.operators.fixedpoint import affine
 from tidegate.operators.rules import Rule
@@ -93,3 +94,15 @@ def project(batches: DataFrame, key: list[str], channels: Sequence[str], rules:
 
     schema = ", ".join([f"`{c}` {t}" for c, t in batches.select(*key, row).dtypes] + [f"`{c}` double" for c in names])
     return batches.select(*key, row, *names).groupBy(*key).applyInPandas(run, f"{schema}, moved double")
+
+
+def cost(before: DataFrame, after: DataFrame, key: list[str], channels: Sequence[str], row: str = "row_id") -> DataFrame:
+    """key, mean_shift, max_shift (|change| in population deviations + 1e-9), moved_rows (share), frobenius."""
+    sd = before.groupBy(*key).agg(*[(F.stddev_pop(c) + 1e-9).alias(f"s_{c}") for c in channels])
+    j = before.join(after.select(*key, row, *[F.col(c).alias(f"new_{c}") for c in channels]), [*key, row]).join(sd, key)
+    gap = {c: F.abs(F.col(f"new_{c}") - F.col(c)) for c in channels}
+    shift = F.array(*[gap[c] / F.col(f"s_{c}") for c in channels])
+    total = F.aggregate(shift, F.lit(0.0), lambda a, b: a + b) / len(channels)
+    square = sum((gap[c] * gap[c] for c in channels), F.lit(0.0))
+    j = j.select(*key, total.alias("t"), F.array_max(shift).alias("m"), square.alias("q"))
+    return j.groupBy(*key).agg(F.avg("t").alias("mean_shift"), F.max("m").alias("max_shift"), F.avg((F.col("m") > 1e-6).cast("double")).alias("moved_rows"), F.sqrt(F.sum("q")).alias("frobenius"))

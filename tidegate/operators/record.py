@@ -21,7 +21,7 @@ MIN_SHARD_ROWS = 500
 def channel_catalog(df: DataFrame, max_levels: int = 6, exclude: Sequence[str] = ()) -> DataFrame:
     """channel, n_levels, role. Role by the name's prefix, else discrete with at most ``max_levels`` values; one pass.
 
-    Values are counted through a set that stops growing past the limit, so memory stays bounded.
+    Distinct (channel, value) pairs are pre-aggregated and counted across tasks; no task holds a channel's values.
     """
     numeric = [f.name for f in df.schema.fields if f.name not in exclude and f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte")]
     each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("x")).select("x.*")
@@ -175,6 +175,23 @@ def interval_labels(df: DataFrame, intervals: DataFrame, row: str = "row_id", ce
     return df.join(hit.withColumn("label", F.lit(1)), row, "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+def exposed(windows: DataFrame, key: list[str], label: str, strength: float, seed: int, ident: str = "window_id") -> DataFrame:
+    """key, pos, ident: a training selection with replacement, as long as the client's windows.
+
+    The first int(n strength) positions draw from windows whose ``label`` is 1, the rest from the others; a client without
+    labelled windows draws from the others alone (and the reverse). The same selection can be applied to another version of the batch.
+    """
+    hot = (F.col(label) == 1).cast("int")
+    ranked = cumulative(windows.select(*key, ident, hot.alias("__hot")), [*key, "__hot"], F.floor(F.col(ident) / BLOCK), [F.col(ident)], row="__i")
+    sizes = ranked.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("__hot").alias("__h"))
+    pos = cumulative(windows.select(*key, ident), key, F.floor(F.col(ident) / BLOCK), [F.col(ident)], row="pos").select(*key, "pos").join(sizes, key)
+    cold = F.col("__n") - F.col("__h")
+    want = F.when(F.col("__h") == 0, 0).when(cold == 0, 1).otherwise((F.col("pos") <= F.floor(F.col("__n") * strength)).cast("int"))
+    size = F.when(want == 1, F.col("__h")).otherwise(cold)
+    drawn = pos.select(*key, "pos", want.alias("__hot"), (F.floor(unit_hash(F.lit(seed), *map(F.col, [*key, "pos"])) * size) + 1).cast("long").alias("__i"))
+    return drawn.join(ranked, [*key, "__hot", "__i"]).select(*key, "pos", ident)
+
+
 #: name -> (operator, what it preserves)
 FABRICATIONS: dict[str, tuple[Callable[..., DataFrame], str]] = {
     "channel_roll": (roll, "each channel's values"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.operators import rules
+
 SCHEMA = "site long, step long, L_T1 double, L_T2 double, L_T3 double, F_PU1 double, F_PU2 double, F_PU3 double, F_PU4 double, S_PU1 int, S_PU2 int, S_PU3 int, S_PU4 int, DEMAND double, ATT_FLAG int"
 KINDS = ("level_freeze", "level_offset", "pump_stuck_off", "flow_scale")
 
@@ -92,3 +94,15 @@ def simulate_sites(sites: DataFrame) -> DataFrame:
         return simulate(int(r["n"]), int(r["seed"]), scripted=attacks(int(r["n"])) if r["attacked"] else None, shift=float(r["shift"]), site=int(r["site"]))
 
     return sites.select(F.col("site").cast("long").alias("site"), "n", "seed", "shift", "attacked").groupBy("site").applyInPandas(run, SCHEMA)
+
+
+def plant_rules(plant: Plant = Plant(), weak_bounds: bool = False) -> list[rules.Rule]:
+    """The balances of the three tanks, the couplings of the three pumps whose flow is their own, and optionally level bounds."""
+    out = [rules.balance(f"L_T{i}", [f"F_PU{i}"], [f"F_PU{i + 1}"], plant.area[i - 1], plant.dt) for i in (1, 2, 3)]
+    out += [rules.coupling(f"S_PU{i}", f"F_PU{i}", plant.qnom[i - 1]) for i in (1, 2, 3)]
+    return out + ([rules.bound(f"L_T{i}", 0.0, 12.0) for i in (1, 2, 3)] if weak_bounds else [])
+
+
+def misspecified(plant: Plant) -> Plant:
+    """A wrong model of the plant: larger tanks, no dead time, white noise."""
+    return replace(plant, area=tuple(1.35 * a for a in plant.area), delay=0, rho=0.0)
