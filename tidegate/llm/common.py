@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
 def clean_text(name: str = "text"):
     """The text column with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the session's shared folder and read from there: smaller than a checkpoint, and read by column."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import clean_text, table, words_of
+from tidegate.llm.common import clean_text, stored, table, words_of
 from tidegate.llm.decontamination import WordHashes, shingles
 
 WINDOW, GRAM = 35, 16
@@ -37,14 +37,29 @@ SPAN = WINDOW - GRAM + 1
 ROWS, HOT = 60_000, 60_000
 
 
+#: The low bits of a gram's key hold its place; the rest of the hash decides, so equal windows still agree.
+PLACE = np.uint64((1 << 24) - 1)
+
+
 def owners(words: list[bytes], known: WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each gram, and for each window the place of its owner (leftmost of equal hashes)."""
+    """Hash of each gram, and for each window the place of its owner: the least hash (but for 24 bits), leftmost of equals."""
     g = shingles(words, gram, known)
     span = window - gram + 1
     if len(words) < window:
         return g, np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(g, span)
-    return g, np.arange(len(view)) + np.concatenate([view[i : i + 8192].argmin(axis=1) for i in range(0, len(view), 8192)])
+    block = int(PLACE) + 1 - span
+    out = []
+    for at in range(0, len(words) - window + 1, block):  # one block for any text under 16 million words
+        part = g[at : at + block + span - 1]
+        key = part & ~PLACE | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            key = np.minimum(key[: len(key) - width], key[width:])
+            width *= 2
+        rest = span - width
+        key = np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
+        out.append((key & PLACE).astype(np.int64) + at)
+    return g, np.concatenate(out)
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +143,15 @@ def repeats(route: np.ndarray, n: np.ndarray, back: np.ndarray, contexts: list[b
         inside = (at >= 0) & (at < sizes)
         return np.where(inside, flat[np.where(inside, starts + at, 0)], -1)
 
-    _, root = np.unique(route, return_inverse=True)
-    right, node = {}, root.astype(np.int64)
-    for depth in range(1, WINDOW + 1):
-        node = _grow(node, word(depth - 1))
+    _, first, root = np.unique(route, return_index=True, return_inverse=True)
+    # a route is the hash of the owner's words: where they are equal throughout, the node of depth GRAM is the route
+    right, node, depth = {}, root.astype(np.int64), 0
+    if all((w == w[first][root]).all() for w in map(word, range(GRAM))):
+        depth = GRAM
+        right[depth] = node
+    while depth < WINDOW:
+        node = _grow(node, word(depth))
+        depth += 1
         if depth >= GRAM:
             right[depth] = node
     bits = np.zeros(len(route), np.int64)
@@ -200,7 +220,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.unhex(F.md5(clean_text())).alias("digest"), clean_text().alias("text"))
+    # the filter holds for every row; written out, all uses of the texts plan alike and share an exchange
+    keyed = docs.select(F.unhex(F.md5(clean_text())).alias("digest"), clean_text().alias("text"))
+    return keyed.filter("digest IS NOT NULL")
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -211,7 +233,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 def with_repeated_grams(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """The distinct texts that own a repeated gram: digest, text, found (array of gram and its total)."""
     # a copy of a text adds nothing here: its windows are repeated anyway
-    grams = _keyed(docs).mapInArrow(_grams, "digest binary, gram long, n long")
+    grams = stored(_keyed(docs).mapInArrow(_grams, "digest binary, gram long, n long"))
     often = grams.groupBy("gram").agg(F.sum("n").alias("total")).filter("total > 1")
     lists = grams.join(often, "gram").groupBy("digest").agg(F.collect_set(F.struct("gram", "total")).alias("found"))
     return texts.join(lists, "digest")
