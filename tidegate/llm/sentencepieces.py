@@ -31,7 +31,7 @@ from tidegate.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text that are segmented together, and words (or pairs of pieces) that are remembered from chunk to chunk.
-CHUNK_CHARS, MEMORY = 4_000_000, 500_000
+CHUNK_CHARS, MEMORY = 4_000_000, 800_000
 TAIL = 3
 UNITS = re.compile(rf"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 
@@ -53,13 +53,16 @@ class Pieces:
         tails: dict[str, set[int]] = {}
         for p in self.ids:
             tails.setdefault(p[-TAIL:], set()).add(len(p))
-        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
+        short = range(TAIL - 1, 0, -1)
+        self.tails = {t: (*sorted((x for x in n if x >= TAIL), reverse=True), *short) for t, n in tails.items()}
+        self.short = tuple(short)
         if any(MARK in p.lstrip(MARK) or re.search("[\n\t]", p) and len(p) > 1 for p in self.ids):
             raise ValueError("a piece holds a mark or a line break behind another character; words can't be cut at marks")
         self.bpe = all(s <= 0 and s == int(s) for s in self.score.values())
         self.penalty = min(self.score.values()) - 10
         self.shown = [b"" if sp.is_control(i) else bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else text[i].replace(MARK, " ").encode() for i in range(n)]
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.likely: dict[str, str] = {}
         self.known: dict[str, bytes] = {}
 
     def merged(self, word: str) -> list[str]:
@@ -78,59 +81,78 @@ class Pieces:
             ok = self.pairs[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return ok
 
-    def extend(self, word: str, states: list[tuple[int, float]]) -> None:
-        """Append the states (start of the last piece, score) of the prefixes of ``word`` that ``states`` lacks."""
-        ids, pairs, tails = self.ids, self.pairs, self.tails
-        for end in range(len(states), len(word) + 1):
-            found = None
-            sizes = tails.get(word[end - TAIL : end], ()) if end >= TAIL else ()
-            for size in (*sizes, *range(min(end, TAIL - 1), 0, -1)):
+    def extend(self, word: str, starts: list[int], lasts: list[str], scores: list[float]) -> None:
+        """Append the states of the prefixes of ``word`` that are missing: start of the last piece, the piece, score.
+
+        A character without a piece stands alone.
+        """
+        if not self.bpe:
+            return self._extend_unigram(word, starts, lasts, scores)
+        ids, pairs, tails, short, likely = self.ids, self.pairs, self.tails, self.short, self.likely
+        for end in range(len(starts), len(word) + 1):
+            # only one piece can follow, so any that may is it: first the one that followed such a prefix last time
+            before = lasts[end - 1]
+            key = before + word[end - 1]
+            piece = likely.get(key)
+            if piece is not None:
+                at = end - len(piece)
+                if at >= 0 and pairs.get((lasts[at], piece)) and (len(piece) <= len(key) or word[at:end] == piece):
+                    starts.append(at)
+                    lasts.append(piece)
+                    continue
+            at = end - 1
+            for size in tails.get(word[end - TAIL : end], short) if end >= TAIL else range(end, 0, -1):
                 start = end - size
                 if start < 0:
                     continue
                 piece = word[start:end]
-                if piece not in ids:
-                    continue
-                if self.bpe:
-                    last = word[states[start][0] : start]
-                    ok = pairs.get((last, piece))
-                    if ok or ok is None and self.follows(last, piece):
-                        found = (start, 0.0)
-                        break
-                else:
-                    total = states[start][1] + self.score[piece]
-                    if found is None or total > found[1]:
-                        found = (start, total)
-            # a character without a piece stands alone
-            states.append(found or (end - 1, states[end - 1][1] + self.penalty))
+                if piece in ids and (pairs.get((lasts[start], piece)) or self.follows(lasts[start], piece)):
+                    at = start
+                    likely[key] = piece
+                    break
+            starts.append(at)
+            lasts.append(word[at:end])
+
+    def _extend_unigram(self, word: str, starts: list[int], lasts: list[str], scores: list[float]) -> None:
+        for end in range(len(starts), len(word) + 1):
+            at, score, best = end - 1, scores[end - 1] + self.penalty, None
+            for size in self.tails.get(word[end - TAIL : end], self.short) if end >= TAIL else range(end, 0, -1):
+                start = end - size
+                piece = word[max(start, 0) : end]
+                if start >= 0 and piece in self.ids and (best is None or scores[start] + self.score[piece] > best):
+                    best = score = scores[start] + self.score[piece]
+                    at = start
+            starts.append(at)
+            lasts.append(word[at:end])
+            scores.append(score)
 
     def learn(self, words: set[str]) -> None:
         """Encodings of new words: one depth-first walk over the trie of the sorted words."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        before, states = "", [(0, 0.0)]
+        before, starts, lasts, scores, ids = "", [0], [""], [0.0], self.ids
         for word in sorted(words - self.known.keys()):
             common, most = 0, min(len(before), len(word))
             while common < most and before[common] == word[common]:
                 common += 1
-            del states[common + 1 :]
-            self.extend(word, states)
+            del starts[common + 1 :], lasts[common + 1 :], scores[common + 1 :]
+            self.extend(word, starts, lasts, scores)
             out: list[int] = []
             end = len(word)
             while end:
-                start = states[end][0]
-                piece = word[start:end]
-                if piece in self.ids:
-                    out.append(self.ids[piece])
+                piece = lasts[end]
+                if piece in ids:
+                    out.append(ids[piece])
                 elif self.bytes_at:
                     out += [self.bytes_at[b] for b in reversed(piece.encode("utf-8", "replace"))]
                 else:
                     out.append(self.unknown)
-                end = start
+                end = starts[end]
             self.known[word] = array("i", out[::-1]).tobytes()
             before = word
-            if len(self.pairs) > MEMORY:
+            if len(self.pairs) > MEMORY // 2:
                 self.pairs.clear()
+                self.likely.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
