@@ -22,9 +22,10 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def miss_probability(n: Column, bad: Column, k: Column) -> Column:
-    """Chance that k rows drawn without replacement from n hold none of the bad ones (hypergeometric)."""
+    """Chance that k rows (n at most) drawn without replacement from n hold none of the bad ones (hypergeometric)."""
     step = lambda acc, i: acc * F.greatest(n - bad - i, F.lit(0)).cast("double") / (n - i)
-    return F.when(k <= 0, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint") - 1), F.lit(1.0), step))
+    k = F.least(k.cast("bigint"), n.cast("bigint"))
+    return F.when(k <= 0, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(0).cast("bigint"), k - 1), F.lit(1.0), step))
 
 
 def unit_hash(*parts: Column) -> Column:

@@ -201,7 +201,7 @@ def hypergeometric_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("client_id", "k", tidy(1 - miss_probability(F.col("n"), F.col("bad"), F.col("k"))).alias("detected"), tidy(1 - F.pow(1 - F.col("bad") / F.col("n"), F.col("k"))).alias("approximate"))
 
 
-SQL_HYPER = f"""{TEL}, {_QR}, c AS (SELECT client_id, count(*) AS n, count(*) FILTER (v > 0) AS bad FROM vu GROUP BY 1), e AS (SELECT c.*, k FROM c, (VALUES (8), (16), (32), (64)) AS v(k)), m AS (SELECT client_id, k, product(greatest(n - bad - i, 0)::DOUBLE / (n - i)) AS miss FROM e, range(0, 64) AS r(i) WHERE i < k GROUP BY ALL)
+SQL_HYPER = f"""{TEL}, {_QR}, c AS (SELECT client_id, count(*) AS n, count(*) FILTER (v > 0) AS bad FROM vu GROUP BY 1), e AS (SELECT c.*, k FROM c, (VALUES (8), (16), (32), (64)) AS v(k)), m AS (SELECT client_id, k, product(greatest(n - bad - i, 0)::DOUBLE / (n - i)) AS miss FROM e, range(0, 64) AS r(i) WHERE i < least(k, n) GROUP BY ALL)
 SELECT e.client_id, e.k, round(1 - miss, 6) + 0.0 AS detected, round(1 - pow(1 - bad / n, e.k), 6) + 0.0 AS approximate FROM e JOIN m USING (client_id, k)"""
 
 
