@@ -47,8 +47,8 @@ def test_unlabelled(spark, tmp_path):
 
 
 def test_files_are_ranked():
-    names = ["d/List_of_attacks.xlsx", "d/SWaT_Dataset_Normal_v0.csv", "d/SWaT_Dataset_Normal_v1.xlsx", "d/SWaT_Dataset_Normal_v1.csv", "d/x_attack.csv", "d/~$x.csv"]
-    assert plants.normal_and_attack(names) == {"normal": "d/SWaT_Dataset_Normal_v1.csv", "attack": "d/x_attack.csv"}
+    names = ["d/List_of_attacks.xlsx", "d/Plant_Dataset_Normal_v0.csv", "d/Plant_Dataset_Normal_v1.xlsx", "d/Plant_Dataset_Normal_v1.csv", "d/x_attack.csv", "d/~$x.csv"]
+    assert plants.normal_and_attack(names) == {"normal": "d/Plant_Dataset_Normal_v1.csv", "attack": "d/x_attack.csv"}
     with pytest.raises(FileNotFoundError):
         plants.normal_and_attack([])
 
