@@ -371,6 +371,36 @@ def test_edited_leaks_and_awkward_items(spark, odd):
     assert decontamination.contaminated(odd, b.limit(0)).count() == 0
 
 
+def test_items_less_their_ends(spark):
+    rng = np.random.default_rng(11)
+    items = {i: [f"z{j}" for j in rng.integers(0, 4000, n)] for i, n in enumerate((60, 60, 9, 12, 200, 5, 3))}
+    items[7] = ["again"] * 40
+    texts = {}
+    for w in items.values():
+        for less in range(len(w) // 3 + 1):
+            for part in (w[: len(w) - less], w[less:], w[less // 2 : len(w) - (less - less // 2)]):
+                texts[len(texts)] = " ".join(part)
+    texts[len(texts)] = " ".join(w if i != 30 else "edit" for i, w in enumerate(items[0][:57]))
+    bags = {k: collections.Counter(tuple(w[j : j + min(5, len(w))]) for j in range(max(1, len(w) - 4))) for k, w in items.items()}
+    want = {}
+    for d, t in texts.items():
+        for i, w in items.items():
+            s = t.split()
+            k, n = min(5, len(w)), sum(bags[i].values())
+            all_of = [tuple(s[j : j + k]) for j in range(len(s) - k + 1)]
+            for p in range(max(1, len(all_of) - n + 1)) if all_of else ():
+                one = collections.Counter(all_of[p : p + n])
+                both = sum((one & bags[i]).values())
+                like = both / (sum(one.values()) + n - both)
+                if like >= 0.8 and like > want.get((d, i), (0,))[0]:
+                    want[d, i] = (like, p, min(len(s), len(w)))
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in decontamination.contaminated(d, b).collect()}
+    assert got == want
+    assert any(n < len(items[i]) for (_, i), (_, _, n) in want.items())
+
+
 def test_every_item_within_the_radius_is_found():
     rng = np.random.default_rng(5)
     index = decontamination.Index([(i, " ".join(f"x{j}" for j in rng.integers(0, 900, 30))) for i in range(60)])

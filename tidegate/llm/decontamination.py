@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For each item of L words, windows of L words slide over every whole text. A window and an item are
-multisets of shingles (5 words; an item of fewer words is one shingle). The test is weighted Jaccard
+For each item of L words, windows of L words slide over every whole text; a text with fewer shingles than the item is
+its one window. A window and an item are multisets of shingles (5 words; an item of fewer words is one shingle). The test is weighted Jaccard
 (a shingle weighs as often as it occurs) of 0.8 or more.
 
 1. A text without any item's shingle holds no item; a vectorised pass over the bytes finds the others. In these, a window that
@@ -13,6 +13,8 @@ multisets of shingles (5 words; an item of fewer words is one shingle). The test
    items within the radius are found. At a similarity of 0.8 about 10 bits differ on average (standard
    deviation 3), so the radius keeps all but about one in a thousand borderline windows.
 4. Candidates within the radius are verified on their shingles.
+5. A text with fewer shingles than an item, but 0.8 of them at least, needs no fingerprint: an item that reaches 0.8 lacks few of
+   its shingles, so it holds one of any that outnumber these. All holders of the rarest are verified; that loses nothing.
 
 Items are read in blocks of ``ITEMS`` and each block is held against all documents; a benchmark of
 any size takes bounded memory. No shuffle is needed.
@@ -133,11 +135,15 @@ class Sized:
     prints: np.ndarray | None = None
     known: np.ndarray | None = None
     filed: list[dict[int, np.ndarray]] = field(default_factory=list)
+    holders: dict[int, list[int]] = field(default_factory=dict)
 
     def file(self) -> None:
         ones = np.stack([sum(_bits(np.array([h], np.uint64))[0].astype(np.int64) * c for h, c in bag.items()) for bag in self.bags])
         self.prints = _packed(ones, self.words - self.shingle + 1)
         self.known = np.unique(np.array([h for bag in self.bags for h in bag], np.uint64))
+        for i, bag in enumerate(self.bags):
+            for h in bag:
+                self.holders.setdefault(h, []).append(i)
         blocks = (self.prints[:, None] >> SHIFTS & np.uint64(255)).astype(np.uint8)
         for k in range(8):
             by = defaultdict(list)
@@ -154,6 +160,18 @@ class Sized:
         return at[np.bitwise_count(self.prints[at] ^ np.uint64(fingerprint)) <= RADIUS]
 
 
+    def sharing(self, bag: Counter, least: int) -> list[int]:
+        """All items that can share ``least`` shingles with a bag, and some others."""
+        hit: set[int] = set()
+        spare = sum(bag.values()) - least
+        for h, c in sorted(bag.items(), key=lambda x: len(self.holders.get(x[0], ()))):
+            hit.update(self.holders.get(h, ()))
+            spare -= c
+            if spare < 0:
+                break
+        return sorted(hit)
+
+
 def similarity(a: Counter, b: Counter) -> float:
     """Weighted Jaccard of two multisets."""
     both = sum(min(c, b[h]) for h, c in a.items() if h in b)
@@ -239,8 +257,20 @@ class Index:
                 continue
             for s in group:
                 n = s.words - k + 1
+                if len(h) < SIMILARITY * n:
+                    continue
                 own = at[np.isin(h[at], s.known)]
-                if len(h) < n or not len(own):
+                if not len(own):
+                    continue
+                if len(h) < n:
+                    least = int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (len(h) + n) - 1e-9))
+                    if len(own) < least:
+                        continue
+                    bag = Counter(h.tolist())
+                    for at_item in s.sharing(bag, least):
+                        like = similarity(bag, s.bags[at_item])
+                        if like >= SIMILARITY and like > best.get(s.ids[at_item], (0.0,))[0]:
+                            best[s.ids[at_item]] = (like, 0, len(words))
                     continue
                 known = np.zeros(len(h) + 1, np.int64)
                 known[own + 1] = 1
@@ -309,7 +339,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, similarity, first_word, n_words.
 
     Only contaminated documents appear. Words are lower-cased (A-Z). Null and empty texts and items
-    match nothing; a text shorter than an item has no window of it; repeated documents or items give a row each.
+    match nothing; a text with fewer shingles than an item is one window, of its own n_words; repeated documents or items give a row each.
     """
     parts = [mark(docs, items, ["doc_id"]).select("doc_id", F.inline("__matches")) for items in item_blocks(benchmark)]
     if not parts:
