@@ -321,6 +321,18 @@ def test_terms_that_give_a_value_away(spark):
     assert [s.kind for s in rows[0].base] == [0]
 
 
+def test_disclosure_counts_documents(spark):
+    # regarding: 3 of 303 documents, though 50 times by the value in each; copied text: the value in 1002 documents, bits log2(n / 1002)
+    texts = [" ".join(["regarding al@corp.example"] * 50) + f" {i}" for i in range(3)] + [f"regarding {i}" for i in range(300)]
+    texts += ["halcyon bo@corp.example"] * 1000 + ["halcyon bo@corp.example 1", "halcyon bo@corp.example 2"]
+    texts += ["limpid cy@corp.example"] * 20 + ["limpid cy@corp.example 1", "limpid cy@corp.example 2"]
+    texts += [f"filler {i}" for i in range(2000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = privacy.sanitise(d).filter(F.size("base") > 0).collect()
+    said = {(v, t) for r in rows for v in [re.search(r"\w\w@", r.text)[0]] for t in [r.text[s.start : s.end] for s in r.spans if s.kind == 4]}
+    assert said == {("cy@", "limpid")}
+
+
 # decontamination
 
 

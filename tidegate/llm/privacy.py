@@ -5,7 +5,7 @@ Patterns (leftmost, non-overlapping for each kind; a match that fails its test g
 possessive groups and look-behinds, so that no text makes them backtrack without end or recurse deeply.
 
 Terms: runs of four or more letters within ``REACH`` characters of a protected value. For term t and
-value e, with document counts over the whole corpus, the disclosure is the pointwise mutual
+value e, with document counts over the whole corpus (copies included), the disclosure is the pointwise mutual
 information log2(n(t, e) N / (n(t) n(e))), and the share n(t, e) / n(t) is how surely t means e. A term
 seen with e in ``SUPPORT`` different texts or more, with a share of ``SHARE`` and ``BITS`` bits, is generalised; from a
 share of ``CERTAIN`` on it is removed. It is sanitised in the documents where it stands by e: there the
@@ -80,23 +80,21 @@ def written(spans: Column) -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """digest, value, term, a row for each document: the terms around its protected values; found: digest, text, base."""
-    each = found.select("digest", "text", F.explode("base").alias("s"))
+    """digest, value, term, copies, a row for each: the terms around its protected values; found: digest, text, base, copies."""
+    each = found.select("digest", "text", "copies", F.explode("base").alias("s"))
     before = F.col("text").substr(F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
     after = F.col("text").substr(F.col("s.end") + 1, F.lit(REACH))
     # the cut may fall into a word: its rest at the outer edge is left out
     before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^\p{L}++", "")).otherwise(before)
     after = F.when(F.length("text") > F.col("s.end") + REACH, F.regexp_replace(after, r"\p{L}++$", "")).otherwise(after)
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", before, after)), F.lit(TERM), F.lit(0)))
-    return each.select("digest", F.lower("s.said").alias("value"), F.explode(terms).alias("term"))
+    return each.select("digest", F.lower("s.said").alias("value"), F.explode(terms).alias("term"), "copies").distinct()
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """value, term, share, bits, removed: the terms of ``found`` that exceed the thresholds; counts are over all ``docs``."""
-    near = contexts(found)
-    pairs = near.groupBy("value", "term", "digest").agg(F.count("*").alias("rows"))
-    joint = pairs.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("n_both")).filter(F.col("texts") >= SUPPORT)
-    values = found.select("digest", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["said"])))).alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n_value"))
+    joint = contexts(found).groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both")).filter(F.col("texts") >= SUPPORT)
+    values = found.select("copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["said"])))).alias("value")).groupBy("value").agg(F.sum("copies").alias("n_value"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(clean_text()), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = docs.agg(F.count("*").alias("n"))
     # one row, so the product is no larger than its left side
@@ -132,9 +130,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     # the documents with protected values serve four times below: they are found once
     having = cut(rows.filter(F.size("base") > 0).select(*docs.columns, "base")).withColumn("__text", clean_text())
     having = having.withColumn("__digest", F.md5("__text"))
-    found = having.select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), "base")
+    found = having.select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), "base").groupBy("digest").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies"))
     known = disclosures(docs, found)
-    own = contexts(found).distinct().join(known, ["value", "term"]).groupBy("digest").agg(F.array_sort(F.collect_set("term")).alias("__terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("__removed"))
+    own = contexts(found).join(known, ["value", "term"]).groupBy("digest").agg(F.array_sort(F.collect_set("term")).alias("__terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("__removed"))
     joined = having.join(own.withColumnRenamed("digest", "__digest"), "__digest", "left")
     empty = F.array().cast("array<string>")
     pattern = F.when(F.col("__terms").isNull(), F.lit("(?!)")).otherwise(F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})")))
