@@ -321,6 +321,15 @@ def test_terms_that_give_a_value_away(spark):
     assert [s.kind for s in rows[0].base] == [0]
 
 
+def test_terms_far_from_their_value(spark):
+    gap = "plain words all along " * 10
+    near = [f"the quixotic one {gap} writes as jo@corp.example {i}" for i in range(6)] + ["jo@corp.example and, at once, the quixotic one"]
+    far = [f"nothing here but plain words all along number {i} writes" for i in range(900)]
+    d = spark.createDataFrame(list(enumerate(near + far)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in privacy.sanitise(d).filter("doc_id < 7").collect()}
+    assert all(sorted(near[i][s.start : s.end] for s in rows[i].spans) == ["jo@corp.example", "quixotic"] for i in range(7))
+
+
 def test_disclosure_counts_documents(spark):
     # regarding: 3 of 303 documents, though 50 times by the value in each; copied text: the value in 1002 documents, bits log2(n / 1002)
     texts = [" ".join(["regarding al@corp.example"] * 50) + f" {i}" for i in range(3)] + [f"regarding {i}" for i in range(300)]
@@ -333,6 +342,35 @@ def test_disclosure_counts_documents(spark):
     assert said == {("cy@", "limpid")}
 
 
+def brute_terms(texts):
+    """Text -> its sanitised terms, by counting over all pairs."""
+    terms = {t: set(re.findall(r"[a-z]{4,}", re.sub(r"\S+@\S+", " ", t))) for t in texts}
+    values = {t: set(re.findall(r"\S+@\S+", t)) for t in texts}
+    n_term = collections.Counter(w for t in texts for w in set(re.findall(r"[a-z]{4,}", t)))
+    n_value = collections.Counter(v for t in texts for v in values[t])
+    n_both = collections.Counter((v, w) for t in texts for v in values[t] for w in terms[t])
+    support = collections.Counter((v, w) for t in set(texts) for v in values[t] for w in terms[t])
+    known = {(v, w) for (v, w), m in n_both.items() if support[v, w] >= 3 and m / n_term[w] >= 0.5 and np.log2(m * len(texts) / (n_term[w] * n_value[v])) >= 6}
+    return {t: {w for v in values[t] for w in terms[t] if (v, w) in known} for t in texts if values[t]}
+
+
+def test_sanitised_terms_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    texts = []
+    for _ in range(1500):
+        w = [name(i) for i in (rng.random(40) ** 3 * 600).astype(int)]
+        if rng.random() < 0.1:
+            for v in rng.integers(0, 12, int(rng.integers(1, 4))):
+                w.insert(int(rng.integers(0, 40)), f"xx{v}@yy.zz")
+                w += [f"tell{name(v)}"] * int(rng.random() < 0.8)
+        texts += [" ".join(w)] * int(rng.choice([1, 1, 1, 4]))
+    want = brute_terms(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: {r.text[s.start : s.end] for s in r.spans if s.kind == 4} for r in privacy.sanitise(d).filter(F.size("base") > 0).collect()}
+    assert got == want and any(want.values())
+
+
 # decontamination
 
 

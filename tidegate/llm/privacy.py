@@ -4,13 +4,16 @@ Patterns (leftmost, non-overlapping for each kind; a match that fails its test g
 (14 to 19 digits passing Luhn), phone (``+``, 10 to 15 digits). The expressions below find exactly those matches with
 possessive groups and look-behinds, so that no text makes them backtrack without end or recurse deeply.
 
-Terms: runs of four or more letters within ``REACH`` characters of a protected value. For term t and
+Terms: runs of four or more letters in a document with a protected value, outside of its values. For term t and
 value e, with document counts over the whole corpus (copies included), the disclosure is the pointwise mutual
 information log2(n(t, e) N / (n(t) n(e))), and the share n(t, e) / n(t) is how surely t means e. A term
 seen with e in ``SUPPORT`` different texts or more, with a share of ``SHARE`` and ``BITS`` bits, is generalised; from a
-share of ``CERTAIN`` on it is removed. It is sanitised in the documents where it stands by e: there the
+share of ``CERTAIN`` on it is removed. It is sanitised in all documents that hold e: there the
 masked value could be told from it.
 
+Values and terms that cannot pass with any partner are left out before they are paired, which loses nothing: n(t, e) is
+at most n(t), n(e) and the count of t in documents with values, so that ``BITS`` bounds n(t) and n(e), and ``SHARE`` n(t).
+
 All of it is built-in column functions; only documents with protected values move.
 """
 
@@ -29,7 +32,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{4,}+"
-REACH, SUPPORT, SHARE, CERTAIN, BITS = 40, 3, 0.5, 0.9, 6.0
+SUPPORT, SHARE, CERTAIN, BITS = 3, 0.5, 0.9, 6.0
 SPAN = "array<struct<start:int,kind:int,end:int,said:string>>"
 
 
@@ -79,30 +82,43 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """digest, value, term, copies, a row for each: the terms around its protected values; found: digest, text, base, copies."""
-    each = found.select("digest", "text", "copies", F.explode("base").alias("s"))
-    before = F.col("text").substr(F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
-    after = F.col("text").substr(F.col("s.end") + 1, F.lit(REACH))
-    # the cut may fall into a word: its rest at the outer edge is left out
-    before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^\p{L}++", "")).otherwise(before)
-    after = F.when(F.length("text") > F.col("s.end") + REACH, F.regexp_replace(after, r"\p{L}++$", "")).otherwise(after)
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", before, after)), F.lit(TERM), F.lit(0)))
-    return each.select("digest", F.lower("s.said").alias("value"), F.explode(terms).alias("term"), "copies").distinct()
+def outside(text: Column, spans: Column) -> Column:
+    """The text with a line break for each span."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        put = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("\n"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """value, term, share, bits, removed: the terms of ``found`` that exceed the thresholds; counts are over all ``docs``."""
-    joint = contexts(found).groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both")).filter(F.col("texts") >= SUPPORT)
-    values = found.select("copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["said"])))).alias("value")).groupBy("value").agg(F.sum("copies").alias("n_value"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(clean_text()), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.agg(F.count("*").alias("n"))
-    # one row, so the product is no larger than its left side
-    rows = joint.join(values, "value").join(words, "term").crossJoin(F.broadcast(n))
+    """digest, value, term, share, bits, removed: a row for each text of ``found`` (digest, text, base; a row for each
+    document) that holds the value and a term of it that exceeds the thresholds; counts are documents of all ``docs``."""
+    # equal texts are one row with their number, so that copies are counted but not paired
+    texts = cut(found.groupBy("digest").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies")))
+    # one row, so the products are no larger than their left sides
+    n = F.broadcast(cut(docs.agg(F.count("*").alias("n"))))
+    rare = lambda c: F.col(c) * (2**BITS * (1 - 1e-9)) <= F.col("n")
+    often = lambda df, c, count: df.groupBy(c).agg(F.count("*").alias("texts"), F.sum("copies").alias(count)).filter(F.col("texts") >= SUPPORT).drop("texts")
+    values = texts.select("digest", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["said"])))).alias("value"))
+    values = cut(values.join(often(values, "value", "n_value").crossJoin(n).filter(rare("n_value")), "value"))
+    # a text without such a value pairs nothing, but its terms count
+    terms = texts.select("digest", "copies", F.explode(terms_of(outside(F.col("text"), F.col("base")))).alias("term"))
+    words = docs.select(F.explode(terms_of(clean_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    told = often(terms, "term", "n_found").join(words, "term").crossJoin(n).filter(rare("n_term") & (F.col("n_found") >= SHARE * F.col("n_term")))
+    terms = terms.join(values.select("digest").distinct(), "digest", "left_semi").join(told.select("term", "n_term"), "term")
+    pairs = cut(values.join(terms.drop("copies"), "digest"))
+    counts = pairs.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"), F.first("n_value").alias("n_value"), F.first("n_term").alias("n_term"), F.first("n").alias("n"))
     share = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
     bits = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_value")))
-    rows = rows.withColumns({"share": share, "bits": bits}).filter((F.col("share") >= SHARE) & (F.col("bits") >= BITS))
-    return rows.select("value", "term", "share", "bits", (F.col("share") >= CERTAIN).alias("removed"))
+    known = counts.filter(F.col("texts") >= SUPPORT).withColumns({"share": share, "bits": bits}).filter((F.col("share") >= SHARE) & (F.col("bits") >= BITS))
+    return pairs.select("digest", "value", "term").join(known.select("value", "term", "share", "bits", (F.col("share") >= CERTAIN).alias("removed")), ["value", "term"])
 
 
 def sanitised(text: Column, spans: Column, removed: Column) -> Column:
@@ -130,9 +146,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     # the documents with protected values serve four times below: they are found once
     having = cut(rows.filter(F.size("base") > 0).select(*docs.columns, "base")).withColumn("__text", clean_text())
     having = having.withColumn("__digest", F.md5("__text"))
-    found = having.select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), "base").groupBy("digest").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies"))
-    known = disclosures(docs, found)
-    own = contexts(found).join(known, ["value", "term"]).groupBy("digest").agg(F.array_sort(F.collect_set("term")).alias("__terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("__removed"))
+    found = having.select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), "base")
+    own = disclosures(docs, found).groupBy("digest").agg(F.array_sort(F.collect_set("term")).alias("__terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("__removed"))
     joined = having.join(own.withColumnRenamed("digest", "__digest"), "__digest", "left")
     empty = F.array().cast("array<string>")
     pattern = F.when(F.col("__terms").isNull(), F.lit("(?!)")).otherwise(F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})")))
