@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegate.operators import aggregation as A
 from tidegate.operators import attestation, federation, mining, projection, rules, stats
+from tidegate.plans import learning
 from tidegate.sources import simulator
 
 
@@ -100,6 +101,22 @@ def test_projection_admits(spark):
     assert (fixed[:, 1] == x).all()
 
 
+def test_simulated_sites_are_as_long_as_their_events(spark, tmp_path):
+    n = {1: 20_500, 25: 300}
+    spark.createDataFrame([(u,) for u, k in n.items() for _ in range(k)], "user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.site: r for r in learning.simulate_plant(spark, str(tmp_path)).collect()}
+    for user, k in n.items():
+        want = simulator.simulate(k, user // 20, scripted=simulator.attacks(k), shift=user // 20 % 5 / 2 - 1)
+        r = got[user // 20]
+        assert r.n_rows == k and r.attacked == want["ATT_FLAG"].sum() and r.mean_L_T1 == pytest.approx(want["L_T1"].mean())
+
+
+def test_a_simulated_record_does_not_depend_on_its_parts(monkeypatch):
+    whole = simulator.simulate(900, 5, scripted=simulator.attacks(900), shift=0.5)
+    monkeypatch.setattr(simulator, "PART", 37)
+    assert simulator.simulate(900, 5, scripted=simulator.attacks(900), shift=0.5).equals(whole)
+
+
 def test_balance_holds_on_the_simulated_plant():
     d = simulator.simulate(3000, 1)
     r = np.diff(d.L_T1) - (d.F_PU1 - d.F_PU2)[1:] / 12.0

@@ -89,7 +89,7 @@ def project_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simulate_plant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A site for each 20 users of events, as long as it has events: rows, attacked rows and mean levels."""
-    n = views.table(spark, sf_dir, "events").groupBy(F.floor(F.col("user_id") / 20).alias("site")).agg(F.least(F.count("*"), F.lit(20_000)).alias("n"))
+    n = views.table(spark, sf_dir, "events").groupBy(F.floor(F.col("user_id") / 20).alias("site")).agg(F.count("*").alias("n"))
     sites = n.select("site", "n", F.col("site").alias("seed"), (F.pmod(F.col("site"), F.lit(5)) / 2.0 - 1).alias("shift"), F.lit(True).alias("attacked"))
     return simulator.simulate_sites(sites).groupBy("site").agg(F.count("*").alias("n_rows"), F.sum("ATT_FLAG").alias("attacked"), *[F.avg(c).alias(f"mean_{c}") for c in ("L_T1", "L_T2", "L_T3")])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from tidegate.operators import rules
 
 SCHEMA = "site long, step long, L_T1 double, L_T2 double, L_T3 double, F_PU1 double, F_PU2 double, F_PU3 double, F_PU4 double, S_PU1 int, S_PU2 int, S_PU3 int, S_PU4 int, DEMAND double, ATT_FLAG int"
+#: Steps that are held at once.
+PART = 10_000
 KINDS = ("level_freeze", "level_offset", "pump_stuck_off", "flow_scale")
 
 
@@ -42,58 +46,81 @@ def attacks(n: int, count: int = 6) -> list[tuple[int, int, str]]:
 
 def simulate(n: int, seed: int, plant: Plant = Plant(), scripted: list | None = None, shift: float = 0.0, site: int = 0) -> pd.DataFrame:
     """Order of a step: control, dead time, flow, balance, clipping, attack on the record."""
-    rng = np.random.default_rng(seed)
+    return pd.concat(list(simulated(n, seed, plant, scripted, shift, site)), ignore_index=True)
+
+
+def _skipped(rng: np.random.Generator, n: int) -> np.random.Generator:
+    """A generator that goes on after ``n`` normal values of ``rng``, which stays."""
+    rng = deepcopy(rng)
+    for at in range(0, n, PART):
+        rng.normal(size=min(PART, n - at))
+    return rng
+
+
+def simulated(n: int, seed: int, plant: Plant = Plant(), scripted: list | None = None, shift: float = 0.0, site: int = 0) -> Iterator[pd.DataFrame]:
+    """The record of ``simulate`` in parts of ``PART`` steps, one at least; the state goes from part to part."""
     area, q = np.array(plant.area) * (1 + 0.10 * shift), np.array(plant.qnom) * (1 + 0.12 * shift)
     low, high = np.array(plant.low) * (1 + 0.06 * shift), np.array(plant.high) * (1 + 0.06 * shift)
-    white = rng.normal(0, plant.flow_noise * np.sqrt(1 - plant.rho**2), (n, 4))
-    sensor = rng.normal(0, plant.level_noise, (n, 3))
-    t = np.arange(n)
-    demand = np.clip(1 - plant.depth * np.cos(2 * np.pi * t / plant.period) + rng.normal(0, 0.02, n), 0.15, 1.25)
+    # one stream of values: all flow noise, then all sensor noise, then all of the demand
+    for_flow = np.random.default_rng(seed)
+    for_sensor = _skipped(for_flow, 4 * n)
+    for_demand = _skipped(for_sensor, 3 * n)
     level, want, noise = np.array(plant.start, float), np.ones(4, int), np.zeros(4)
     queue = [want.copy() for _ in range(plant.delay + 1)]
-    kind_at = {}
-    for start, end, kind in scripted or []:
-        kind_at.update(dict.fromkeys(range(start, min(end, n)), kind))
-    rows = np.zeros((n, 13))
     shown = level.copy()
-    for i in range(n):
-        for k in range(3):  # pump k fills tank k
-            want[k] = 1 if level[k] < low[k] else 0 if level[k] > high[k] else want[k]
-        want[3] = int(demand[i] > 0.35)
-        queue.append(want.copy())
-        s = queue.pop(0).copy()
-        kind = kind_at.get(i)
-        if kind == "pump_stuck_off":
-            s[0] = 0
-        noise = plant.rho * noise + white[i]
-        flow = np.maximum(s * (q + noise), 0)
-        flow[3] *= demand[i]
-        net = np.array([flow[0] - flow[1], flow[1] - flow[2], flow[2] - flow[3]])
-        level = np.clip(level + plant.dt * net / area, 0.05, 12.0)
-        seen, seen_flow = level + sensor[i], flow.copy()
-        if kind == "level_freeze":
-            seen[0] = shown[0]
-        elif kind == "level_offset":
-            seen[1] += 0.8
-        elif kind == "flow_scale":
-            seen_flow[1] *= 1.4
-        shown = seen
-        rows[i] = [*seen, *seen_flow, *s, demand[i], kind is not None]
     names = ["L_T1", "L_T2", "L_T3", "F_PU1", "F_PU2", "F_PU3", "F_PU4", "S_PU1", "S_PU2", "S_PU3", "S_PU4", "DEMAND", "ATT_FLAG"]
-    out = pd.DataFrame(rows, columns=names).astype({c: "int32" for c in names if c.startswith("S_") or c == "ATT_FLAG"})
-    out.insert(0, "step", t)
-    out.insert(0, "site", site)
-    return out
+    for first in range(0, max(n, 1), PART):
+        m = min(PART, n - first)
+        white = for_flow.normal(0, plant.flow_noise * np.sqrt(1 - plant.rho**2), (m, 4))
+        sensor = for_sensor.normal(0, plant.level_noise, (m, 3))
+        t = np.arange(first, first + m)
+        demand = np.clip(1 - plant.depth * np.cos(2 * np.pi * t / plant.period) + for_demand.normal(0, 0.02, m), 0.15, 1.25)
+        kind_at = {}
+        for start, end, kind in scripted or []:
+            kind_at.update(dict.fromkeys(range(max(start, first), min(end, first + m)), kind))
+        rows = np.zeros((m, 13))
+        for i in range(m):
+            for k in range(3):  # pump k fills tank k
+                want[k] = 1 if level[k] < low[k] else 0 if level[k] > high[k] else want[k]
+            want[3] = int(demand[i] > 0.35)
+            queue.append(want.copy())
+            s = queue.pop(0).copy()
+            kind = kind_at.get(first + i)
+            if kind == "pump_stuck_off":
+                s[0] = 0
+            noise = plant.rho * noise + white[i]
+            flow = np.maximum(s * (q + noise), 0)
+            flow[3] *= demand[i]
+            net = np.array([flow[0] - flow[1], flow[1] - flow[2], flow[2] - flow[3]])
+            level = np.clip(level + plant.dt * net / area, 0.05, 12.0)
+            seen, seen_flow = level + sensor[i], flow.copy()
+            if kind == "level_freeze":
+                seen[0] = shown[0]
+            elif kind == "level_offset":
+                seen[1] += 0.8
+            elif kind == "flow_scale":
+                seen_flow[1] *= 1.4
+            shown = seen
+            rows[i] = [*seen, *seen_flow, *s, demand[i], kind is not None]
+        out = pd.DataFrame(rows, columns=names).astype({c: "int32" for c in names if c.startswith("S_") or c == "ATT_FLAG"})
+        out.insert(0, "step", t)
+        out.insert(0, "site", site)
+        yield out
 
 
 def simulate_sites(sites: DataFrame) -> DataFrame:
-    """Records of all sites; sites: site, n, seed, shift (in [-1, 1]), attacked (boolean). A site's length bounds its group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        return simulate(int(r["n"]), int(r["seed"]), scripted=attacks(int(r["n"])) if r["attacked"] else None, shift=float(r["shift"]), site=int(r["site"]))
-
-    return sites.select(F.col("site").cast("long").alias("site"), "n", "seed", "shift", "attacked").groupBy("site").applyInPandas(run, SCHEMA)
+    """Records of all sites; sites: a row each of site, n, seed, shift (in [-1, 1]), attacked (boolean). Of a record of any length one
+    part is held at a time; its steps follow one another, so a site is one task's work."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                n = int(r["n"])
+                yield from simulated(n, int(r["seed"]), scripted=attacks(n) if r["attacked"] else None, shift=float(r["shift"]), site=int(r["site"]))
+
+    # few rows, but much work: a stated number of partitions is not coalesced, and by site itself the exchange would be dropped where sites come grouped
+    parts = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sites.select(F.col("site").cast("long").alias("site"), "n", "seed", "shift", "attacked").repartition(parts, F.xxhash64("site")).mapInPandas(run, SCHEMA)
 
 
 def plant_rules(plant: Plant = Plant(), weak_bounds: bool = False) -> list[rules.Rule]:
