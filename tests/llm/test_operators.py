@@ -540,8 +540,8 @@ def test_flat_trees_walk_like_nested_ones():
 # near-dedup
 
 
-@pytest.mark.parametrize("bucket", [2, 4096])
-def test_near_copies(spark, bucket):
+@pytest.mark.parametrize(("bucket", "leaders"), [(2, 1), (8, 2), (4096, 64)])
+def test_near_copies(spark, bucket, leaders):
     rng = np.random.default_rng(6)
     texts, n = {}, 0
     for size in (1, 1, 3, 8, 30):
@@ -567,7 +567,7 @@ def test_near_copies(spark, bucket):
                 x, y = sorted((top(a), top(b)))
                 parent[y] = x
     want = {k for k in texts if top(k) == k}
-    got = neardedup.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bucket)
+    got = neardedup.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bucket, leaders)
     assert {r.doc_id for r in got.collect()} == want and got.columns == ["doc_id", "text"]
 
 

@@ -4,20 +4,21 @@ Two texts are near copies if the sets of their 5-word shingles (lower case A-Z)
 similarity of 0.8 or more; near copies of near copies form a group, of which the document of the least
 doc_id stays.
 
-1. One pass gives each text its digest, a 128-bit SimHash and min-hash keys, four for each level. Equal texts are one entry.
-2. Entries are filed in shards by each of four keys; similar texts share at least one with a chance of
-   1 - 0.2 ** 4 at a similarity of 0.8, more above. A shard beyond ``BUCKET`` entries is filed again within itself by the
-   next level's four keys, up to ``LEVELS``; at the last one a shard has no bound, and holds entries that agree in three keys.
-3. Each shard is a BK-tree on Hamming distance. Entries with another one within ``RADIUS`` bits are candidates:
-   at a similarity of 0.8 SimHash differs in 19 bits of 128 on average, with a standard deviation of 4.
-4. Candidates' shingles go to their shards once, and links are verified exactly. Entries that are
-   connected already need no check, so a dense group costs a check for each member, not for each pair.
-5. Components of the verified links, over all shards.
+1. One pass gives each text its digest, a 128-bit SimHash and ``BANDS`` keys, each a hash of four independent minima.
+   Equal texts are one entry. Entries that share a key are a shard: at a similarity of 0.8 two share at least one
+   with a chance of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, more above. A shard over ``BUCKET`` entries is dealt in parts by a hash of the entry.
+2. Attachment, in ``ROUNDS`` rounds: each entry walks a BK-tree (children keyed by integer Hamming distance to the parent, only edges within
+   ``RADIUS`` bits followed; at a similarity of 0.8 SimHash differs in 19 bits of 128, with a standard deviation of 4) and takes one entry
+   of another component: the first within ``SURE`` bits, else the nearest. The tree of a shard in parts holds about
+   ``LEADERS`` of its entries and is given to every part. So an entry of a family of any size costs one check a round.
+3. The rest, exactly: in shards that still hold several components, all entries outside of the shard's largest component
+   walk the trees of all its parts, and every pair of two components within ``RADIUS`` is checked.
+4. Checks join the two texts of a pair to it and compare their shingles; verified pairs are links, and components of
+   the links the groups. No task holds a shard, a family or its pairs.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import components
-from tidegate.llm.common import clean_text, cut, words_of
+from tidegate.llm.common import clean_text, sized, stored, words_of
 from tidegate.llm.decontamination import WordHashes, shingles
-from tidegate.llm.simhash import BKTree
+from tidegate.llm.simhash import Forest, numbered, runs, slices
 
-SHINGLE, SIMILARITY, RADIUS, KEYS, LEVELS, BUCKET = 5, 0.8, 32, 4, 3, 4096
-_MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(KEYS * LEVELS + 2)]
+SHINGLE, SIMILARITY, RADIUS, SURE = 5, 0.8, 32, 12
+BANDS, ROWS, BUCKET, LEADERS, ROUNDS = 14, 4, 2048, 64, 2
+#: Seeds of the minima (two of 32 bits from each 64-bit hash) and of the two words of SimHash, and hashes mixed at once.
+_SEEDS = np.random.default_rng(20).integers(0, 2**64, BANDS * ROWS // 2 + 2, dtype=np.uint64)
+CHUNK = 4096
 
 
 def shingle_set(text: str, known: WordHashes) -> np.ndarray:
@@ -40,118 +44,123 @@ def shingle_set(text: str, known: WordHashes) -> np.ndarray:
     return np.unique(shingles(words, min(SHINGLE, len(words)), known)) if words else np.zeros(0, np.uint64)
 
 
-def _mixed(h: np.ndarray, i: int) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(31))) * _MIX[i]
-    return x ^ (x >> np.uint64(29))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of MurmurHash3 on 64-bit values."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
-def sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
-    """SimHash as two signed numbers, and the min-hash keys. An empty set has its own fixed keys."""
-    if not len(h):
-        return [0, 0], [0] * (KEYS * LEVELS)
-    keys = [int(_mixed(h, i).min().view(np.int64)) for i in range(KEYS * LEVELS)]
-    words = []
-    for i in (KEYS * LEVELS, KEYS * LEVELS + 1):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 65536):
-            ones += np.unpackbits(_mixed(h[at : at + 65536], i).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        words.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-    return words, keys
+def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash as two signed numbers, and the keys. An empty set has its own."""
+    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    ones = np.zeros((2, 64), np.int64)
+    for at in range(0, len(h), CHUNK):
+        x = _mixed(h[None, at : at + CHUNK] ^ _SEEDS[:, None])
+        both = x[:-2].view(np.uint32).reshape(BANDS * ROWS // 2, -1, 2)
+        least = np.minimum(least, both.min(axis=1).ravel())
+        ones += np.unpackbits(x[-2:].astype("<u8").view(np.uint8).reshape(2, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    bands = least.reshape(BANDS, ROWS).astype(np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        keys = _mixed(keys ^ (bands[:, r] + np.uint64(0x9E3779B97F4A7C15)))
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").ravel(), keys.view(np.int64)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for b in batches:
-        texts = b.column(1).to_pylist()
-        both = [sketch(shingle_set(t, known)) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([hashlib.md5(t.encode("utf-8", "replace")).digest() for t in texts], pa.binary()), pa.array([x[0][0] for x in both], pa.int64()), pa.array([x[0][1] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.list_(pa.int64()))],
-            ["id", "digest", "low", "high", "keys"],
-        )
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal first column, from batches sorted by it."""
-    held: pa.Table | None = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        first = held.column(0).to_numpy()
-        if len(first) and first[0] != first[-1]:
-            end = int(np.searchsorted(first, first[-1], side="left"))
-            yield held.slice(0, end)
-            held = held.slice(end)
-    if held is not None and held.num_rows:
-        yield held
-
-
-def _bounds(shard: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-    return zip(edges, edges[1:], strict=False)
-
-
-def _prints(t: pa.Table) -> list[int]:
-    low, high = (t[c].to_numpy().view(np.uint64).tolist() for c in ("low", "high"))
-    return [h << 64 | x for x, h in zip(low, high, strict=True)]
-
-
-class Shard:
-    """A BK-tree over fingerprints with the entries of each: several texts may share a fingerprint."""
-
-    def __init__(self):
-        self.tree, self.at = BKTree(RADIUS), []
-
-    def meet(self, value: int, entry: int) -> list[int]:
-        """Earlier entries within the radius; ``entry`` joins."""
-        nodes = self.tree.near_then_add(value)
-        found = [e for n in nodes for e in self.at[n]]
-        own = [n for n in nodes if self.tree.value[n] == value]
-        if own:
-            self.at[own[0]].append(entry)
-        else:
-            self.at.append([entry])
-        return found
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shard, digest, low, high -> shard, digest of the entries with another one within the radius."""
-    for t in _groups(batches):
-        prints, near = _prints(t), np.zeros(t.num_rows, bool)
-        for s, e in _bounds(t["shard"].to_numpy()):
-            if e - s > 1:
-                shard = Shard()
-                for i in range(s, e):
-                    if found := shard.meet(prints[i], i):
-                        near[found], near[i] = True, True
-        hit = t.select(["shard", "digest"]).filter(pa.array(near))
-        yield from hit.combine_chunks().to_batches()
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shard, digest, low, high, shingles -> a, b: verified links that connect each shard's near copies."""
-    for t in _groups(batches):
-        prints, digests = _prints(t), t["digest"].to_pylist()
-        offsets = t["shingles"].combine_chunks()
-        values, ends = offsets.values.to_numpy(), offsets.offsets.to_numpy()
-        sets = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        a, b = [], []
-        for s, e in _bounds(t["shard"].to_numpy()):
-            parent = list(range(s, e))
-
-            def top(i: int, parent=parent, s=s) -> int:
-                while parent[i - s] != i:
-                    i = parent[i - s] = parent[parent[i - s] - s]
-                return i
-
-            shard = Shard()
-            for i in range(s, e):
-                for j in shard.meet(prints[i], i):
-                    if top(i) != top(j) and similar(sets[i], sets[j]):
-                        a.append(digests[j])
-                        b.append(digests[i])
-                        parent[top(i) - s] = top(j)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        both = [sketch(shingle_set(t.as_py(), known)) for t in b.column(2)]
+        prints = np.array([x[0] for x in both], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([x[1] for x in both], pa.list_(pa.int64()))], ["id", "digest", "low", "high", "keys"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """From rows sorted by key and part, in which ``role`` is 0 for an entry of the tree, 1 for a probe and 2 for both:
+    the columns, and probe, entry and distance of the pairs of two components within the radius, in slices."""
+    for t in runs(batches, 2):
+        key, part, role, comp = (t.column(c).to_numpy() for c in ("key", "part", "role", "comp"))
+        prints = np.stack([t.column(c).to_numpy() for c in ("low", "high")], axis=1).view(np.uint64)
+        shard = numbered(key, part)
+        inside = np.flatnonzero(role != 1)
+        # entries of one fingerprint are one node
+        order = inside[np.lexsort((inside, prints[inside, 1], prints[inside, 0], shard[inside]))]
+        node = numbered(shard[order].astype(np.uint64), prints[order, 0], prints[order, 1])
+        first = np.flatnonzero(np.diff(node, prepend=-1))
+        held = np.diff(first, append=len(order))
+        forest = Forest(prints[order[first]], shard[order[first]])
+        roots = np.full(int(shard[-1]) + 1, -1, np.int64)
+        roots[shard[order[first]]] = forest.root
+        probes = np.flatnonzero((role != 0) & (roots[shard] >= 0))
+        size = np.bincount(shard[inside], minlength=len(roots))
+        for part in slices(size[shard[probes]]):
+            own = probes[part]
+            at, hit, d = forest.near(prints[own], roots[shard[own]], RADIUS)
+            at, d, entry = np.repeat(own[at], held[hit]), np.repeat(d, held[hit]), order[np.arange(int(held[hit].sum())) + np.repeat(first[hit] - np.cumsum(held[hit]) + held[hit], held[hit])]
+            other = comp[at] != comp[entry]
+            yield t, at[other], entry[other], d[other]
+
+
+def _pairs(t: pa.Table, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    digest = t.column("digest").combine_chunks()
+    return pa.RecordBatch.from_arrays([digest.take(pa.array(a)), digest.take(pa.array(b)), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
+
+
+def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each probe one entry (a) of the tree: the first within SURE bits, else the nearest one."""
+    for t, probe, entry, d in _trees(batches):
+        order = np.lexsort((entry, np.where(d <= SURE, 0, d), probe))
+        chosen = order[np.flatnonzero(np.diff(probe[order], prepend=-1))]
+        yield _pairs(t, entry[chosen], probe[chosen], d[chosen])
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t, probe, entry, d in _trees(batches):
+        yield _pairs(t, entry, probe, d)
+
+
+PAIR, ROW = "a binary, b binary, distance int", ("key", "part", "role", "digest", "low", "high", "comp")
+
+
+def _walked(rows: DataFrame, walk) -> DataFrame:
+    return rows.select(*ROW).repartition("key", "part").sortWithinPartitions("key", "part", "digest").mapInArrow(walk, PAIR)
+
+
+def _parts(n, bucket: int):
+    return F.ceil(F.col(n) / bucket).cast("int")
+
+
+def filed(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """key, n, part, digest, low, high: a row for each key that an entry (digest, low, high, keys) shares with ``n`` - 1 others."""
+    rows = entries.select(F.explode("keys").alias("key"), "digest", "low", "high")
+    counts = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    # rows of a hot key meet its count in as many places as it has parts
+    hot = sized(counts.filter(F.col("n") > bucket).select("key", _parts("n", bucket).alias("parts")))
+    rows = rows.join(hot, "key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("digest", "key"), F.col("parts"))).cast("int")).drop("parts")
+    spread = counts.select("key", "n", F.explode(F.sequence(F.lit(0), _parts("n", bucket) - 1)).alias("part"))
+    return stored(rows.join(spread, ["key", "part"]))
+
+
+def attach(rows: DataFrame, turn: int, bucket: int = BUCKET, leaders: int = LEADERS) -> DataFrame:
+    """a, b: for each entry of ``rows`` (as ``filed``, with comp) at most one entry of another component to check."""
+    whole = rows.filter(F.col("n") <= bucket).withColumn("role", F.lit(2))
+    large = rows.filter(F.col("n") > bucket)
+    chosen = large.filter(F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("n")) < leaders)
+    given = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), _parts("n", bucket) - 1))).withColumn("role", F.lit(0))
+    tried = _walked(whole.unionByName(large.withColumn("role", F.lit(1))).unionByName(given), _attached)
+    rank = F.struct(F.when(F.col("distance") <= SURE, 0).otherwise(F.col("distance")).alias("rank"), "a")
+    best = tried.groupBy("b").agg(F.min(rank).alias("best")).select("best.a", "b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def remaining(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """a, b: all pairs within the radius that share a key and lie in two components."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("held"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"))
+    outside = rows.join(sized(stored(main)), "key").filter(F.col("comp") != F.col("main")).drop("main")
+    probes = outside.withColumn("part", F.explode(F.sequence(F.lit(0), _parts("n", bucket) - 1))).withColumn("role", F.lit(1))
+    pairs = _walked(rows.withColumn("role", F.lit(0)).unionByName(probes), _all_pairs)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -163,57 +172,69 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(x) + len(y) - both)
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for b in batches:
-        sets = [shingle_set(t, known).view(np.int64) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
-
-
-def shards(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """shard, digest, low, high for entries (digest, low, high, keys) that share a shard with another one."""
-    done = None
-    filed = entries.withColumn("shard", F.lit(0).cast("long"))
-    for level in range(LEVELS):
-        inner = F.array(*[F.xxhash64("shard", F.lit(i), F.col("keys")[KEYS * level + i]) for i in range(KEYS)])
-        filed = filed.select("digest", "low", "high", "keys", F.explode(inner).alias("shard"))
-        counts = filed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = filed.join(counts, "shard")
-        last = level == LEVELS - 1
-        here = (sized if last else sized.filter(F.col("n") <= bucket)).select("shard", "digest", "low", "high")
-        done = here if done is None else done.unionByName(here)
-        if last or counts.filter(F.col("n") > bucket).isEmpty():
-            break
-        filed = sized.filter(F.col("n") > bucket).drop("n")
-    return done
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, first, second (texts) -> the pairs that are near copies. The first text's shingles serve its next pair."""
+    known, held, own = WordHashes(), None, np.zeros(0, np.uint64)
+    for batch in batches:
+        good = []
+        for a, x, y in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+            if a != held:
+                held, own = a, shingle_set(x.as_py(), known)
+            good.append(similar(own, shingle_set(y.as_py(), known)))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose texts (digest, text) are near copies. Both joins are of plain rows, so Spark may split a hot side."""
+    second = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("second")), "b")
+    both = second.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("first")), "a")
+    return both.select("a", "b", "first", "second").mapInArrow(_checked, "a binary, b binary")
+
+
+def groups(entries: DataFrame, docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> DataFrame:
+    """node, root: the digests of all entries that have a near copy, with the least one of their group."""
+    rows = filed(entries, bucket)
+    wanted = rows.select("digest").distinct()
+    texts = stored(docs.select(_digest().alias("digest"), clean_text().alias("text")).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
+    links = tried = None
+    active = rows.withColumn("comp", F.xxhash64("digest"))
+    for turn in range(ROUNDS + 1):
+        pairs = attach(active, turn, bucket, leaders) if turn < ROUNDS else remaining(active, bucket)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = stored(verified(pairs, texts))
+        links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
+        own = components.roots(links)
+        if turn == ROUNDS:
+            return own
+        label = own.select(F.col("node").alias("digest"), F.xxhash64("root").alias("label"))
+        labelled = rows.join(label, "digest", "left").withColumn("comp", F.coalesce("label", F.xxhash64("digest"))).drop("label")
+        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+        active = stored(labelled.join(sized(stored(open_keys)), "key", "left_semi"))
+        if active.isEmpty():
+            return own
 
 
 def _digest():
     return F.unhex(F.md5(clean_text()))
 
 
-def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> DataFrame:
     """``docs`` with one row of each group of exact and near copies: that of the least doc_id (null comes last).
 
     Null and empty texts are one group. Of rows alike in doc_id and text one stays. Columns are those of
-    ``docs``. Empty tables stay empty.
+    ``docs``, whatever their names. Empty tables stay empty.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    entries = docs.select(order.alias("id"), clean_text().alias("text")).mapInArrow(_sketches, "id long, digest binary, low long, high long, keys array<long>")
-    entries = cut(entries.groupBy("digest").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("keys").alias("keys")))
-    filed = shards(entries, bucket)
-    near = cut(filed.repartition("shard").sortWithinPartitions("shard", "digest").mapInArrow(_candidates, "shard long, digest binary"))
-    texts = docs.select(_digest().alias("digest"), clean_text().alias("text"))
-    wanted = near.select("digest").distinct()
-    sets = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(_shingled, "digest binary, shingles array<long>")
-    full = near.join(entries.select("digest", "low", "high"), "digest").join(sets, "digest").select("shard", "digest", "low", "high", "shingles")
-    links = full.repartition("shard").sortWithinPartitions("shard", "digest").mapInArrow(_verified, "a binary, b binary")
-    group = components.roots(links)
+    entries = docs.select(order.alias("id"), _digest().alias("digest"), clean_text().alias("text")).mapInArrow(_sketches, "id long, digest binary, low long, high long, keys array<long>")
+    entries = stored(entries.groupBy("digest").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("keys").alias("keys")))
+    group = groups(entries, docs, bucket, leaders)
     members = entries.select("digest", "id").join(group.withColumnRenamed("node", "digest"), "digest")
     keepers = members.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("k"))
-    losers = members.join(keepers, "root").filter(F.col("digest") != F.col("k.digest")).select(F.col("digest").alias("__digest"))
-    alone = docs.withColumn("__digest", _digest()).groupBy("__digest").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
-    return alone.join(losers, "__digest", "left_anti").select("__row.*")
+    losers = members.join(keepers, "root").filter(F.col("digest") != F.col("k.digest")).select("digest")
+    # a document travels as one value, so that its columns may have any names
+    rows = docs.select(_digest().alias("digest"), order.alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    alone = rows.groupBy("digest").agg(F.min_by("row", "id").alias("row"))
+    return alone.join(losers, "digest", "left_anti").select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

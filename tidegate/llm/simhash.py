@@ -2,16 +2,15 @@
 
 Each text gets a 64-bit SimHash over word shingles. Distinct fingerprints, never documents, are
 searched, so a group of copies costs one entry. Fingerprints that differ in at most 3 bits agree on at
-least two of five blocks, so each is filed under its ten pairs of blocks; a bucket that is larger
-than ``BUCKET`` is filed again by the bits that its members do not share yet, up to three levels, after which
-2^14 fingerprints at most can share a bucket. Nothing is dropped at any level: two fingerprints
-within the radius meet in some bucket.
-
-A bucket is one shard tree: a BK-tree whose children are keyed by their integer Hamming distance to
-the parent. A search follows only edges within the radius of the distance at the node. Members
-found within the radius are joined in the tree's own union-find, so that a bucket yields at most one link for each
-member, not all pairs. Components over all links give the classes. Shard trees are built where
-their buckets are dealt by Spark; they need no broadcast, whose size would grow with the corpus.
+least one of four blocks of 16 bits, so each is filed in four shards, one for each block's value; a shard that is larger
+than ``BUCKET`` is filed again by the bits that its members do not share yet (two of five blocks of these), up to three times
+more. Nothing is dropped at any level: two fingerprints within the radius meet in some shard.
+
+A shard is a BK-tree whose children are keyed by their integer Hamming distance to the parent. Every member is a probe
+and follows only edges within the radius of its distance at the node; there is no other comparison. Trees are flat arrays, and all trees of an Arrow
+batch are built and walked together. Members found within the radius are joined in the task, so that a shard yields at most
+one link for each member, not all pairs. Components over all links give the classes. A shard's tree goes to the task
+that Spark deals its probes to, not to all executors: the trees together grow with the corpus.
 """
 
 from __future__ import annotations
@@ -28,8 +27,10 @@ from pyspark.sql import functions as F
 from tidegate.llm import components
 from tidegate.llm.common import cut, table, words_of
 
-RADIUS, BLOCKS, LEVELS, BUCKET = 3, 5, 3, 4096
+RADIUS, FIRST, BLOCKS, LEVELS, BUCKET = 3, 4, 5, 4, 4096
 SHINGLE = 3
+#: Nodes that one slice of probes may visit at once: bounds the memory of a walk.
+WALK = 1 << 21
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -78,80 +79,133 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-class BKTree:
-    """Nodes in arrays; edges[node] maps a distance to the child at it."""
-
-    def __init__(self, radius: int = RADIUS):
-        self.radius, self.value, self.edges = radius, [], []
-
-    def near_then_add(self, value: int) -> list[int]:
-        """The nodes within the radius of ``value``, which joins the tree (an equal one stands already: not again)."""
-        if not self.value:
-            self.value.append(value), self.edges.append({})
-            return []
-        found, todo, r, values, edges = [], [0], self.radius, self.value, self.edges
-        while todo:
-            node = todo.pop()
-            d = (values[node] ^ value).bit_count()
-            if d <= r:
-                found.append(node)
-            todo += [child for k, child in edges[node].items() if d - r <= k <= d + r]
-        node = 0
-        while d := (values[node] ^ value).bit_count():
-            child = edges[node].get(d)
-            if child is None:
-                edges[node][d] = len(values)
-                values.append(value), edges.append({})
-                break
-            node = child
-        return found
-
-
-def bucket_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (root, member) that join the distinct ``values`` within the radius of each other: at most one a member."""
-    if len(values) == 2:
-        return [(values[0], values[1])] if (values[0] ^ values[1]).bit_count() <= radius else []
-    tree, parent = BKTree(radius), list(range(len(values)))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i, v in enumerate(values):
-        for node in tree.near_then_add(v):
-            parent[top(i)] = top(node)
-    return [(values[top(i)], values[i]) for i in range(len(values)) if top(i) != i]
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+class Forest:
+    """BK-trees, one for each shard, in flat arrays that are built and walked level by level.
+
+    ``values`` holds a fingerprint a row (one or two 64-bit words), distinct within a shard; the first of a shard is its
+    root. ``keys`` are the edges, sorted by (parent, integer distance to it), ``child`` their ends.
+    """
+
+    def __init__(self, values: np.ndarray, shard: np.ndarray):
+        self.values, self.width, self.visits = values, 64 * values.shape[1] + 1, 0
+        _, first, own = np.unique(shard, return_index=True, return_inverse=True)
+        self.root = first[own]
+        keys, child = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        here = np.flatnonzero(self.root != np.arange(len(values)))
+        at = self.root[here]
+        while len(here):
+            edge, which, own = np.unique(at * self.width + _distance(values[here], values[at]), return_index=True, return_inverse=True)
+            keys.append(edge)
+            child.append(here[which])
+            later = np.ones(len(here), bool)
+            later[which] = False
+            here, at = here[later], here[which][own][later]
+        keys, child = np.concatenate(keys), np.concatenate(child)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.child = keys[order], child[order]
+
+    def near(self, probes: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """probe, node, distance for all nodes within the radius, walking from each probe's root along edges within it."""
+        probe, node = np.arange(len(probes)), root
+        found = [(np.zeros(0, np.int64),) * 3]
+        while len(probe):
+            d = _distance(probes[probe], self.values[node])
+            self.visits += len(d)
+            hit = d <= radius
+            found.append((probe[hit], node[hit], d[hit]))
+            low = np.searchsorted(self.keys, node * self.width + np.maximum(d - radius, 0))
+            count = np.searchsorted(self.keys, node * self.width + np.minimum(d + radius, self.width - 1), side="right") - low
+            probe = np.repeat(probe, count)
+            node = self.child[np.arange(len(probe)) + np.repeat(low - np.cumsum(count) + count, count)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def slices(sizes: np.ndarray, most: int = WALK) -> Iterator[slice]:
+    """Consecutive slices of probes whose trees hold ``most`` nodes in sum (or one probe)."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the least node that the links a, b lead to."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def shard_links(values: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links (root, member) that join the distinct ``values`` (n x words) of each shard within the radius, at most one a
+    member, and the number of nodes that the walks visited."""
+    forest = Forest(values, shard)
+    _, own, size = np.unique(shard, return_inverse=True, return_counts=True)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in slices(size[own]):
+        probe, node, _ = forest.near(values[part], forest.root[part], radius)
+        probe = probe + part.start
+        later = probe > node
+        a.append(node[later])
+        b.append(probe[later])
+    label = least_reachable(len(values), np.concatenate(a), np.concatenate(b))
+    member = np.flatnonzero(label != np.arange(len(values)))
+    return label[member], member, forest.visits
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """Tables of whole runs that agree in the first ``by`` columns, from batches sorted by these; a run is bounded by the caller."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        keys = [t.column(c).to_numpy() for c in range(by)]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if held and any(h != k[0] for h, k in zip((held[-1].column(c)[-1].as_py() for c in range(by)), keys, strict=True)):
+            yield pa.concat_tables(held)
+            held = []
+        if len(change):
+            yield pa.concat_tables([*held, t.slice(0, int(change[-1]))])
+            held, t = [], t.slice(int(change[-1]))
+        held.append(t)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def numbered(*columns: np.ndarray) -> np.ndarray:
+    """The number of the run that each row of sorted columns lies in."""
+    change = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.concatenate([[0], np.cumsum(change)]) if len(columns[0]) else np.zeros(0, np.int64)
 
 
 def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, key, fp) sorted by mask and key: each run of them is a bucket."""
-    held = np.zeros((0, 3), np.int64)
-    for batch in _and_end(batches):
-        rows = held if batch is None else np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-        change = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-        bounds = [0, *change.tolist(), *([len(rows)] if batch is None else [])]
-        links: list[tuple[int, int]] = []
-        for s, e in zip(bounds, bounds[1:], strict=False):
-            if e - s > 1:
-                links += bucket_links([x & (2**64 - 1) for x in rows[s:e, 2].tolist()], radius)
-        held = rows[bounds[-1] :]
-        if links:
-            a = np.array(links, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
-
-
-def _and_end(batches):
-    yield from batches
-    yield None
+    """Rows (mask, key, fp) sorted by these: each run of mask and key is a shard."""
+    for t in runs(batches, 2):
+        mask, key, fp = (c.to_numpy() for c in t.columns)
+        a, b, _ = shard_links(fp.view(np.uint64).reshape(-1, 1), numbered(mask, key), radius)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """a, b: links that connect the distinct fingerprints ``fps`` (column fp) exactly as all pairs within the radius do."""
     spark = fps.sparkSession
-    filed = fps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in submasks(0, radius)])).alias("mask"), "fp")
+    masks = submasks(0, radius, FIRST)
+    filed = fps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp")
     small = None
-    masks = submasks(0, radius)
     for level in range(LEVELS):
         filed = filed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         counts = filed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -161,7 +215,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         small = here if small is None else small.unionByName(here)
         if last or counts.filter(F.col("n") > bucket).isEmpty():
             break
-        # at most 10 ** (level + 1) masks, whatever the input
+        # at most 4 * 10 ** (level + 1) masks, whatever the input
         below = [(_signed(m), _signed(x)) for m in masks for x in submasks(m, radius)]
         masks = sorted({x for m in masks for x in submasks(m, radius)})
         finer = F.broadcast(spark.createDataFrame(below, "mask long, finer long"))
