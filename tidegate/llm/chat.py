@@ -1,62 +1,68 @@
-"""Multi-party perspective rotation: one training example per conversation and participant.
+r"""Multi-party perspective rotation: one training example per conversation and participant.
 
 Every role but ``system`` is a participant. For each of them the whole dialogue is rendered with that
 speaker as the assistant and the others as users under their names; system turns stay system turns.
 ``mask`` lists the character spans [start, end) that a loss should cover: the assistant's own words
 with the end mark, so that the model learns to stop.
+
+Texts and names cannot forge a delimiter: a ``<`` before ``|`` or ``\`` gets a ``\`` behind it, which ``unescaped`` takes back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import table
 
 START, MID, END = "<|start|>", "<|message|>", "<|end|>"
-#: Turns of one example; a longer dialogue goes on in further parts, whole turns each.
-PART_TURNS = 512
 
 
-def _header(role: Column, speaker: Column) -> Column:
-    """The label of a turn as seen by ``speaker``."""
-    return F.when(role == "system", F.lit("system")).when(role == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), role))
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(?=[|\\])", r"<\\")
 
 
-def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, speaker, part, n_turns, n_own, n_chars, rendered, mask (array of struct(start, end)).
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(?=[|\\])", "<")
 
-    Turns go by (turn, role, text). A null role reads as "unknown", a null text as empty, a null turn
-    comes first; equal rows are turns of their own. A part holds the turns whose number falls in one
-    block of ``part_turns``, so no task ever gathers a conversation without bound. A conversation of
-    system turns alone has no participant and gives no row. A null conv_id is one conversation.
-    """
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / part_turns).cast("long"))
-    names = t.filter("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers"))
-    parts = t.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    joined = parts.alias("p").join(names.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select("p.conv_id", "part", "turns", F.explode("speakers").alias("speaker"))
-    seen = joined.withColumn(
-        "shown",
-        F.transform("turns", lambda x: F.struct(F.concat(F.lit(START), _header(x["role"], F.col("speaker")), F.lit(MID)).alias("head"), F.concat(x["text"], F.lit(END)).alias("body"), (x["role"] == F.col("speaker")).alias("own"))),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["head"])
-        end = begin + F.length(x["body"])
-        return F.struct(end.alias("at"), F.when(x["own"], F.concat(acc["mask"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["mask"]).alias("mask"))
+def rotate(turns: DataFrame) -> DataFrame:
+    """conv_id, speaker, n_turns, n_own, n_chars, rendered, mask (array of struct(start, end)).
 
-    laid = seen.withColumn("laid", F.aggregate("shown", start, step))
-    return laid.select(
+    Turns go by (turn, role, text), nulls first. A null role is a speaker of its own, null in ``speaker`` and a user without a name to
+    others; a null text is empty; equal rows are turns of their own. A conversation of
+    system turns alone has no participant and gives no row. A null conv_id is one conversation. Each
+    row holds its dialogue whole, however long, up to the 2 GB of a Spark value; places are running sums taken once
+    for a conversation, so work is in proportion to what is rendered.
+    """
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = turns.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.concat(escaped(F.coalesce("text", F.lit(""))), F.lit(END)).alias("body"),
+        F.when(F.col("role") == "system", F.lit("system")).otherwise(F.concat(F.lit("user"), F.coalesce(F.concat(F.lit(" name="), escaped(F.col("role"))), F.lit("")))).alias("label"),
+    )
+    frame = len(START + MID)
+    t = t.select("conv_id", "role", "label", "body", F.row_number().over(order).alias("at"), F.sum(F.length("label") + frame + F.length("body")).over(upto).alias("end"))
+    whole = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "label", "body", "end"))).alias("turns"))
+    people = F.array_distinct(F.transform(F.filter("turns", lambda x: ~x["role"].eqNullSafe("system")), lambda x: F.struct(x["role"].alias("speaker"), F.length(x["label"]).alias("named"))))
+    seen = whole.select("conv_id", "turns", F.explode(people).alias("p")).select("conv_id", "turns", "p.speaker", "p.named")
+    seen = seen.withColumn("own", F.filter("turns", lambda x: x["role"].eqNullSafe(F.col("speaker"))))
+    # the speaker's earlier turns are "assistant" here, not the label that the sums hold
+    shift = lambda k: (k + 1) * (len("assistant") - F.col("named"))
+    mask = F.transform("own", lambda x, k: F.struct((x["end"] + shift(k) - F.length(x["body"])).cast("long").alias("start"), (x["end"] + shift(k)).cast("long").alias("end")))
+    label = lambda x: F.when(x["role"].eqNullSafe(F.col("speaker")), F.lit("assistant")).otherwise(x["label"])
+    return seen.select(
         "conv_id",
         "speaker",
-        "part",
         F.size("turns").cast("long").alias("n_turns"),
-        F.size(F.filter("shown", lambda x: x["own"])).cast("long").alias("n_own"),
-        F.col("laid.at").alias("n_chars"),
-        F.array_join(F.transform("shown", lambda x: F.concat(x["head"], x["body"])), "").alias("rendered"),
-        F.col("laid.mask").alias("mask"),
+        F.size("own").cast("long").alias("n_own"),
+        (F.element_at("turns", -1)["end"] + F.size("own") * (len("assistant") - F.col("named"))).cast("long").alias("n_chars"),
+        F.array_join(F.transform("turns", lambda x: F.concat(F.lit(START), label(x), F.lit(MID), x["body"])), "").alias("rendered"),
+        mask.alias("mask"),
     )
 
 
@@ -67,13 +73,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
+    escape = lambda x: rf"regexp_replace({x}, '<([|\\])', '<\\\1', 'g')"
     return f"""
-WITH t AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, floor(coalesce(turn, 0) / {PART_TURNS})::BIGINT AS part FROM conversations),
-s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-r AS (SELECT t.*, s.speaker, '{START}' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || '{MID}' AS head, text || '{END}' AS body
+WITH t AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text, {escape("coalesce(text, '')")} || '{END}' AS body,
+  CASE WHEN role = 'system' THEN 'system' WHEN role IS NULL THEN 'user' ELSE 'user name=' || {escape('role')} END AS label FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role IS DISTINCT FROM 'system'),
+r AS (SELECT t.*, s.speaker, '{START}' || CASE WHEN role IS NOT DISTINCT FROM speaker THEN 'assistant' ELSE label END || '{MID}' AS head
   FROM t JOIN s ON s.conv_id IS NOT DISTINCT FROM t.conv_id),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text, rid) AS stop FROM r)
-SELECT conv_id, speaker, part, count(*)::BIGINT AS n_turns, (count(*) FILTER (role = speaker))::BIGINT AS n_own, max(stop)::BIGINT AS n_chars,
-  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text, rid) AS rendered,
-  coalesce(string_agg((stop - length(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop) FILTER (role = speaker), '') AS mask
-FROM o GROUP BY conv_id, speaker, part"""
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST, rid) AS stop FROM r)
+SELECT conv_id, speaker, count(*)::BIGINT AS n_turns, (count(*) FILTER (role IS NOT DISTINCT FROM speaker))::BIGINT AS n_own, max(stop)::BIGINT AS n_chars,
+  string_agg(head || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST, rid) AS rendered,
+  coalesce(string_agg((stop - length(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop) FILTER (role IS NOT DISTINCT FROM speaker), '') AS mask
+FROM o GROUP BY conv_id, speaker"""
