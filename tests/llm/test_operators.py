@@ -668,6 +668,52 @@ def test_near_copies(spark, bucket, leaders):
     assert {r.doc_id for r in got.collect()} == want and got.columns == ["doc_id", "text"]
 
 
+def test_recall_at_the_boundary():
+    """Pairs of a similarity of 0.80 to 0.84: nearly all share a key and lie within the radius."""
+    rng = np.random.default_rng(1)
+    known, first, second = decontamination.WordHashes(), [], []
+    while len(first) < 1500:
+        n = int(rng.integers(60, 400))
+        w = [f"w{i}" for i in rng.integers(0, 9000, n)]
+        v = list(w)
+        for j in rng.choice(n, max(1, int(n * rng.uniform(0.015, 0.03))), replace=False):
+            v[j] = f"e{rng.integers(0, 10**6)}"
+        x, y = (neardedup.shingle_set(" ".join(z), known) for z in (w, v))
+        if 0.8 <= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < 0.84:
+            first.append(" ".join(w))
+            second.append(" ".join(v))
+    (p, a), (q, b) = (neardedup.sketches(t, decontamination.ByteHashes(), known) for t in (first, second))
+    near = np.bitwise_count((p ^ q).view(np.uint64)).sum(axis=1) <= neardedup.RADIUS
+    assert ((a == b).any(axis=1) & near).mean() >= 0.995
+
+
+def test_trees_visit_what_their_edges_allow():
+    """All pairs within the radius among 10,000 fingerprints with a dense cluster, without visiting all pairs."""
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 2**64, 10_000, dtype=np.uint64)
+    values[4000:6000] = values[0]
+    for i in range(4000, 6000):
+        for b in rng.choice(64, 3, replace=False):
+            values[i] ^= np.uint64(1 << int(b))
+    values = np.unique(values)
+    rng.shuffle(values)
+    shard = np.zeros(len(values), np.int64)
+    forest = simhash.Forest(values.reshape(-1, 1), shard)
+    pairs = set()
+    for part in simhash.slices(np.full(len(values), len(values))):
+        probe, node, d = forest.near(values[part].reshape(-1, 1), forest.root[part], 3)
+        assert (np.bitwise_count(values[probe + part.start] ^ values[node]) == d).all()
+        pairs |= set(zip((probe + part.start).tolist(), node.tolist(), strict=True))
+    want = set()
+    for i, v in enumerate(values):
+        want |= {(i, j) for j in np.flatnonzero(np.bitwise_count(values ^ v) <= 3).tolist()}
+    assert pairs == want and forest.visits < 0.7 * len(values) ** 2
+    a, b, visits = simhash.shard_links(values.reshape(-1, 1), shard)
+    label = simhash.least_reachable(len(values), a, b)
+    x, y = map(np.array, zip(*want, strict=True))
+    assert (label == simhash.least_reachable(len(values), x, y)).all() and visits == forest.visits
+
+
 def test_near_dedup_of_awkward_rows(odd, none):
     got = neardedup.keep_one(odd)
     # 1, 1 and 7 are copies; null, empty and blank texts are one group

@@ -16,8 +16,8 @@ its one window. A window and an item are multisets of shingles (5 words; an item
 5. A text with fewer shingles than an item, but 0.8 of them at least, needs no fingerprint: an item that reaches 0.8 lacks few of
    its shingles, so it holds one of any that outnumber these. All holders of the rarest are verified; that loses nothing.
 
-Items are read in blocks of ``ITEMS`` and each block is held against all documents; a benchmark of
-any size takes bounded memory. No shuffle is needed.
+Items are read in blocks of at most ``ITEMS`` items and ``CHARS`` characters, and each block is held against all documents in a pass of its
+own. No shuffle is needed.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import table, words_of
+from tidegate.llm.common import stored, table, trimming, words_of
 
 SHINGLE, SIMILARITY, RADIUS, NEAR = 5, 0.8, 20, 2
-ITEMS, WORDS = 20_000, 500_000
+ITEMS, CHARS, WORDS = 20_000, 32_000_000, 150_000
 SHIFTS = np.arange(8, dtype=np.uint64) * np.uint64(8)
 #: Block values within NEAR bits of 0: XOR with a block gives its neighbours.
 MASKS = np.array([m for m in range(256) if m.bit_count() <= NEAR], dtype=np.uint8)
@@ -304,14 +303,17 @@ def indexed(items: list[tuple[int, str | None]]) -> Index:
     return _made[key]
 
 
-def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[list[tuple[int, str | None]]]:
-    """Items with an id, in blocks of at most ``size``."""
+def item_blocks(benchmark: DataFrame, size: int = ITEMS, most: int = CHARS) -> Iterator[list[tuple[int, str | None]]]:
+    """Items with an id, in blocks of at most ``size`` items and ``most`` characters (or one item)."""
     part: list = []
+    held = 0
     for r in benchmark.select("item_id", "text").filter("item_id IS NOT NULL").toLocalIterator():
-        part.append((r.item_id, r.text))
-        if len(part) == size:
+        own = len(r.text or "")
+        if part and (len(part) == size or held + own > most):
             yield part
-            part = []
+            part, held = [], 0
+        part.append((r.item_id, r.text))
+        held += own
     if part:
         yield part
 
@@ -320,19 +322,11 @@ MATCHES = "array<struct<item_id:bigint,similarity:double,first_word:bigint,n_wor
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
 
-def mark(docs: DataFrame, items: list[tuple[int, str | None]], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with ``__matches`` of the items."""
-    texts = docs.select(F.col("text").alias("__text"), *keep)
-    schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes[1:])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            index = indexed(items)
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            found = [[dict(zip(("item_id", "similarity", "first_word", "n_words"), m, strict=True)) for m in index.matches(t)] if may else [] for t, may in zip(texts, index.possible(texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, _ARROW)], [*b.schema.names[1:], "__matches"])
-
-    return texts.mapInArrow(run, f"{schema}, __matches {MATCHES}")
+def found_in(texts: list[str | None], items: list[tuple[int, str | None]]) -> list[list[tuple[int, float, int, int]]]:
+    """The matches of each text."""
+    index = indexed(items)
+    whole = [t or "" for t in texts]
+    return [index.matches(t) if may else [] for t, may in zip(whole, index.possible(whole), strict=True)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -340,11 +334,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Only contaminated documents appear. Words are lower-cased (A-Z). Null and empty texts and items
     match nothing; a text with fewer shingles than an item is one window, of its own n_words; repeated documents or items give a row each.
+    Of several blocks all but the last are written before the next is read, so that one is held at a time.
     """
-    parts = [mark(docs, items, ["doc_id"]).select("doc_id", F.inline("__matches")) for items in item_blocks(benchmark)]
-    if not parts:
-        return docs.select("doc_id", F.inline(F.array().cast(MATCHES)))
-    return reduce(DataFrame.unionAll, parts)
+    texts, done, last = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None, None
+
+    def marked(items: list[tuple[int, str | None]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [[dict(zip(("item_id", "similarity", "first_word", "n_words"), m, strict=True)) for m in x] for x in found_in(b.column(1).to_pylist(), items)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _ARROW)], ["doc_id", "matches"])
+
+        return texts.mapInArrow(trimming(run), f"doc_id long, matches {MATCHES}").select("doc_id", F.inline("matches"))
+
+    for items in item_blocks(benchmark):
+        if last is not None:
+            last = stored(last)
+            done = last if done is None else done.unionAll(last)
+        last = marked(items)
+    if last is None:
+        return texts.select("doc_id", F.inline(F.array().cast(MATCHES)))
+    return last if done is None else done.unionAll(last)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +361,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no benchmark item."""
-    for items in item_blocks(table(spark, sf_dir, "benchmark")):
-        docs = mark(docs, items, docs.columns).filter(F.size("__matches") == 0).drop("__matches")
+    """Pipeline stage: documents that hold no benchmark item. Columns are those of ``docs``, whatever their names."""
+    at = docs.columns.index("text")
+    for i, items in enumerate(item_blocks(table(spark, sf_dir, "benchmark"))):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not x for x in found_in(b.column(at).to_pylist(), items)], pa.bool_()))
+
+        docs = (stored(docs) if i else docs).mapInArrow(trimming(run), docs.schema)
     return docs

@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import components
-from tidegate.llm.common import clean_text, sized, stored, words_of
-from tidegate.llm.decontamination import WordHashes, shingles
+from tidegate.llm.common import clean_text, sized, stored, trimming, words_of
+from tidegate.llm.decontamination import CHUNK as BYTES
+from tidegate.llm.decontamination import ByteHashes, WordHashes, rolled, shingles
 from tidegate.llm.simhash import Forest, numbered, runs, slices
 
 SHINGLE, SIMILARITY, RADIUS, SURE = 5, 0.8, 32, 12
-BANDS, ROWS, BUCKET, LEADERS, ROUNDS = 14, 4, 2048, 64, 2
-#: Seeds of the minima (two of 32 bits from each 64-bit hash) and of the two words of SimHash, and hashes mixed at once.
-_SEEDS = np.random.default_rng(20).integers(0, 2**64, BANDS * ROWS // 2 + 2, dtype=np.uint64)
+BANDS, ROWS, BUCKET, LEADERS, ROUNDS = 14, 4, 256, 64, 2
+#: Seeds and odd factors of the minima (two of 32 bits from each 64-bit hash) and of the two words of SimHash, and hashes mixed at once.
+_SEEDS = np.random.default_rng(20).integers(0, 2**64, (2, BANDS * ROWS // 2 + 2, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 CHUNK = 4096
+_HALF = np.uint64(32)
 
 
 def shingle_set(text: str, known: WordHashes) -> np.ndarray:
@@ -52,27 +54,64 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash as two signed numbers, and the keys. An empty set has its own."""
-    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    """Of the distinct shingle hashes: bits set in each place of two 64-bit words, and the minima. An empty set has its own."""
+    least = np.full((2, BANDS * ROWS // 2), 2**32 - 1, np.uint64)
     ones = np.zeros((2, 64), np.int64)
     for at in range(0, len(h), CHUNK):
-        x = _mixed(h[None, at : at + CHUNK] ^ _SEEDS[:, None])
-        both = x[:-2].view(np.uint32).reshape(BANDS * ROWS // 2, -1, 2)
-        least = np.minimum(least, both.min(axis=1).ravel())
-        ones += np.unpackbits(x[-2:].astype("<u8").view(np.uint8).reshape(2, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
-    bands = least.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+        x = (h[None, at : at + CHUNK] ^ _SEEDS[0]) * _SEEDS[1]
+        x ^= x >> _HALF
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x[-2:].astype("<u8").view(np.uint8).reshape(2, -1, 8), axis=2, bitorder="little")
+        for i in range(0, bits.shape[1], 255):
+            ones += bits[:, i : i + 255].sum(axis=1, dtype=np.uint8)
+        x = x[:-2]
+        np.minimum(least[0], x.min(axis=1) >> _HALF, out=least[0])
+        x <<= _HALF
+        np.minimum(least[1], x.min(axis=1) >> _HALF, out=least[1])
+    return 2 * ones > len(h), least.ravel()
+
+
+def sketches(texts: list[str], bytes_: ByteHashes, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """For each text SimHash as two signed numbers, and its keys. Words are hashed together, CHUNK bytes of texts at a time."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in byte_chunks(texts):
+        if len(part) == 1 and len(part[0]) >= BYTES:
+            sets = [shingle_set(part[0].decode("utf-8", "replace"), known)]
+        else:
+            h, first = bytes_.words(part)
+            sets = [np.unique(rolled(w, min(SHINGLE, len(w)))) if len(w := h[s:e]) else w for s, e in zip(first, first[1:], strict=False)]
+        found += map(sketch, sets)
+    if not found:
+        return np.zeros((0, 2), np.int64), np.zeros((0, BANDS), np.int64)
+    bands = np.stack([x[1] for x in found]).reshape(len(found), BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(found), BANDS))
     for r in range(ROWS):
-        keys = _mixed(keys ^ (bands[:, r] + np.uint64(0x9E3779B97F4A7C15)))
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").ravel(), keys.view(np.int64)
+        keys = _mixed(keys ^ (bands[:, :, r] + np.uint64(0x9E3779B97F4A7C15)))
+    return np.packbits(np.stack([x[0] for x in found]), axis=2, bitorder="little").view("<i8").reshape(-1, 2), keys.view(np.int64)
+
+
+def byte_chunks(texts: list[str]) -> Iterator[list[bytes]]:
+    """Consecutive texts of less than BYTES together, with their ends; a longer one alone."""
+    part: list[bytes] = []
+    size = 0
+    for t in texts:
+        raw = t.encode("utf-8", "replace")
+        if part and size + len(raw) + 1 > BYTES:
+            yield part
+            part, size = [], 0
+        part.append(raw)
+        size += len(raw) + 1
+    if part:
+        yield part
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
+    bytes_, known = ByteHashes(), WordHashes()
     for b in batches:
-        both = [sketch(shingle_set(t.as_py(), known)) for t in b.column(2)]
-        prints = np.array([x[0] for x in both], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([x[1] for x in both], pa.list_(pa.int64()))], ["id", "digest", "low", "high", "keys"])
+        prints, keys = sketches(b.column(2).to_pylist(), bytes_, known)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], ["id", "digest", "low", "high", "keys"])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -123,7 +162,7 @@ PAIR, ROW = "a binary, b binary, distance int", ("key", "part", "role", "digest"
 
 
 def _walked(rows: DataFrame, walk) -> DataFrame:
-    return rows.select(*ROW).repartition("key", "part").sortWithinPartitions("key", "part", "digest").mapInArrow(walk, PAIR)
+    return rows.select(*ROW).repartition("key", "part").sortWithinPartitions("key", "part", "digest").mapInArrow(trimming(walk), PAIR)
 
 
 def _parts(n, bucket: int):
@@ -188,7 +227,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose texts (digest, text) are near copies. Both joins are of plain rows, so Spark may split a hot side."""
     second = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("second")), "b")
     both = second.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("first")), "a")
-    return both.select("a", "b", "first", "second").mapInArrow(_checked, "a binary, b binary")
+    return both.select("a", "b", "first", "second").mapInArrow(trimming(_checked), "a binary, b binary")
 
 
 def groups(entries: DataFrame, docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> DataFrame:
@@ -225,7 +264,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> D
     ``docs``, whatever their names. Empty tables stay empty.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    entries = docs.select(order.alias("id"), _digest().alias("digest"), clean_text().alias("text")).mapInArrow(_sketches, "id long, digest binary, low long, high long, keys array<long>")
+    entries = docs.select(order.alias("id"), _digest().alias("digest"), clean_text().alias("text")).mapInArrow(trimming(_sketches), "id long, digest binary, low long, high long, keys array<long>")
     entries = stored(entries.groupBy("digest").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("keys").alias("keys")))
     group = groups(entries, docs, bucket, leaders)
     members = entries.select("digest", "id").join(group.withColumnRenamed("node", "digest"), "digest")

@@ -60,7 +60,7 @@ TESTS = {
 
 
 #: Elements of a block of a running sum; characters of a piece of text.
-BLOCK, PIECE = 64, 1024
+BLOCK, PIECE = 256, 1024
 
 
 def with_running(df: DataFrame, column: str, out: str, op) -> DataFrame:
@@ -70,7 +70,9 @@ def with_running(df: DataFrame, column: str, out: str, op) -> DataFrame:
     places = F.when(F.size(column) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.floor((F.size(column) - 1) / BLOCK).cast("int")))
     df = df.withColumn("__blocks", F.transform(places, lambda i: scanned(F.slice(column, i * BLOCK + 1, BLOCK))))
     df = df.withColumn("__totals", scanned(F.transform("__blocks", lambda b: F.element_at(b, -1))))
-    shifted = F.transform("__blocks", lambda b, i: F.transform(b, lambda x: F.coalesce(op(F.get("__totals", i - 1), x), x)))
+    # what each block starts from comes as an argument: a column that only a lambda names is computed anew for each element
+    before = F.slice(F.concat(F.array(F.lit(None).cast("int")), "__totals"), F.lit(1), F.size("__blocks"))
+    shifted = F.zip_with("__blocks", before, lambda b, o: F.transform(b, lambda x: F.coalesce(op(o, x), x)))
     return df.withColumn(out, F.flatten(shifted)).drop("__blocks", "__totals")
 
 

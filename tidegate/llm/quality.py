@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import WORD, table
+from tidegate.llm.common import WORD, table, trimming
 
 #: Labelled rows that training reads at most; a stated bound, the same at every input size.
 SAMPLE = 20_000
@@ -66,6 +66,10 @@ def matrix(texts: list[str | None]) -> np.ndarray:
     return np.array([statistics(t or "", press) for t in texts], dtype=float).reshape(len(texts), len(STATISTICS))
 
 
+#: Rows that walk the trees together.
+ROWS = 1024
+
+
 @dataclass
 class Forest:
     """Complete trees: node i has children 2i+1 and 2i+2; rows with value > cut go right."""
@@ -76,15 +80,15 @@ class Forest:
     leaf: np.ndarray  # trees x leaves
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
         raw = np.full(len(x), self.base)
         if len(self.leaf):
-            rows, trees = np.arange(len(x))[:, None], np.arange(len(self.leaf))[None, :]
-            at = np.zeros((len(x), len(self.leaf)), dtype=int)
-            for _ in range(int(np.log2(self.leaf.shape[1]))):
-                at = 2 * at + 1 + (x[rows, self.feature[trees, at]] > self.cut[trees, at])
-            raw += self.leaf[trees, at - self.feature.shape[1]].sum(axis=1)
+            trees = np.arange(len(self.leaf))[None, :]
+            for start in range(0, len(x), ROWS):  # bounds the places held at once
+                part = x[start : start + ROWS]
+                rows, at = np.arange(len(part))[:, None], np.zeros((len(part), len(self.leaf)), dtype=int)
+                for _ in range(int(np.log2(self.leaf.shape[1]))):
+                    at = 2 * at + 1 + (part[rows, self.feature[trees, at]] > self.cut[trees, at])
+                raw[start : start + ROWS] += self.leaf[trees, at - self.feature.shape[1]].sum(axis=1)
         return 1 / (1 + np.exp(-raw))
 
 
@@ -133,7 +137,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Fit on at most ``sample`` labelled rows that are not held out; null texts are empty, null labels are skipped."""
+    """Fit on at most ``sample`` labelled rows that are not held out; null texts are empty, null labels are skipped.
+
+    Of documents that repeat an id the least text is learnt from.
+    """
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
@@ -143,23 +150,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     # at most `sample` ids, so their broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(measured, "doc_id long, quality int, x array<double>")
-    got = sorted((r.doc_id, r.quality, r.x) for r in rows.limit(2 * sample).collect())
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).mapInArrow(trimming(measured), "doc_id long, quality int, x array<double>")
+    got = sorted((r.doc_id, r.quality, r.x) for r in rows.collect())
     return fit(np.array([r[2] for r in got]).reshape(len(got), len(STATISTICS)), np.array([r[1] for r in got], dtype=float))
 
 
 def score(docs: DataFrame, forest: Forest, keep: list[str], out: str = "score") -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``out``, 0 to 1, higher for better text; it takes the place of a kept column of its name."""
     keep = [c for c in keep if c.lower() != out.lower()]
-    texts = docs.select(F.col("text").alias("__text"), *keep)
-    schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes[1:])
+    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    at, schema = rows.columns.index("text"), ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = forest.score(matrix(b.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*b.schema.names[1:], out])
+            s = forest.score(matrix(b.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], [*keep, out])
 
-    return texts.mapInArrow(run, f"{schema}, `{out}` double")
+    return rows.mapInArrow(trimming(run), f"{schema}, `{out}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,5 +178,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose score reaches the threshold, with the columns of documents."""
-    forest = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, forest, docs.columns, "__score").filter(F.col("__score") >= THRESHOLD).select(docs.columns)
+    forest, at = train(docs, table(spark, sf_dir, "labels")), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(forest.score(matrix(b.column(at).to_pylist())) >= THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(trimming(run), docs.schema)

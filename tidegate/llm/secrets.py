@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import table
+from tidegate.llm.common import table, trimming
 
 KINDS = ("assign", "access", "hex", "novel")
 PATTERNS = {
@@ -128,7 +128,7 @@ def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def identifiers(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
     """The ``most`` identifiers that stand in most documents (two at least), counted over all of them: a bounded dictionary."""
-    counts = docs.select("text").mapInArrow(_identifiers, "said string, n long").groupBy("said").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = docs.select("text").mapInArrow(trimming(_identifiers), "said string, n long").groupBy("said").agg(F.sum("n").alias("n")).filter("n > 1")
     return [r.said for r in counts.orderBy(F.desc("n"), "said").limit(most).collect()]
 
 
@@ -160,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i > 5 else pa.int64()) for i, c in enumerate(columns)], [x.split()[0] for x in OUT.split(", ")])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, OUT)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(trimming(run), OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

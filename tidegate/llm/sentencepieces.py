@@ -26,12 +26,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm.common import table
+from tidegate.llm.common import table, trimming
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text that are segmented together, and words (or pairs of pieces) that are remembered from chunk to chunk.
-CHUNK_CHARS, MEMORY = 4_000_000, 800_000
+CHUNK_CHARS, MEMORY = 2_000_000, 250_000
 TAIL = 3
 UNITS = re.compile(rf"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                 )
                 at += len(texts)
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(trimming(run), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(np.array(x or [], np.int32)) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "ids").mapInArrow(trimming(run), "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import components
-from tidegate.llm.common import cut, table, words_of
+from tidegate.llm.common import cut, table, trimming, words_of
 
 RADIUS, FIRST, BLOCKS, LEVELS, BUCKET = 3, 4, 5, 4, 4096
 SHINGLE = 3
 #: Nodes that one slice of probes may visit at once: bounds the memory of a walk.
-WALK = 1 << 21
+WALK = 1 << 19
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> Da
             own = np.array([simhash(t or "", shingle) for t in b.column(0).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(own.view(np.int64))], [*b.schema.names[1:], "fingerprint"])
 
-    return texts.mapInArrow(run, f"{schema}, fingerprint long")
+    return texts.mapInArrow(trimming(run), f"{schema}, fingerprint long")
 
 
 def submasks(held: int, radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -221,7 +221,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         finer = F.broadcast(spark.createDataFrame(below, "mask long, finer long"))
         filed = sized.filter(F.col("n") > bucket).join(finer, "mask").select(F.col("finer").alias("mask"), "fp").distinct()
     dealt = small.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-    return dealt.mapInArrow(lambda b: _search(b, radius), "a long, b long")
+    return dealt.mapInArrow(trimming(lambda b: _search(b, radius)), "a long, b long")
 
 
 def classes(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
