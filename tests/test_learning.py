@@ -1,4 +1,4 @@
-"""Aggregation rules, training, projection, mining and the simulator."""
+"""Aggregation rules, training, projection and mining."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tidegate.operators import aggregation as A
 from tidegate.operators import attestation, federation, mining, projection, rules, stats
-from tidegate.plans import learning
-from tidegate.sources import simulator
 
 
 def frame(spark, u):
@@ -72,23 +70,33 @@ def test_attacks(spark, u):
     assert set(A.UPDATE_ATTACKS) == {"sign_flip", "scaling", "additive_noise", "free_rider", "alie", "min_max"}
 
 
-def test_gradient_by_differences():
-    rng = np.random.default_rng(0)
-    x, p = rng.normal(size=(5, 6)), federation.initial(6, 1, 7, 3)
-    loss = lambda q: ((federation.reconstruct(q, x, 7, 3)[-1] - x) ** 2).mean()
-    g = federation.gradient(p, x, 7, 3)
-    for i in rng.integers(0, len(p), 20):
-        e = np.zeros_like(p)
-        e[i] = 1e-6
-        assert (loss(p + e) - loss(p - e)) / 2e-6 == pytest.approx(g[i], abs=1e-6)
-    assert federation.n_params(6, 7, 3) == len(p)
+def windows_of(spark, x):
+    return spark.createDataFrame([(i % 3, i, [float(v) for v in row]) for i, row in enumerate(x)], "client_id long, window_id long, x array<float>")
 
 
-def test_training_learns():
-    x = np.random.default_rng(0).normal(size=(300, 2)) @ np.random.default_rng(1).normal(size=(2, 8))
-    p = federation.initial(8, 0, 16, 4)
-    loss = lambda q: ((federation.reconstruct(q, x, 16, 4)[-1] - x) ** 2).mean()
-    assert loss(federation.train(p, x, 30, 0, hidden=16, latent=4)) < 0.6 * loss(p)
+def test_steps_follow_the_gradient(spark):
+    """Two local steps on the moments are two full-batch steps on the windows."""
+    x = np.random.default_rng(0).normal(size=(90, 8)).astype(np.float32).astype(float)
+    held = federation.moments(windows_of(spark, x), 8, 2)
+    start = np.random.default_rng(1).normal(size=7)
+    got = {(r.client_id, r.dim): r.value for r in federation.local_updates(held, start.tolist()).collect()}
+    for c in range(3):
+        f, y, w = np.c_[x[c::3, :6], np.ones(30)], x[c::3, 6], start.copy()
+        for _ in range(federation.EPOCHS):
+            w += 2 * federation.RATE * f.T @ (y - f @ w) / len(f)
+        assert [got[c, i] for i in range(7)] == pytest.approx((w - start).tolist())
+
+
+def test_rounds_learn_and_resist(spark):
+    x = np.random.default_rng(0).normal(size=(300, 8))
+    x[:, 6] = 0.7 * x[:, 4] - 0.3 * x[:, 0] + 0.2
+    w = windows_of(spark, x)
+    held = federation.moments(w, 8, 2)
+    error = lambda p: federation.score(w, p, ["window_id"], 2).agg(F.avg("score")).first()[0]
+    flip = lambda u: A.scaling(A.sign_flip(u, F.col("client_id") == 1), F.col("client_id") == 1)
+    plain = error([0.0] * 7)
+    assert error(federation.run_rounds(held, 8)) < 0.2 * plain
+    assert error(federation.run_rounds(held, 8, "median", flip)) < 0.2 * plain < error(federation.run_rounds(held, 8, "fedavg", flip))
 
 
 def test_projection_admits(spark):
@@ -101,31 +109,17 @@ def test_projection_admits(spark):
     assert (fixed[:, 1] == x).all()
 
 
-def test_simulated_sites_are_as_long_as_their_events(spark, tmp_path):
-    n = {1: 20_500, 25: 300}
-    spark.createDataFrame([(u,) for u, k in n.items() for _ in range(k)], "user_id long").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.site: r for r in learning.simulate_plant(spark, str(tmp_path)).collect()}
-    for user, k in n.items():
-        want = simulator.simulate(k, user // 20, scripted=simulator.attacks(k), shift=user // 20 % 5 / 2 - 1)
-        r = got[user // 20]
-        assert r.n_rows == k and r.attacked == want["ATT_FLAG"].sum() and r.mean_L_T1 == pytest.approx(want["L_T1"].mean())
-
-
-def test_a_simulated_record_does_not_depend_on_its_parts(monkeypatch):
-    whole = simulator.simulate(900, 5, scripted=simulator.attacks(900), shift=0.5)
-    monkeypatch.setattr(simulator, "PART", 37)
-    assert simulator.simulate(900, 5, scripted=simulator.attacks(900), shift=0.5).equals(whole)
-
-
-def test_balance_holds_on_the_simulated_plant():
-    d = simulator.simulate(3000, 1)
-    r = np.diff(d.L_T1) - (d.F_PU1 - d.F_PU2)[1:] / 12.0
-    assert abs(r.mean()) < 1e-3 and r.std() < 0.02
-    assert simulator.simulate(500, 1).equals(simulator.simulate(500, 1))
+def plant(n, seed):
+    """A small record of three tanks whose first pump follows its status."""
+    rng = np.random.default_rng(seed)
+    on = (np.arange(n) // 50 % 2).astype(int)
+    f = np.stack([2.2 * on + 0.02 * rng.normal(size=n) * on, np.abs(2 + 0.3 * rng.normal(size=n)), np.abs(2 + 0.3 * rng.normal(size=n))])
+    level = 3 + np.cumsum((f[0] - f[1]) / 12.0) + 0.004 * rng.normal(size=n)
+    return [(1, i + 1, float(level[i]), *map(float, f[:, i]), int(on[i])) for i in range(n)]
 
 
 def test_miners_find_the_plant(spark):
-    d = spark.createDataFrame(simulator.simulate(2000, 2)).withColumn("row_id", F.col("step") + 1)
+    d = spark.createDataFrame(plant(2000, 2), "site long, row_id long, L_T1 double, F_PU1 double, F_PU2 double, F_PU3 double, S_PU1 int")
     b = mining.balances(d, ["site"], ["L_T1"], ["F_PU1", "F_PU2"])[0]
     assert b.r2 > 0.98 and b.terms["F_PU1"] == pytest.approx(1 / 12, rel=0.05) and b.terms["F_PU2"] == pytest.approx(-1 / 12, rel=0.05)
     c = mining.couplings(mining.coupling_table(d, ["site"], ["S_PU1"], ["F_PU1", "F_PU3"]), one_each=True)
@@ -140,7 +134,9 @@ def test_sign_and_rank_tests(spark):
     assert (s.better, s.worse, s.tied) == (8, 2, 0) and s.p == pytest.approx(56 / 1024)
     w = stats.wilcoxon_less(stats.by_mode(cells), ["defence"], "naive", "gated").first()
     assert w.n == 10 and 0 < w.p < 0.2
-    assert stats._signed_rank(np.array([-1.0, -2.0, -3.0])) == (0.0, 1 / 8)
+    d = spark.createDataFrame([("x", 0.0, v) for v in (1.0, 2.0, 3.0)] + [("y", 1.0, 1.0), ("z", 2.0, 1.0), ("z", 1.0, 2.0)], "k string, a double, b double")
+    got = {r.k: (r.n, r.w, r.p) for r in stats.wilcoxon_less(d, ["k"], "a", "b").collect()}
+    assert got == {"x": (3, 0.0, 1 / 8), "y": (0, 0.0, 1.0), "z": (2, 1.5, 0.75)}
 
 
 def test_bootstrap_needs_two(spark):
@@ -149,6 +145,19 @@ def test_bootstrap_needs_two(spark):
     assert got["b"][0] == 1.0 and got["b"][1] == 3.0 and (got["a"][0] is None or np.isnan(got["a"][0]))
 
 
+def test_noise_does_not_depend_on_partitions(spark, u):
+    d, bad = frame(spark, u), F.col("client_id") == 3
+    rows = lambda x: {(r.client_id, r.dim): r.value for r in A.additive_noise(x, bad).collect()}
+    assert rows(d.repartition(7)) == pytest.approx(rows(d.coalesce(1)))
+
+
+def test_challenges_need_enough_tries(spark):
+    d = spark.createDataFrame([(1, "ab", 7)], "b int, root string, nonce int")
+    assert attestation.challenges(d, ["b"], 64, 8, 64).count() == 8
+    with pytest.raises(Exception, match="too few tries"):
+        attestation.challenges(d, ["b"], 64, 8, 3).collect()
+
+
 def test_merkle_paths(spark):
     import hashlib
 

@@ -149,3 +149,20 @@ def test_catalog_roles(spark):
 def test_regimes_cover_all_rows(df):
     got = record.regimes(df.fillna(0.0), ["v", "row_id"], k=3)
     assert got.count() == df.count() and got.select("regime").distinct().count() == 3
+
+
+@pytest.mark.parametrize("kind", ["outlier", "ties", "heavy tail"])
+def test_quantiles_of_awkward_values(spark, kind):
+    """More values than lie in the bracket: exact, and the ranked rows are few."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=100_000)
+    if kind == "outlier":
+        v[7] = 1e12
+    elif kind == "ties":
+        v[: len(v) // 2] = 0.25
+    else:
+        v = np.exp(8 * v)
+    d = spark.createDataFrame([(float(x),) for x in v], "v double")
+    for q in (0.0, 0.3, 0.5, 0.995, 1.0):
+        got = order.exact_quantile(d, [], "v", q, "q").first().q
+        assert got == pytest.approx(float(np.quantile(v, q)), rel=1e-12)

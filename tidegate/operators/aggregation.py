@@ -7,11 +7,14 @@ of a group: each dimension's few values meet once as an array and give partial s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.functions.scalar import unit_hash
+
 TRIM, KAPPA, TINY = 0.2, 1.0, 1e-12
 ACCEPT_COSINE = 0.05
 
@@ -165,7 +168,10 @@ def scaling(u: DataFrame, bad: Column, factor: float = 10.0) -> DataFrame:
 
 def _noised(u: DataFrame, bad: Column, size: float, seed: int, keep: float) -> DataFrame:
     sd = u.filter(~bad).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
-    v = F.when(bad, keep * F.col("value") + size * F.col("sd") * F.randn(seed)).otherwise(F.col("value"))
+    # Box and Muller's normal number from two hashes of client and dim: the same at every number of partitions
+    u1, u2 = (unit_hash(F.lit(seed), F.col("client_id"), F.col("dim"), F.lit(x)) for x in "ab")
+    normal = F.sqrt(-2 * F.ln(1 - u1)) * F.cos(2 * math.pi * u2)
+    v = F.when(bad, keep * F.col("value") + size * F.col("sd") * normal).otherwise(F.col("value"))
     return u.crossJoin(F.broadcast(sd)).withColumn("value", v).drop("sd")
 
 

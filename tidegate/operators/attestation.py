@@ -31,20 +31,39 @@ def leaf(rule_channels: list[Column], others: list[Column]) -> Column:
 
 
 def levels(leaves: DataFrame, key: list[str], depth: int) -> DataFrame:
-    """key, level, pos, hash of all nodes of trees of 2^depth leaves (pos from 0); level 0 are the leaves."""
-    out = now = leaves.select(*key, F.lit(0).alias("level"), "pos", "hash")
+    """key, level, pos, hash of all nodes of trees of 2^depth leaves (pos from 0); level 0 are the leaves.
+
+    A tree's leaves are 2^depth at most by construction, so a group gathers them and hashes level after level, once.
+    """
+    held = _gathered(leaves, key).withColumn("l0", F.col("h"))
     for d in range(1, depth + 1):
-        parent = F.floor(F.col("pos") / 2)
-        now = now.groupBy(*key, parent.alias("pos")).agg(F.sha2(F.concat(F.min(F.when(F.col("pos") % 2 == 0, F.col("hash"))), F.min(F.when(F.col("pos") % 2 == 1, F.col("hash")))), 256).alias("hash")).select(*key, F.lit(d).alias("level"), "pos", "hash")
-        out = out.unionByName(now)
-    return out
+        held = held.withColumn("h", _parents()).withColumn(f"l{d}", F.col("h"))
+    nodes = F.array(*[F.struct(F.lit(d).alias("level"), F.col(f"l{d}").alias("hs")) for d in range(depth + 1)])
+    each = held.select(*key, F.explode(nodes).alias("x"))
+    return each.select(*key, F.col("x.level").alias("level"), F.posexplode("x.hs").alias("pos", "hash"))
+
+
+def _gathered(leaves: DataFrame, key: list[str]) -> DataFrame:
+    return leaves.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("h"))
+
+
+def _parents():
+    return F.transform(F.sequence(F.lit(0), F.shiftright(F.size("h"), 1) - 1), lambda i: F.sha2(F.concat(F.get("h", 2 * i), F.get("h", 2 * i + 1)), 256))
+
+
+def padded(leaves: DataFrame, key: list[str], depth: int) -> DataFrame:
+    """key, pos, hash, v, u with the missing last leaves of a tree: hash of 64 zeros, no counts."""
+    short = leaves.groupBy(*key).agg(F.count("*").cast("int").alias("n")).filter(F.col("n") < 2**depth)
+    rest = short.withColumn("pos", F.explode(F.sequence(F.col("n"), F.lit(2**depth - 1))))
+    rest = rest.select(*key, F.col("pos").cast("long").alias("pos"), F.lit("0" * 64).alias("hash"), F.lit(0).alias("v"), F.lit(0).alias("u"))
+    return leaves.select(*key, F.col("pos").cast("long").alias("pos"), "hash", F.col("v").cast("int").alias("v"), F.col("u").cast("int").alias("u")).unionByName(rest)
 
 
 def roots(leaves: DataFrame, key: list[str], depth: int) -> DataFrame:
-    """key, root. A tree's leaves are 2^depth at most by construction, so a group gathers them in order."""
-    held = leaves.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("h"))
+    """key, root."""
+    held = _gathered(leaves, key)
     for _ in range(depth):
-        held = held.withColumn("h", F.transform(F.sequence(F.lit(0), F.shiftright(F.size("h"), 1) - 1), lambda i: F.sha2(F.concat(F.get("h", 2 * i), F.get("h", 2 * i + 1)), 256)))
+        held = held.withColumn("h", _parents())
     return held.select(*key, F.col("h")[0].alias("root"))
 
 
@@ -55,13 +74,18 @@ def folded(leaf_hash: Column, pos: Column, siblings: Column, depth: int) -> Colu
 
 
 def challenges(committed: DataFrame, key: list[str], n: int, k: int, tries: int) -> DataFrame:
-    """key, idx, ctr: the first k distinct of H(root, nonce, ctr) mod (n - 1) + 1 by ascending ctr; committed: key, root, nonce."""
+    """key, idx, ctr: the first k distinct of H(root, nonce, ctr) mod (n - 1) + 1 by ascending ctr; committed: key, root, nonce.
+
+    The query fails where ``tries`` counters give fewer than k distinct indices, instead of returning a shorter challenge.
+    """
     each = committed.withColumn("ctr", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     h = F.sha2(F.concat_ws("/", F.col("root"), F.col("nonce").cast("string"), F.col("ctr").cast("string")), 256)
     # 15 hex digits are 60 bits: a long
     each = each.withColumn("idx", F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % (n - 1) + 1)
     first = each.groupBy(*key, "idx").agg(F.min("ctr").alias("ctr"))
-    return first.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("ctr"))).filter(F.col("r") <= k).drop("r")
+    ranked = first.withColumns({"r": F.row_number().over(Window.partitionBy(*key).orderBy("ctr")), "c": F.count("*").over(Window.partitionBy(*key))})
+    enough = F.when(F.col("c") >= k, F.col("ctr")).otherwise(F.raise_error("too few tries for the challenge").cast("int"))
+    return ranked.filter(F.col("r") <= k).select(*key, "idx", enough.alias("ctr"))
 
 
 def sampled_check(rows: DataFrame, sample: DataFrame, key: list[str], v_max: int = V_MAX, u_max: int = U_MAX) -> DataFrame:

@@ -1,161 +1,71 @@
-"""Federated rounds: local training of a window autoencoder in each client's group, aggregation in Spark.
+"""Federated rounds of a window model: one pass over the windows, then rounds over the clients' moments.
 
-A round is one grouped-map job: the global parameters go out with the task (their size is fixed by
-the architecture), each client's bounded window set trains in its task and returns its update in long form,
-which a rule of ``aggregation`` combines.
+The model predicts a window's last reading of the first channel from the readings before it, linearly with a constant. A
+client's full-batch gradient of the squared error needs only the mean products of its inputs and target: ``moments`` takes
+these in one partially aggregated pass over all its windows, and any number of local steps and rounds then work on
+a few numbers a client. Updates leave in long form, which the rules of ``aggregation`` combine and its attacks rewrite.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators import aggregation
 
-HIDDEN, LATENT, BATCH, RATE, EPOCHS = 128, 24, 128, 1e-3, 2
-#: Windows of a client that one round trains on: a seeded choice, so a client's group is bounded.
-CLIENT_WINDOWS = 4_000
+RATE, EPOCHS = 0.05, 2
 
 
-def shapes(d: int, hidden: int = HIDDEN, latent: int = LATENT) -> list[tuple[int, int]]:
-    return [(d, hidden), (hidden, latent), (latent, hidden), (hidden, d)]
+def inputs(width: int, channels: int) -> list[Column]:
+    """A window's readings before its last row, and 1; ``x`` holds ``width`` numbers, ``channels`` a row."""
+    return [F.col("x")[i].cast("double") for i in range(width - channels)] + [F.lit(1.0)]
 
 
-def n_params(d: int, hidden: int = HIDDEN, latent: int = LATENT) -> int:
-    return sum(a * b + b for a, b in shapes(d, hidden, latent))
+def target(width: int, channels: int) -> Column:
+    return F.col("x")[width - channels].cast("double")
 
 
-def initial(d: int, seed: int, hidden: int = HIDDEN, latent: int = LATENT) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.concatenate([np.concatenate([rng.uniform(-1, 1, a * b), rng.uniform(-1, 1, b)]) / np.sqrt(a) for a, b in shapes(d, hidden, latent)])
+def moments(windows: DataFrame, width: int, channels: int, key: str = "client_id") -> DataFrame:
+    """key, n, a (rows of the mean products of inputs), b (of inputs and target)."""
+    f, y = inputs(width, channels), target(width, channels)
+    d = len(f)
+    named = windows.select(key, *[c.alias(f"f{i}") for i, c in enumerate(f)], y.alias("y"))
+    upper = {(i, j): F.avg(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"a{i}_{j}") for i in range(d) for j in range(i, d)}
+    m = named.groupBy(key).agg(F.count("*").alias("n"), *upper.values(), *[F.avg(F.col(f"f{i}") * F.col("y")).alias(f"b{i}") for i in range(d)])
+    rows = [F.array(*[F.col(f"a{min(i, j)}_{max(i, j)}") for j in range(d)]) for i in range(d)]
+    return m.select(key, "n", F.array(*rows).alias("a"), F.array(*[F.col(f"b{i}") for i in range(d)]).alias("b"))
 
 
-def _layers(p: np.ndarray, d: int, hidden: int, latent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    out, at = [], 0
-    for a, b in shapes(d, hidden, latent):
-        out.append((p[at : at + a * b].reshape(a, b), p[at + a * b : at + a * b + b]))
-        at += a * b + b
-    return out
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def reconstruct(p: np.ndarray, x: np.ndarray, hidden: int = HIDDEN, latent: int = LATENT) -> list[np.ndarray]:
-    """Activations of all layers; ReLU after all but the last."""
-    acts = [x]
-    for i, (w, b) in enumerate(_layers(p, x.shape[1], hidden, latent)):
-        z = acts[-1] @ w + b
-        acts.append(np.maximum(z, 0) if i < 3 else z)
-    return acts
-
-
-def gradient(p: np.ndarray, x: np.ndarray, hidden: int = HIDDEN, latent: int = LATENT) -> np.ndarray:
-    """Of the mean squared reconstruction error."""
-    acts = reconstruct(p, x, hidden, latent)
-    g = 2 * (acts[-1] - x) / x.size
-    parts = []
-    for i, (w, _) in reversed(list(enumerate(_layers(p, x.shape[1], hidden, latent)))):
-        parts.append(np.concatenate([(acts[i].T @ g).ravel(), g.sum(axis=0)]))
-        if i:
-            g = (g @ w.T) * (acts[i] > 0)
-    return np.concatenate(parts[::-1])
-
-
-def train(p: np.ndarray, x: np.ndarray, epochs: int, seed: int, rate: float = RATE, batch: int = BATCH, hidden: int = HIDDEN, latent: int = LATENT) -> np.ndarray:
-    """Parameters after ``epochs`` of Adam on shuffled minibatches."""
-    rng, p = np.random.default_rng(seed), p.copy()
-    m, v, t = np.zeros_like(p), np.zeros_like(p), 0
+def local_updates(held: DataFrame, params: Sequence[float], epochs: int = EPOCHS, rate: float = RATE, key: str = "client_id") -> DataFrame:
+    """key, dim, value: each client's change of the parameters after ``epochs`` full-batch steps on its moments."""
+    start = F.array(*[F.lit(float(p)) for p in params])
+    d = held.withColumn("w", start)
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for i in range(0, len(x), batch):
-            t += 1
-            g = gradient(p, x[order[i : i + batch]], hidden, latent)
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return p
-
-
-def local_updates(windows: DataFrame, params: np.ndarray, round_: int, epochs: int = EPOCHS, seed: int = 0, most: int = CLIENT_WINDOWS, hidden: int = HIDDEN, latent: int = LATENT) -> DataFrame:
-    """client_id, dim, value: each client's parameter change; windows: client_id, window_id, x."""
-    chosen = windows.withColumn("__h", F.xxhash64(F.lit(seed), "client_id", "window_id"))
-    sizes = windows.groupBy("client_id").agg(F.count("*").alias("__n"))
-    # a hash threshold picks about ``most`` of a client's windows without sorting them
-    chosen = chosen.join(sizes, "client_id").filter((F.pmod("__h", F.lit(1 << 20)) < F.ceil(F.lit(float(most) * (1 << 20)) / F.col("__n"))))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("window_id")["x"].to_numpy()).astype(float)
-        delta = train(params, x, epochs, hash((seed, round_, int(key[0]))) % 2**32, hidden=hidden, latent=latent) - params
-        return pd.DataFrame({"client_id": int(key[0]), "dim": np.arange(len(delta), dtype=np.int32), "value": delta})
-
-    return chosen.select(F.col("client_id").cast("long").alias("client_id"), "window_id", "x").groupBy("client_id").applyInPandas(run, "client_id long, dim int, value double")
-
-
-def score(windows: DataFrame, params: np.ndarray, keep: list[str], hidden: int = HIDDEN, latent: int = LATENT) -> DataFrame:
-    """Columns ``keep`` with score: the reconstruction error of each window."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["x"].to_numpy()).astype(float)
-                yield pdf[keep].assign(score=((reconstruct(params, x, hidden, latent)[-1] - x) ** 2).mean(axis=1))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in windows.select(*keep).dtypes)
-    return windows.select(*keep, "x").mapInPandas(run, f"{schema}, score double")
+        step = F.zip_with(F.transform("a", lambda row: _dot(row, F.col("w"))), "b", lambda aw, b: 2 * rate * (b - aw))
+        d = d.withColumn("w", F.zip_with("w", step, lambda w, s: w + s))
+    return d.select(key, F.posexplode(F.zip_with("w", start, lambda w, s: w - s)).alias("dim", "value"))
 
 
-def run_rounds(windows: DataFrame, width: int, rounds: int, rule: str = "fedavg", attack: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0, epochs: int = EPOCHS, hidden: int = HIDDEN, latent: int = LATENT, **options) -> np.ndarray:
-    """Global parameters after ``rounds``; ``attack`` rewrites the updates of a round. One vector of fixed size comes back a round."""
-    params = initial(width, seed, hidden, latent)
-    for r in range(rounds):
-        u = local_updates(windows, params, r, epochs, seed, hidden=hidden, latent=latent)
+def run_rounds(held: DataFrame, rounds: int, rule: str = "fedavg", attack: Callable[[DataFrame], DataFrame] | None = None, epochs: int = EPOCHS, rate: float = RATE, **options) -> list[float]:
+    """Global parameters after ``rounds`` from zero; ``attack`` rewrites a round's updates. One number a parameter comes back a round."""
+    width = len(held.select("b").first().b)
+    params = [0.0] * width
+    for _ in range(rounds):
+        u = local_updates(held, params, epochs, rate)
         u = attack(u) if attack else u
-        step = np.zeros_like(params)
-        for row in aggregation.aggregate(rule, u, **options).toLocalIterator():
-            step[row.dim] = row.value
-        params = params + step
+        for row in aggregation.aggregate(rule, u, **options).collect():
+            params[row.dim] += row.value
     return params
 
 
-def input_gradient(p: np.ndarray, x: np.ndarray, hidden: int = HIDDEN, latent: int = LATENT) -> np.ndarray:
-    """Of each window's mean squared reconstruction error with respect to the window."""
-    acts = reconstruct(p, x, hidden, latent)
-    out = 2 * (acts[-1] - x) / x.shape[1]
-    g = out
-    for i, (w, _) in reversed(list(enumerate(_layers(p, x.shape[1], hidden, latent)))):
-        g = g @ w.T
-        if i:
-            g = g * (acts[i] > 0)
-    return g - out
-
-
-def harden(batches: DataFrame, key: list[str], channels: list[str], width: int, sigmas: float = 2.5, steps: int = 50, rate: float = 0.05, epochs: int = 5, seed: int = 0, hidden: int = HIDDEN, latent: int = LATENT, row: str = "row_id") -> DataFrame:
-    """key, row, channels, gain: a batch moved up the error of a model fitted to it, within ``sigmas`` deviations of each value.
-
-    A surrogate autoencoder is trained on the batch's own windows; signed gradient steps on overlapping windows are averaged back
-    onto rows. gain is the surrogate's error after less before. A batch is bounded by construction and is one group; one shorter
-    than four windows is returned as it is.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row)
-        raw = pdf[channels].to_numpy(float)
-        mean, sd = raw.mean(axis=0), raw.std(axis=0) + 1e-8
-        z, gain = (raw - mean) / sd, 0.0
-        cut = lambda z: np.lib.stride_tricks.sliding_window_view(z, width, axis=0).transpose(0, 2, 1).reshape(-1, width * z.shape[1])
-        new = z.copy()
-        if len(z) >= 4 * width:
-            p = train(initial(width * z.shape[1], seed, hidden, latent), cut(z), epochs, seed, hidden=hidden, latent=latent)
-            loss = lambda z: ((reconstruct(p, cut(z), hidden, latent)[-1] - cut(z)) ** 2).mean()
-            for _ in range(steps):
-                g = input_gradient(p, cut(new), hidden, latent).reshape(-1, width, z.shape[1])
-                onto = np.zeros_like(z)
-                for i in range(width):
-                    onto[i : i + len(g)] += g[:, i]
-                new = np.clip(new + rate * np.sign(onto), z - sigmas, z + sigmas)
-            gain = loss(new) - loss(z)
-        return pdf[[*key, row]].assign(**dict(zip(channels, (new * sd + mean).T, strict=True)), gain=gain)
-
-    schema = ", ".join([f"`{c}` {t}" for c, t in batches.select(*key, row).dtypes] + [f"`{c}` double" for c in channels])
-    return batches.select(*key, row, *channels).groupBy(*key).applyInPandas(run, f"{schema}, gain double")
+def score(windows: DataFrame, params: Sequence[float], keep: list[str], channels: int) -> DataFrame:
+    """Columns ``keep`` with score: the squared error of each window's prediction."""
+    width = len(params) - 1 + channels
+    said = sum((c * float(p) for c, p in zip(inputs(width, channels), params, strict=True)), F.lit(0.0))
+    return windows.select(*keep, F.pow(target(width, channels) - said, 2).alias("score"))

@@ -88,22 +88,34 @@ def filled(df: DataFrame, key: list[str], channel: str, out: str, row: str = "ro
     return d.select(*df.columns, F.coalesce("__back", "__carry", "__ahead", "__next").alias(out))
 
 
-def exact_quantile(df: DataFrame, key: list[str], value: str, q: float, out: str, buckets: int = 1024) -> DataFrame:
+def exact_quantile(df: DataFrame, key: list[str], value: str, q: float, out: str, accuracy: int = 10_000) -> DataFrame:
     """key, ``out``: the linearly interpolated quantile of the non-null values, exactly.
 
-    The two order statistics are found by rank over value buckets, so no task or state holds all values.
+    An approximate quantile is off by 1 / ``accuracy`` of the ranks at most, so two of them enclose the two order statistics.
+    Values under the bracket are only counted; the few inside are counted by value (ties, however many, are one row) and
+    ranked in buckets of the bracket. An outlier or a heavy tie makes no large task.
     """
-    v = df.select(*key, F.col(value).alias("__v")).filter("__v IS NOT NULL")
-    stats = v.groupBy(*key).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
+    slack = 3.0 / accuracy
+    v = df.select(*key, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
+    edges = F.percentile_approx("__v", [max(0.0, q - slack), min(1.0, q + slack)], accuracy)
+    stats = v.groupBy(*key).agg(edges.alias("__e"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.count("*").alias("__n"))
+    # of few values a rank is more than the slack: all are inside
+    few = F.col("__n") <= 4 * accuracy
+    low_end = F.when(few | F.lit(q <= slack), F.col("__min")).otherwise(F.col("__e")[0])
+    high_end = F.when(few | F.lit(q >= 1 - slack), F.col("__max")).otherwise(F.col("__e")[1])
+    stats = stats.select(*key, "__n", low_end.alias("__lo"), high_end.alias("__hi"))
     joined = v.join(stats, key) if key else v.crossJoin(F.broadcast(stats))  # one row
+    # what lies under the bracket is one row, of no value
+    inside = F.col("__v") >= F.col("__lo")
+    counts = joined.filter("__v <= __hi").groupBy(*key, "__n", "__lo", "__hi", F.when(inside, F.col("__v")).alias("__w")).agg(F.count("*").alias("__c"))
     width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    ranked = cumulative(joined, key, F.floor((F.col("__v") - F.col("__lo")) / width * buckets).cast("long"), [F.col("__v")], row="__rank")
+    bucket = F.when(F.col("__w").isNull(), -1).otherwise(F.floor((F.col("__w") - F.col("__lo")) / width * 256)).cast("long")
+    ranked = cumulative(counts, key, bucket, [F.asc_nulls_first("__w")], {"__upto": F.col("__c")}, row="__rank")
     at = (F.col("__n") - 1) * F.lit(q)
     low, part = F.floor(at), at - F.floor(at)
-    near = ranked.filter((F.col("__rank") == low + 1) | (F.col("__rank") == low + 2))
-    a = F.max(F.when(F.col("__rank") == low + 1, F.col("__v")))
-    b = F.max(F.when(F.col("__rank") == low + 2, F.col("__v")))
-    return near.groupBy(*key).agg((a + (F.coalesce(b, a) - a) * F.max(part)).alias(out))
+    a = F.min(F.when(F.col("__upto") >= low + 1, F.col("__w")))
+    b = F.min(F.when(F.col("__upto") >= low + 2, F.col("__w")))
+    return ranked.groupBy(*key).agg((a + (F.coalesce(b, a) - a) * F.max(part)).alias(out))
 
 
 def islands(df: DataFrame, key: list[str], flag: str, row: str = "row_id", block: int = BLOCK) -> DataFrame:

@@ -40,7 +40,7 @@ def temporal_shards(df: DataFrame, shards: int, n: Column, row: str = "row_id")
 
 def even_shards(df: DataFrame, shards: int, n: Column, key: Column, ident: str) -> DataFrame:
     """``client_id`` by a seeded deal: rows in hash order, split evenly, the first n mod shards a row larger."""
-    ranked = cumulative(df.withColumn("__h", key), [], F.floor(F.col("__h") * 1024), [F.col("__h"), F.col(ident)], row="__r").drop("__h")
+    ranked = cumulative(df.withColumn("__h", key), [], F.floor(F.col("__h") * F.ceil(n / BLOCK)), [F.col("__h"), F.col(ident)], row="__r").drop("__h")
     at, big, small = F.col("__r") - 1, F.floor(n / shards) + 1, F.floor(n / shards)
     head = (n % shards) * big
     return ranked.withColumn("client_id", F.when(at < head, F.floor(at / big)).otherwise(n % shards + F.floor((at - head) / F.greatest(small, F.lit(1)))).cast("int")).drop("__r")
@@ -119,7 +119,8 @@ def permute_within(df: DataFrame, key: list[str], regime: str, channels: Sequenc
     by = [*key, regime]
     placed = cumulative(df, by, F.floor((F.col(row) - 1) / BLOCK), [F.col(row)], row="__at")
     drawn = df.select(*by, row, *channels).withColumn("__h", unit_hash(F.lit(seed), *map(F.col, [*key, row])))
-    drawn = cumulative(drawn, by, F.floor(F.col("__h") * 64), [F.col("__h"), F.col(row)], row="__at").select(*by, "__at", *channels)
+    sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).alias("__buckets"))
+    drawn = cumulative(drawn.join(sizes, by), by, F.floor(F.col("__h") * F.col("__buckets")), [F.col("__h"), F.col(row)], row="__at").select(*by, "__at", *channels)
     return placed.drop(*channels).join(drawn, [*by, "__at"]).select(df.columns)
 
 
@@ -153,9 +154,10 @@ def relabel(df: DataFrame, label: str, fraction: float, seed: int, ident: str) -
 def budgeted(segments: DataFrame, key: list[str], budget: int, seed: int) -> DataFrame:
     """Segments (key, seg_id, start_row, n_rows) in a seeded order until ``budget`` rows a key; the last one is cut short."""
     h = segments.withColumn("__h", unit_hash(F.lit(seed), *map(F.col, [*key, "seg_id"])))
-    run = cumulative(h, key, F.floor(F.col("__h") * 64), [F.col("__h"), F.col("seg_id")], {"__upto": F.col("n_rows")}, row="__r")
+    h = h.join(segments.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("__buckets")), key)
+    run = cumulative(h, key, F.floor(F.col("__h") * F.col("__buckets")), [F.col("__h"), F.col("seg_id")], {"__upto": F.col("n_rows")}, row="__r")
     left = budget - (F.col("__upto") - F.col("n_rows"))
-    return run.filter(left > 0).withColumn("n_rows", F.least("n_rows", left)).drop("__h", "__upto", "__r")
+    return run.filter(left > 0).withColumn("n_rows", F.least("n_rows", left)).drop("__h", "__upto", "__r", "__buckets")
 
 
 def splice(df: DataFrame, key: list[str], pieces: DataFrame, source: DataFrame, channels: Sequence[str], row: str = "row_id") -> DataFrame:

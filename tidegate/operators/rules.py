@@ -167,3 +167,14 @@ def alpha_sweep(verdict: DataFrame, alphas: Sequence[float]) -> DataFrame:
 def cost(rules: Sequence[Rule], k: int, bits: int = 32) -> int:
     """Multiplications for checking k sampled rows."""
     return k * (sum(max(r.degree, 1) for r in rules) + bits * len(rules))
+
+
+#: Fixed values of the three-tank plant: areas of the tanks and nominal flows of their pumps.
+PLANT_AREAS, PLANT_FLOWS = (12.0, 15.0, 10.0), (2.20, 2.05, 1.95)
+
+
+def plant_rules(weak_bounds: bool = False, dt: float = 1.0) -> list[Rule]:
+    """The balances of the three tanks, the couplings of the three pumps whose flow is their own, and optionally level bounds."""
+    out = [balance(f"L_T{i}", [f"F_PU{i}"], [f"F_PU{i + 1}"], PLANT_AREAS[i - 1], dt) for i in (1, 2, 3)]
+    out += [coupling(f"S_PU{i}", f"F_PU{i}", PLANT_FLOWS[i - 1]) for i in (1, 2, 3)]
+    return out + ([bound(f"L_T{i}", 0.0, 12.0) for i in (1, 2, 3)] if weak_bounds else [])

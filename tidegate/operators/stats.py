@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.functions.scalar import unit_hash
+
 MIN_DAMAGE, DRAWS = 0.01, 100_000
 
 
@@ -43,48 +43,36 @@ def sign_test(cells: DataFrame) -> DataFrame:
 
 
 def bootstrap(values: DataFrame, key: list[str], value: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
-    """key, low, high: the 2.5 and 97.5 percentiles of resampled means; null for fewer than two values.
+    """key, low, high: the 2.5 and 97.5 percentiles of means of ``draws`` resamples; null for fewer than two values.
 
-    A group holds one value a seed, a few dozen at most.
+    A group holds one value a seed, a few dozen at most; each draw of it is a row of its own.
     """
-
-    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].dropna().to_numpy(float))
-        low = high = None
-        if len(v) >= 2:
-            rng = np.random.default_rng(seed)
-            means = np.concatenate([v[rng.integers(0, len(v), (min(10_000, draws - i), len(v)))].mean(axis=1) for i in range(0, draws, 10_000)])
-            low, high = np.quantile(means, [0.025, 0.975])
-        return pdf[key].head(1).assign(low=low, high=high).astype({"low": float, "high": float})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*key).schema.fields)
-    return values.select(*key, value).groupBy(*key).applyInPandas(resampled, f"{schema}, low double, high double")
-
-
-def _signed_rank(diffs: np.ndarray) -> tuple[float, float]:
-    """W+ and the exact chance of one as small or smaller, by counting subsets of the doubled ranks."""
-    a = np.abs(diffs)
-    order = np.sort(a)
-    ranks2 = np.searchsorted(order, a, "left") + np.searchsorted(order, a, "right") + 1
-    ways = np.zeros(int(ranks2.sum()) + 1)
-    ways[0] = 1.0
-    for r in ranks2.tolist():
-        ways[r:] = ways[r:] + ways[: len(ways) - r].copy()
-    w2 = int(ranks2[diffs > 0].sum())
-    return w2 / 2, float(ways[: w2 + 1].sum() / ways.sum())
+    held = values.select(*key, F.col(value).cast("double").alias("__v")).groupBy(*key).agg(F.array_sort(F.collect_list("__v")).alias("__vs"))
+    each = held.filter(F.size("__vs") >= 2).withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = lambda acc, i: acc + F.get("__vs", F.floor(unit_hash(F.lit(seed), F.col("__draw"), i) * F.size("__vs")).cast("int"))
+    mean = F.aggregate(F.sequence(F.lit(1), F.size("__vs")), F.lit(0.0), drawn) / F.size("__vs")
+    ends = each.select(*key, mean.alias("__m")).groupBy(*key).agg(F.percentile("__m", [0.025, 0.975]).alias("__e"))
+    return held.select(*key).join(ends, key, "left").select(*key, F.col("__e")[0].alias("low"), F.col("__e")[1].alias("high"))
 
 
 def wilcoxon_less(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """key, n, w, p: exact one-sided signed-rank test that a is less than b; zero differences are dropped."""
-
-    def tested(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf[a] - pdf[b]).dropna().to_numpy(float)
-        d = d[d != 0]
-        w, p = _signed_rank(d) if len(d) else (0.0, 1.0)
-        return pdf[key].head(1).assign(n=len(d), w=w, p=p)
+    """key, n, w, p: exact one-sided signed-rank test that a is less than b; zero differences are dropped.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*key).schema.fields)
-    return pairs.select(*key, a, b).groupBy(*key).applyInPandas(tested, f"{schema}, n long, w double, p double")
+    Ranks are doubled, so that ties have whole ones. The chance counts, over all signs, the sums that are as small: one more
+    rank r turns the number of ways to each sum s into ways(s) + ways(s - r).
+    """
+    d = pairs.select(*key, (F.col(a) - F.col(b)).alias("__d"))
+    size = Window.partitionBy(*key).orderBy(F.abs("__d"))
+    ties = Window.partitionBy(*key, F.abs("__d"))
+    ranked = d.filter("__d <> 0").select(*key, "__d", (2 * F.rank().over(size) + F.count("*").over(ties) - 1).cast("int").alias("__r"))
+    held = ranked.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0)).alias("__w"), F.sum("__r").alias("__t"), F.collect_list("__r").alias("__rs"))
+    shifted = lambda ways, r: F.concat(F.array_repeat(F.lit(0.0), r), F.slice(ways, F.lit(1), F.size(ways) - r))
+    first = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.col("__t").cast("int")))
+    ways = F.aggregate("__rs", first, lambda acc, r: F.zip_with(acc, shifted(acc, r), lambda x, y: x + y))
+    small = F.aggregate(F.slice(ways, F.lit(1), (F.col("__w") + 1).cast("int")), F.lit(0.0), lambda acc, x: acc + x)
+    found = held.select(*key, "n", (F.col("__w") / 2).alias("w"), (small / F.pow(F.lit(2.0), F.col("n"))).alias("p"))
+    every = pairs.select(*key).distinct().join(found, key, "left")
+    return every.select(*key, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
 def resume(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:

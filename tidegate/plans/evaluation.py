@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.functions.scalar import miss_probability, ratio, tidy
-from tidegate.operators import attestation, fixedpoint, metrics, order, rules, stats
+from tidegate.functions.scalar import miss_probability, tidy
+from tidegate.operators import aggregation, attestation, fixedpoint, metrics, order, rules, stats
 from tidegate.plans import record as record_plans
 from tidegate.sources import views
 
@@ -142,20 +142,19 @@ j AS (SELECT * FROM f JOIN g USING (client_id, row_id) WHERE row_id > 1)
 
 
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of every full block of 2^DEPTH rows of a client, with v and u: client_id, block, pos, hash, v, u."""
+    """The rows of every block of 2^DEPTH rows of a client, the last one padded, with v and u: client_id, block, pos, hash, v, u."""
     d = _counted(spark, sf_dir).withColumns({"block": F.floor((F.col("row_id") - 1) / 2**DEPTH), "pos": (F.col("row_id") - 1) % 2**DEPTH})
-    n = d.groupBy("client_id", "block").agg(F.count("*").alias("n")).filter(F.col("n") == 2**DEPTH).select("client_id", "block")
     h = attestation.leaf([fixedpoint.biased(F.col(f"x_{c}")) for c in ("status", "value", "k")], [F.col("att_flag"), F.col("event_id")])
-    return d.join(n, ["client_id", "block"]).select("client_id", "block", "pos", h.alias("hash"), "v", "u")
+    return attestation.padded(d.select("client_id", "block", "pos", h.alias("hash"), "v", "u"), ["client_id", "block"], DEPTH)
 
 
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attestation.roots(_leaves(spark, sf_dir), ["client_id", "block"], DEPTH)
 
 
-_LEAF = f"""nb AS (SELECT client_id, (row_id - 1) // {2**DEPTH} AS block FROM q GROUP BY ALL HAVING count(*) = {2**DEPTH}),
-lf AS (SELECT q.client_id, nb.block, (q.row_id - 1) % {2**DEPTH} AS pos, sha256(sha256((s + {fixedpoint.BIAS}) || ',' || (x + {fixedpoint.BIAS}) || ',' || (q.k + {fixedpoint.BIAS})) || sha256(sha256(att_flag || ',' || event_id))) AS h, v, u
-  FROM q JOIN nb ON nb.client_id = q.client_id AND nb.block = (q.row_id - 1) // {2**DEPTH} JOIN tel AS t ON t.client_id = q.client_id AND t.row_id = q.row_id JOIN vu ON vu.client_id = q.client_id AND vu.row_id = q.row_id)"""
+_LEAF = f"""l0 AS (SELECT q.client_id, (q.row_id - 1) // {2**DEPTH} AS block, (q.row_id - 1) % {2**DEPTH} AS pos, sha256(sha256((s + {fixedpoint.BIAS}) || ',' || (x + {fixedpoint.BIAS}) || ',' || (q.k + {fixedpoint.BIAS})) || sha256(sha256(att_flag || ',' || event_id))) AS h, v, u
+  FROM q JOIN tel AS t ON t.client_id = q.client_id AND t.row_id = q.row_id JOIN vu ON vu.client_id = q.client_id AND vu.row_id = q.row_id),
+lf AS (SELECT * FROM l0 UNION ALL SELECT client_id, block, unnest(range(n, {2**DEPTH})), repeat('0', 64), 0, 0 FROM (SELECT client_id, block, count(*) AS n FROM l0 GROUP BY ALL))"""
 _UP = ", ".join(f"m{d} AS (SELECT client_id, block, pos // 2 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {'lf' if d == 1 else f'm{d - 1}'} GROUP BY client_id, block, pos // 2)" for d in range(1, DEPTH + 1))
 SQL_ROOT = f"{TEL}, {_QR}, {_LEAF}, {_UP} SELECT client_id, block, h AS root FROM m{DEPTH}"
 
@@ -182,16 +181,22 @@ SQL_BUDGET = f"{TEL}, {_QR}, {_LEAF}, {_UP}, {_CH} SELECT client_id, block, sum(
 
 
 def opening_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the path of each block's leaf 5 folds to the block's root."""
+    """For each block: its leaves whose path of siblings folds to the block's root, and all its leaves."""
+    key = ["client_id", "block"]
     leaves = _leaves(spark, sf_dir)
-    nodes = attestation.levels(leaves, ["client_id", "block"], DEPTH)
-    path = nodes.filter((F.col("level") < DEPTH) & (F.col("pos") == F.floor(F.lit(5) / F.pow(F.lit(2), F.col("level"))).bitwiseXOR(F.lit(1))))
-    siblings = path.groupBy("client_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "hash"))), lambda x: x["hash"]).alias("siblings"))
-    own = leaves.filter("pos = 5").select("client_id", "block", "hash").join(siblings, ["client_id", "block"]).join(attestation.roots(leaves, ["client_id", "block"], DEPTH), ["client_id", "block"])
-    return own.select("client_id", "block", (attestation.folded(F.col("hash"), F.lit(5), F.col("siblings"), DEPTH) == F.col("root")).alias("opens"))
+    nodes = attestation.levels(leaves, key, DEPTH)
+    at = leaves.select(*key, F.col("pos").alias("leaf"), "hash", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1))).alias("level"))
+    at = at.withColumn("pos", F.floor(F.col("leaf") / F.pow(F.lit(2), F.col("level"))).cast("int").bitwiseXOR(F.lit(1)))
+    path = at.join(nodes.withColumnRenamed("hash", "sibling"), [*key, "level", "pos"]).groupBy(*key, "leaf", "hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "sibling"))), lambda x: x["sibling"]).alias("siblings"))
+    opened = path.join(nodes.filter(F.col("level") == DEPTH).select(*key, F.col("hash").alias("root")), key)
+    return opened.groupBy(*key).agg(F.count_if(attestation.folded(F.col("hash"), F.col("leaf"), F.col("siblings"), DEPTH) == F.col("root")).alias("opened"), F.count("*").alias("n_leaves"))
 
 
-SQL_OPENING = f"{TEL}, {_QR}, nb AS (SELECT client_id, (row_id - 1) // {2**DEPTH} AS block FROM q GROUP BY ALL HAVING count(*) = {2**DEPTH}) SELECT client_id, block, true AS opens FROM nb"
+_FOLD = ", ".join(
+    f"o{d} AS (SELECT a.client_id, a.block, a.leaf, sha256(CASE WHEN (a.leaf >> {d - 1}) % 2 = 0 THEN a.h || b.h ELSE b.h || a.h END) AS h FROM {'(SELECT *, pos AS leaf FROM lf)' if d == 1 else f'o{d - 1}'} AS a JOIN {'lf' if d == 1 else f'm{d - 1}'} AS b ON a.client_id = b.client_id AND a.block = b.block AND b.pos = xor(a.leaf >> {d - 1}, 1))"
+    for d in range(1, DEPTH + 1)
+)
+SQL_OPENING = f"{TEL}, {_QR}, {_LEAF}, {_UP}, {_FOLD} SELECT o.client_id, o.block, count(*) FILTER (o.h = m.h) AS opened, count(*) AS n_leaves FROM o{DEPTH} AS o JOIN m{DEPTH} AS m ON m.client_id = o.client_id AND m.block = o.block GROUP BY ALL"
 
 
 def hypergeometric_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,22 +234,44 @@ SELECT defence, better, worse, tied, (SELECT round(sum(factorial((better + worse
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap(views.cells(spark, sf_dir), ["defence", "mode"], "f1", 10_000)
+    b = stats.bootstrap(views.cells(spark, sf_dir), ["defence", "mode"], "f1", 2000)
+    return b.select("defence", "mode", tidy(F.col("low")).alias("low"), tidy(F.col("high")).alias("high"))
+
+
+SQL_BOOTSTRAP = f"""{CELLS}, v AS (SELECT defence, mode, list(f1 ORDER BY f1) AS vs FROM cells GROUP BY ALL),
+e AS (SELECT defence, mode, d, avg(vs[floor((('0x' || substr(md5('0/' || d || '/' || i), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 * len(vs))::INTEGER + 1]) AS m FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM v WHERE len(vs) >= 2), range(0, 2000) AS r(d) GROUP BY ALL),
+q AS (SELECT defence, mode, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM e GROUP BY ALL)
+SELECT defence, mode, round(low, 6) AS low, round(high, 6) AS high FROM v LEFT JOIN q USING (defence, mode)"""
 
 
 def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.wilcoxon_less(stats.by_mode(views.cells(spark, sf_dir)), ["defence"], "naive", "gated")
+    w = stats.wilcoxon_less(stats.by_mode(views.cells(spark, sf_dir)), ["defence"], "naive", "gated")
+    return w.select("defence", "n", "w", tidy(F.col("p")).alias("p"))
+
+
+# every choice of signs is a number of n bits
+SQL_WILCOXON = f"""{CELLS}, {_PIV}, d AS (SELECT defence, naive - gated AS d FROM pv WHERE naive - gated <> 0),
+r AS (SELECT defence, d, 2 * rank() OVER (PARTITION BY defence ORDER BY abs(d)) + count(*) OVER (PARTITION BY defence, abs(d)) - 1 AS r, row_number() OVER (PARTITION BY defence ORDER BY abs(d)) - 1 AS i, count(*) OVER (PARTITION BY defence) AS n FROM d),
+w AS (SELECT defence, any_value(n) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w FROM r GROUP BY 1),
+s AS (SELECT r.defence, x, sum(CASE WHEN (x >> i) % 2 = 1 THEN r ELSE 0 END) AS s FROM r, range(0, 4096) AS t(x) WHERE x < (1 << n) GROUP BY ALL),
+p AS (SELECT defence, count(*) FILTER (s <= w) / count(*) AS p FROM s JOIN w USING (defence) GROUP BY 1)
+SELECT defence, coalesce(n, 0) AS n, coalesce(w, 0) / 2 AS w, round(coalesce(p, 1), 6) AS p FROM (SELECT DISTINCT defence FROM pv) LEFT JOIN w USING (defence) LEFT JOIN p USING (defence)"""
 
 
 def trust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trust (share of a round's weight) of every third client: its mean in each round, then over the rounds."""
-    u = views.round_updates(spark, sf_dir).groupBy("round", "client_id").agg(F.sum(F.abs("value")).alias("s"))
-    whole = u.groupBy("round").agg(F.sum("s").alias("t"))
-    r = u.join(whole, "round").withColumn("trust", ratio(F.col("s"), F.col("t"))).groupBy("round").agg(F.coalesce(F.avg(F.when(F.col("client_id") % 3 == 0, F.col("trust"))), F.lit(0.0)).alias("m"))
-    return r.agg(F.count("*").alias("n_rounds"), tidy(F.avg("m")).alias("malicious_trust"))
+    """Trust by likeness to the server's update that clients 0, 3, 6, ... get: its mean in each round, then over the rounds, beside the others'."""
+    u = views.round_updates(spark, sf_dir).withColumn("client_id", F.struct("round", "client_id"))
+    w = aggregation.fltrust_weights(u, views.server_update(spark, sf_dir)).select("client_id.*", "trust")
+    mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("trust"))), F.lit(0.0))
+    bad = F.col("client_id") % 3 == 0
+    r = w.groupBy("round").agg(mean(bad).alias("m"), mean(~bad).alias("h"))
+    return r.agg(F.count("*").alias("n_rounds"), tidy(F.avg("m"), 5).alias("malicious_trust"), tidy(F.avg("h"), 5).alias("honest_trust"))
 
 
-SQL_TRUST = f"WITH {views.SQL_UPDATES}, rnd AS (SELECT vec_id % 5 AS round, client_id, dim, avg(v) AS value FROM long GROUP BY ALL), s AS (SELECT round, client_id, sum(abs(value)) AS s FROM rnd GROUP BY ALL), t AS (SELECT round, sum(s) AS t FROM s GROUP BY 1), m AS (SELECT round, coalesce(avg(s / t) FILTER (client_id % 3 = 0), 0) AS m FROM s JOIN t USING (round) GROUP BY 1) SELECT count(*) AS n_rounds, round(avg(m), 6) AS malicious_trust FROM m"
+SQL_TRUST = f"""WITH {views.SQL_UPDATES}, rnd AS (SELECT vec_id % 5 AS round, client_id, dim, avg(v) AS value FROM long GROUP BY ALL),
+t AS (SELECT round, client_id, greatest(sum(u.value * s.value) / (sqrt(sum(u.value * u.value)) * sqrt(sum(s.value * s.value)) + 1e-12), 0) AS trust FROM rnd AS u JOIN srv AS s USING (dim) GROUP BY ALL),
+m AS (SELECT round, coalesce(avg(trust) FILTER (client_id % 3 = 0), 0) AS m, coalesce(avg(trust) FILTER (client_id % 3 <> 0), 0) AS h FROM t GROUP BY 1)
+SELECT count(*) AS n_rounds, round(avg(m), 5) + 0.0 AS malicious_trust, round(avg(h), 5) + 0.0 AS honest_trust FROM m"""
 
 QUERIES = {
     "threshold": (threshold, SQL_THRESHOLD),
@@ -265,7 +292,7 @@ QUERIES = {
     "damage_removal": (damage_removal, SQL_REMOVAL),
     "rule_mode_stats": (rule_mode_stats, SQL_RULE_MODE),
     "sign_test": (sign_test, SQL_SIGN),
-    "bootstrap_ci": (bootstrap_ci, None),
-    "wilcoxon": (wilcoxon, None),
+    "bootstrap_ci": (bootstrap_ci, SQL_BOOTSTRAP),
+    "wilcoxon": (wilcoxon, SQL_WILCOXON),
     "trust_summary": (trust_summary, SQL_TRUST),
 }

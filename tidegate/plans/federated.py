@@ -108,6 +108,12 @@ q AS (SELECT client_id, sum((m - value) * (m - value)) AS c, sum((m - value) * m
 SELECT client_id, dim, round(CASE WHEN {_BAD} THEN m - t * m / (n + 1e-12) ELSE value END, 5) + 0.0 AS value FROM upd JOIN mu USING (dim), z, t""",
 }
 
+_NORMAL = "sqrt(-2 * ln(1 - {})) * cos(2 * pi() * {})".format(*(f"(('0x' || substr(md5('3/' || client_id || '/' || dim || '/{x}'), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0" for x in "ab"))
+SQL_NOISE = {
+    n: f"{UPD}, s AS (SELECT stddev_samp(value) AS sd FROM upd WHERE NOT {_BAD}) SELECT client_id, dim, round(CASE WHEN {_BAD} THEN {keep} * value + {size} * sd * {_NORMAL} ELSE value END, 5) + 0.0 AS value FROM upd, s"
+    for n, keep, size in (("attack_noise", 1.0, 1.0), ("attack_free_rider", 0.0, 0.01))
+}
+
 QUERIES = {
     **{("coordinate_median" if n == "median" else n): (_rule(n), SQL_RULES[n]) for n in A.DEFENCES},
     "trust_weights": (trust_weights, SQL_TRUST),
@@ -117,6 +123,6 @@ QUERIES = {
     "attack_scaling": (_attack(A.scaling), SQL_ATTACKS["attack_scaling"]),
     "attack_alie": (_attack(A.alie), SQL_ATTACKS["attack_alie"]),
     "attack_min_max": (_attack(A.min_max), SQL_ATTACKS["attack_min_max"]),
-    "attack_noise": (_attack(A.additive_noise, sigma=1.0, seed=3), None),
-    "attack_free_rider": (_attack(A.free_rider, jitter=0.01, seed=3), None),
+    "attack_noise": (_attack(A.additive_noise, sigma=1.0, seed=3), SQL_NOISE["attack_noise"]),
+    "attack_free_rider": (_attack(A.free_rider, jitter=0.01, seed=3), SQL_NOISE["attack_free_rider"]),
 }

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.scalar import tidy
 from tidegate.operators import federation, mining, order, projection, record, rules
-from tidegate.sources import simulator, views
+from tidegate.sources import views
 
 KEY = ["client_id"]
 TEL = f"WITH {views.SQL_TELEMETRY}"
-WIDTH, HIDDEN, LATENT, PROJECTED = 10, 16, 4, 512
+WIDTH, PROJECTED = 10, 512
 
 
 def _statused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,18 +61,40 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.windows(z, KEY, ["z_value", "z_k"], "att_flag", WIDTH, WIDTH)
 
 
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return federation.moments(_windows(spark, sf_dir), 2 * WIDTH, 2)
+
+
 def local_train_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Norm of every client's update in the first round."""
-    start = federation.initial(2 * WIDTH, 0, HIDDEN, LATENT)
-    u = federation.local_updates(_windows(spark, sf_dir), start, 0, 1, hidden=HIDDEN, latent=LATENT)
-    return u.groupBy("client_id").agg(F.count("*").alias("n_params"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    """Every client's update in the first round, from zero: two steps on all of its windows."""
+    u = federation.local_updates(_moments(spark, sf_dir), [0.0] * (2 * WIDTH - 1))
+    return u.select("client_id", "dim", tidy(F.col("value")).alias("value"))
+
+
+_D = 2 * WIDTH - 1  # readings before the last row, and a constant
+SQL_TRAIN_BASE = f"""{TEL}, st AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(k) AS mk, stddev_pop(k) AS sk FROM tel),
+z AS (SELECT client_id, row_id, att_flag, ((value - mv) / sv)::FLOAT::DOUBLE AS zv, ((k - mk) / sk)::FLOAT::DOUBLE AS zk FROM tel, st),
+wf AS (SELECT client_id, (row_id - 1) // {WIDTH} AS window_id, flatten(list([zv, zk] ORDER BY row_id)) AS x, max(att_flag) AS label FROM z GROUP BY ALL HAVING count(*) = {WIDTH}),
+fy AS (SELECT client_id, window_id, label, list_append(x[1:{2 * WIDTH - 2}], 1.0) AS f, x[{2 * WIDTH - 1}] AS y FROM wf),
+fl AS (SELECT client_id, window_id, y, unnest(range(0, {_D})) AS i, unnest(f) AS v FROM fy),
+mb AS (SELECT client_id, i, avg(v * y) AS b FROM fl GROUP BY ALL),
+ma AS (SELECT p.client_id, p.i, q.i AS j, avg(p.v * q.v) AS a FROM fl AS p JOIN fl AS q ON p.client_id = q.client_id AND p.window_id = q.window_id GROUP BY ALL),
+s1 AS (SELECT client_id, i, {2 * federation.RATE} * b AS w FROM mb),
+s2 AS (SELECT mb.client_id, mb.i, any_value(own.w) + {2 * federation.RATE} * (any_value(b) - sum(a * s1.w)) AS w FROM mb JOIN ma ON ma.client_id = mb.client_id AND ma.i = mb.i JOIN s1 ON s1.client_id = mb.client_id AND s1.i = ma.j JOIN s1 AS own ON own.client_id = mb.client_id AND own.i = mb.i GROUP BY mb.client_id, mb.i)"""
+SQL_TRAIN = f"{SQL_TRAIN_BASE} SELECT client_id, i::INTEGER AS dim, round(w, 6) + 0.0 AS value FROM s2"
 
 
 def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reconstruction error of every window under the model of one federated round."""
+    """Squared error of every window's prediction under the model of one federated round by medians."""
     w = _windows(spark, sf_dir)
-    params = federation.run_rounds(w, 2 * WIDTH, 1, "median", epochs=1, hidden=HIDDEN, latent=LATENT)
-    return federation.score(w, params, ["client_id", "window_id", "label"], HIDDEN, LATENT)
+    params = federation.run_rounds(federation.moments(w, 2 * WIDTH, 2), 1, "median")
+    s = federation.score(w, params, ["client_id", "window_id", "label"], 2)
+    return s.withColumn("score", tidy(F.col("score"), 5))
+
+
+# the lower one of two middle values
+SQL_SCORED = f"""{SQL_TRAIN_BASE}, md AS (SELECT i, list_sort(list(w))[(count(*) + 1) // 2] AS w FROM s2 GROUP BY 1)
+SELECT fl.client_id, fl.window_id, any_value(fy.label) AS label, round(pow(any_value(fl.y) - sum(v * w), 2), 5) + 0.0 AS score FROM fl JOIN md USING (i) JOIN fy ON fy.client_id = fl.client_id AND fy.window_id = fl.window_id GROUP BY ALL"""
 
 
 def project_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,20 +109,12 @@ def project_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken(x).withColumnRenamed("n", "before").join(broken(p).withColumnRenamed("n", "after"), key).join(moved, key)
 
 
-def simulate_plant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A site for each 20 users of events, as long as it has events: rows, attacked rows and mean levels."""
-    n = views.table(spark, sf_dir, "events").groupBy(F.floor(F.col("user_id") / 20).alias("site")).agg(F.count("*").alias("n"))
-    sites = n.select("site", "n", F.col("site").alias("seed"), (F.pmod(F.col("site"), F.lit(5)) / 2.0 - 1).alias("shift"), F.lit(True).alias("attacked"))
-    return simulator.simulate_sites(sites).groupBy("site").agg(F.count("*").alias("n_rows"), F.sum("ATT_FLAG").alias("attacked"), *[F.avg(c).alias(f"mean_{c}") for c in ("L_T1", "L_T2", "L_T3")])
-
-
 QUERIES = {
     "mine_couplings": (mine_couplings, SQL_COUPLINGS),
     "boundary_r2": (boundary_r2, SQL_R2),
     "mine_balances": (mine_balances, None),
     "state_rules": (state_rules, None),
-    "local_train_round": (local_train_round, None),
-    "window_scores": (window_scores, None),
+    "local_train_round": (local_train_round, SQL_TRAIN),
+    "window_scores": (window_scores, SQL_SCORED),
     "project_batch": (project_batch, None),
-    "simulate_plant": (simulate_plant, None),
 }

@@ -104,17 +104,17 @@ SQL_TARGETED = f"{TEL}, x AS (SELECT client_id, max(att_flag) OVER w AS touched,
 
 
 def splice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 attack stretches of each client laid over its record at seeded places, later ones over earlier ones."""
+    """The attack stretches of each client laid over its record at seeded places, later ones over earlier ones."""
     t = views.telemetry(spark, sf_dir)
     n = t.groupBy("client_id").agg(F.count("*").alias("n"))
-    seg = order.islands(t, KEY, "att_flag").filter("seg_id <= 20").join(n, "client_id")
+    seg = order.islands(t, KEY, "att_flag").join(n, "client_id")
     at = F.floor(unit_hash(F.lit(5), F.col("client_id"), F.col("seg_id")) * (F.col("n") - F.col("n_rows"))) + 1
     pieces = seg.select("client_id", F.col("seg_id").alias("seq"), at.alias("at"), F.col("start_row").alias("from_row"), "n_rows")
     return record.splice(t, KEY, pieces, t, ["value", "k", "att_flag"]).select("client_id", "row_id", "value", "k", "att_flag", "spliced")
 
 
 SQL_SPLICE = f"""{TEL}, {_ISL}, n AS (SELECT client_id, count(*) AS n FROM tel GROUP BY 1),
-p AS (SELECT client_id, seg_id, start_row, n_rows, floor({UNIT.format("'5/' || client_id || '/' || seg_id")} * (n - n_rows))::BIGINT + 1 AS at_row FROM seg JOIN n USING (client_id) WHERE seg_id <= 20),
+p AS (SELECT client_id, seg_id, start_row, n_rows, floor({UNIT.format("'5/' || client_id || '/' || seg_id")} * (n - n_rows))::BIGINT + 1 AS at_row FROM seg JOIN n USING (client_id)),
 e AS (SELECT client_id, seg_id, at_row + i AS row_id, start_row + i AS src FROM (SELECT *, unnest(range(0, n_rows)) AS i FROM p)),
 l AS (SELECT client_id, row_id, arg_max(src, seg_id) AS src FROM e GROUP BY ALL)
 SELECT t.client_id, t.row_id, CASE WHEN l.src IS NULL THEN t.value ELSE s.value END AS value, CASE WHEN l.src IS NULL THEN t.k ELSE s.k END AS k, CASE WHEN l.src IS NULL THEN t.att_flag ELSE s.att_flag END AS att_flag, l.src IS NOT NULL AS spliced

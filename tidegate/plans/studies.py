@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.scalar import tidy, unit_hash
@@ -17,7 +17,7 @@ from tidegate.sources import views
 KEY = ["client_id"]
 TEL = f"WITH {views.SQL_TELEMETRY}"
 RULES = [replace(rules.linear("value", {"k": 0.5}, 0.0, diff=True), eps=120.0), replace(rules.coupling("status", "value", 50.0, off=1, on=2), eps=150.0)]
-ALPHA, ROWS, DRAWS, SAMPLE, HONEST = 0.1, record_plans.BATCH_ROWS, 200, 8, 64
+ALPHA, ROWS, DRAWS, SAMPLE, HONEST = 0.1, record_plans.BATCH_ROWS, 20, 8, 64
 BATCHED = f"(('0x' || substr(md5('3/' || client_id || '/' || i), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0"
 
 
@@ -90,19 +90,18 @@ SQL_HONEST = f"{TEL}, {_QR}, {_HW} SELECT hw.client_id, b::INTEGER AS batch_id,
 
 
 def budget_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P(v <= m) for sums of violations over seeded samples of each client's first 64 rows."""
-    c = evaluation._counted(spark, sf_dir).filter(F.col("row_id") <= HONEST)
+    """P(v <= m) for sums of violations over seeded samples of SAMPLE rows, DRAWS from each block of 64 rows of a client."""
+    c = evaluation._counted(spark, sf_dir).withColumn("block", F.floor((F.col("row_id") - 1) / HONEST))
     each = c.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("h", unit_hash(F.lit(23), F.col("client_id"), F.col("draw"), F.col("row_id")))
-    # a draw ranks the 64 rows of one batch
-    from pyspark.sql import Window
-
-    s = each.withColumn("r", F.row_number().over(Window.partitionBy("client_id", "draw").orderBy("h", "row_id"))).filter(F.col("r") <= SAMPLE)
-    s = s.groupBy("client_id", "draw").agg(F.sum("v").alias("v"))
+    # a draw ranks the 64 rows of one block
+    s = each.withColumn("r", F.row_number().over(Window.partitionBy("client_id", "block", "draw").orderBy("h", "row_id"))).filter(F.col("r") <= SAMPLE)
+    s = s.groupBy("client_id", "block", "draw").agg(F.sum("v").alias("v"))
+    # sums are at most 2 * SAMPLE, so a client's quantile holds as many counts
     return s.groupBy("client_id").agg(F.count("*").alias("n_draws"), *[tidy(F.avg((F.col("v") <= m).cast("double"))).alias(f"p_{m}") for m in range(3)], tidy(F.percentile("v", 0.95)).alias("q95"))
 
 
-SQL_BUDGETS = f"""{TEL}, {_QR}, e AS (SELECT client_id, v, d, row_number() OVER (PARTITION BY client_id, d ORDER BY (('0x' || substr(md5('23/' || client_id || '/' || d || '/' || row_id), 1, 13))::BIGINT), row_id) AS r FROM vu, range(0, {DRAWS}) AS x(d) WHERE row_id <= {HONEST}),
-s AS (SELECT client_id, d, sum(v) AS v FROM e WHERE r <= {SAMPLE} GROUP BY ALL)
+SQL_BUDGETS = f"""{TEL}, {_QR}, e AS (SELECT client_id, v, d, (row_id - 1) // {HONEST} AS block, row_number() OVER (PARTITION BY client_id, (row_id - 1) // {HONEST}, d ORDER BY (('0x' || substr(md5('23/' || client_id || '/' || d || '/' || row_id), 1, 13))::BIGINT), row_id) AS r FROM vu, range(0, {DRAWS}) AS x(d)),
+s AS (SELECT client_id, block, d, sum(v) AS v FROM e WHERE r <= {SAMPLE} GROUP BY ALL)
 SELECT client_id, count(*) AS n_draws, {', '.join(f'round(avg((v <= {m})::INTEGER), 6) AS p_{m}' for m in range(3))}, round(quantile_cont(v::DOUBLE, 0.95), 6) AS q95 FROM s GROUP BY 1"""
 
 
@@ -161,24 +160,17 @@ def projection_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.cost(before, after, KEY, ["value", "k"])
 
 
-def hardened_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gain in a surrogate's error of each 256-row batch of the malicious clients, within 2.5 deviations."""
-    part = F.floor((F.col("row_id") - 1) / 256)
-    t = views.telemetry(spark, sf_dir).filter("client_id % 3 = 0").select("client_id", part.alias("batch_id"), "row_id", F.col("value").cast("double").alias("value"), F.col("k").cast("double").alias("k"))
-    return federation.harden(t, [*KEY, "batch_id"], ["value", "k"], 10, hidden=16, latent=4).groupBy("client_id", "batch_id").agg(F.count("*").alias("n_rows"), F.max("gain").alias("gain"))
-
-
 def federated_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection by the model of one median round in each of three modes: threshold from clean windows, then the report."""
+    """Detection by the model of two median rounds in each of three modes: threshold from clean windows, then the report."""
     t = views.telemetry(spark, sf_dir)
     fitted = record.scaler(t, ["value", "k"])
     cells = []
     for mode in ("clean", "honest_only", "fabricated"):
         z = record.standardised(variant(t, mode).withColumn("label", F.lit(0)), fitted, ["value", "k"])
         w = record.windows(z, KEY, ["z_value", "z_k"], "label", 10, 10)
-        params = federation.run_rounds(w, 20, 1, "median", lambda u: aggregation.sign_flip(u, F.col("client_id") % 3 == 0) if mode == "fabricated" else u, epochs=1, hidden=16, latent=4)
+        params = federation.run_rounds(federation.moments(w, 20, 2), 2, "median", (lambda u: aggregation.sign_flip(u, F.col("client_id") % 3 == 0)) if mode == "fabricated" else None)
         whole = record.windows(record.standardised(t, fitted, ["value", "k"]), KEY, ["z_value", "z_k"], "att_flag", 10, 10)
-        s = federation.score(whole, params, ["client_id", "window_id", "label"], 16, 4)
+        s = federation.score(whole, params, ["client_id", "window_id", "label"], 2)
         limit = metrics.threshold(s.filter("label = 0").select("score"), 0.9)
         cells.append(metrics.report(s, limit).withColumn("mode", F.lit(mode)))
     return reduce(DataFrame.unionByName, cells)
@@ -192,6 +184,5 @@ QUERIES = {
     "round_record": (round_record, SQL_ROUNDS),
     "mode_verdicts": (mode_verdicts, None),
     "projection_cost": (projection_cost, None),
-    "hardened_batches": (hardened_batches, None),
     "federated_f1": (federated_f1, None),
 }
