@@ -6,12 +6,12 @@ The distinct words of a chunk are sorted, which lays them out as the depth-first
 going from a word to the next one, the forward states of their common prefix stay and only the
 branch below it is computed. A word then reads its segmentation back from its states.
 
-The forward state of a prefix depends on the model:
-* unigram: the best score of the prefix and the start of its last piece (Viterbi).
-* BPE: the start of the last piece of the prefix's one BPE encoding. Piece t may follow the encoding
-  of a shorter prefix exactly if BPE of (that encoding's last piece + t) is these two pieces, so the states are
-  found left to right, and ids equal the library's. Summing BPE scores as if they were log
-  probabilities would give other ids than the model's, so plain Viterbi serves unigram models only.
+The forward state of a prefix is the best score of its segmentations, and the start of the last piece of the best one. The score
+of a segmentation is the sum of its pieces' scores and of its transitions':
+* in a unigram model every transition is worth 0 (Viterbi as it stands);
+* in a BPE model the transition from piece s to piece t is worth 0 where BPE of s + t is s and t, and minus infinity otherwise. A
+  segmentation whose transitions are all allowed is the model's own, so the best score is that of the model's ids. Piece scores alone, which are merge
+  ranks and not log probabilities, would give other ids. As one piece alone may end a prefix, the search for it stops at the first.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from tidegate.llm.common import table, trimming
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text that are segmented together, and words (or pairs of pieces) that are remembered from chunk to chunk.
-CHUNK_CHARS, MEMORY = 2_000_000, 250_000
+CHUNK_CHARS, MEMORY = 2_000_000, 500_000
 TAIL = 3
 UNITS = re.compile(rf"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 
@@ -84,47 +84,39 @@ class Pieces:
     def extend(self, word: str, starts: list[int], lasts: list[str], scores: list[float]) -> None:
         """Append the states of the prefixes of ``word`` that are missing: start of the last piece, the piece, score.
 
-        A character without a piece stands alone.
+        A character without a piece stands alone, for a penalty.
         """
-        if not self.bpe:
-            return self._extend_unigram(word, starts, lasts, scores)
-        ids, pairs, tails, short, likely = self.ids, self.pairs, self.tails, self.short, self.likely
+        value_of, pairs, tails, short, likely, bpe = self.score, self.pairs, self.tails, self.short, self.likely, self.bpe
         for end in range(len(starts), len(word) + 1):
-            # only one piece can follow, so any that may is it: first the one that followed such a prefix last time
-            before = lasts[end - 1]
-            key = before + word[end - 1]
-            piece = likely.get(key)
-            if piece is not None:
-                at = end - len(piece)
-                if at >= 0 and pairs.get((lasts[at], piece)) and (len(piece) <= len(key) or word[at:end] == piece):
-                    starts.append(at)
-                    lasts.append(piece)
-                    continue
-            at = end - 1
+            if bpe:
+                # only one transition is allowed, so any that is will do: first the one that followed such a prefix last time
+                key = lasts[end - 1] + word[end - 1]
+                piece = likely.get(key)
+                if piece is not None:
+                    at = end - len(piece)
+                    if at >= 0 and pairs.get((lasts[at], piece)) and (len(piece) <= len(key) or word[at:end] == piece):
+                        starts.append(at)
+                        lasts.append(piece)
+                        scores.append(scores[at] + value_of[piece])
+                        continue
+            at, best = end - 1, None
             for size in tails.get(word[end - TAIL : end], short) if end >= TAIL else range(end, 0, -1):
                 start = end - size
                 if start < 0:
                     continue
                 piece = word[start:end]
-                if piece in ids and (pairs.get((lasts[start], piece)) or self.follows(lasts[start], piece)):
-                    at = start
-                    likely[key] = piece
-                    break
-            starts.append(at)
-            lasts.append(word[at:end])
-
-    def _extend_unigram(self, word: str, starts: list[int], lasts: list[str], scores: list[float]) -> None:
-        for end in range(len(starts), len(word) + 1):
-            at, score, best = end - 1, scores[end - 1] + self.penalty, None
-            for size in self.tails.get(word[end - TAIL : end], self.short) if end >= TAIL else range(end, 0, -1):
-                start = end - size
-                piece = word[max(start, 0) : end]
-                if start >= 0 and piece in self.ids and (best is None or scores[start] + self.score[piece] > best):
-                    best = score = scores[start] + self.score[piece]
-                    at = start
+                if piece not in value_of:
+                    continue
+                if bpe:
+                    if pairs.get((lasts[start], piece)) or self.follows(lasts[start], piece):
+                        at, best = start, scores[start] + value_of[piece]
+                        likely[key] = piece
+                        break
+                elif best is None or scores[start] + value_of[piece] > best:
+                    at, best = start, scores[start] + value_of[piece]
             starts.append(at)
             lasts.append(word[at:end])
-            scores.append(score)
+            scores.append(scores[at] + self.penalty if best is None else best)
 
     def learn(self, words: set[str]) -> None:
         """Encodings of new words: one depth-first walk over the trie of the sorted words."""
