@@ -248,6 +248,13 @@ def test_masks_cover_the_radius():
         assert any(not flip & m for m in simhash.submasks(level))
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 5)
+    edges = [(0, i) for i in range(1, 40)] + [(50, i) for i in range(51, 70)] + [(39, 60)]
+    got = {r.node: r.root for r in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys([*range(40), *range(50, 70)], 0)
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components.roots(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -596,6 +603,31 @@ def test_unigram_forward_scores():
         assert "".join(text[i] for i in ids) == w and sum(p.score[text[i]] for i in ids) == pytest.approx(best(w))
 
 
+def test_forward_scores_are_the_best_of_all_segmentations():
+    """Among all segmentations whose transitions are allowed the forward score is the greatest, and it is that of the ids."""
+    p = sentencepieces.Pieces(open(sentencepieces.MODEL, "rb").read())
+    text = {i: t for t, i in p.ids.items()}
+
+    def best(word, at, last):
+        if at == len(word):
+            return 0.0
+        found = [p.score[t] + x for e in range(at + 1, len(word) + 1) if (t := word[at:e]) in p.score and p.merged(last + t) == ([last, t] if last else [t]) and (x := best(word, e, t)) is not None]
+        return max(found, default=None)
+
+    before, states = "", ([0], [""], [0.0])
+    for w in sorted(["▁hello", "▁help", "▁helpful", "▁helpless", "▁banana", "▁bandana", "▁unbelievable"]):
+        common = 0
+        while common < min(len(before), len(w)) and before[common] == w[common]:
+            common += 1
+        for x in states:
+            del x[common + 1 :]
+        p.extend(w, *states)
+        before = w
+        p.learn({w})
+        ids = np.frombuffer(p.known[w], np.int32)
+        assert states[2][-1] == best(w, 0, "") == sum(p.score[text[i]] for i in ids)
+
+
 # quality
 
 

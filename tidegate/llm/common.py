@@ -69,6 +69,19 @@ def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """``left`` joined with ``right`` (a row for each key) on ``key``; keys of ``hot`` (key, parts) meet in as many places, dealt by the column ``by``.
+
+    Spark splits a skewed side by itself only where it is plain rows, not the result of an aggregate on the same key.
+    """
+    few = sized(stored(hot))
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("__parts")))
+    few = few.withColumnRenamed("parts", "__parts")
+    left = left.join(few, key, "left").withColumn("__part", part.cast("int")).drop("__parts")
+    right = right.join(few, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)).cast("int") - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 def trimming(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, which gives freed memory back to the system at a task's end: Spark reuses Python workers, and what they kept would add to the next stage's."""
 
