@@ -127,6 +127,18 @@ def test_miners_find_the_plant(spark):
     assert len(mining.build([b], c, limit=1)) == 1
 
 
+def test_settings_choose_rules(spark):
+    d = spark.createDataFrame(plant(2000, 3), "site long, row_id long, L_T1 double, F_PU1 double, F_PU2 double, F_PU3 double, S_PU1 int")
+    chosen, report = mining.mined(d, ["site"], ["L_T1"], ["F_PU1", "F_PU2"], ["S_PU1"], "narrow")
+    assert [r.kind for r in chosen] == ["coupling", "linear"] and report.filter("used").count() == 2
+    assert rules.from_table(rules.as_table(spark, rules.calibrate(mining.with_previous(d, ["site"], ["L_T1", "S_PU1"]), chosen)))[0].eps > 0
+    assert mining.mined(d, ["site"], ["L_T1"], ["F_PU1", "F_PU2"], ["S_PU1"], "wide", limit=1)[1].filter("used").count() == 1
+    with pytest.raises(KeyError):
+        mining.mined(d, ["site"], ["L_T1"], ["F_PU1"], ["S_PU1"], "other")
+    with pytest.raises(ValueError, match="unknown kinds"):
+        rules.from_table(spark.createDataFrame([("x", "odd", "{}", 1.0)], rules.RULE))
+
+
 def test_sign_and_rank_tests(spark):
     rows = [(s, "a", m, {"reference": 1.0, "naive": 0.1 * s, "gated": 0.1 * s + 0.05 * (1 if s < 9 else -1)}[m]) for s in range(1, 11) for m in ("reference", "naive", "gated")]
     cells = spark.createDataFrame(rows, "seed int, defence string, mode string, f1 double")

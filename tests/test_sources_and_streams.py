@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.sources import plants, results
+from tidegate.sources import plants, records, results
 from tidegate.streaming import gate
 
 
@@ -46,11 +46,46 @@ def test_unlabelled(spark, tmp_path):
     assert d.columns == ["row_id", "x"] and [r.x for r in d.orderBy("row_id").collect()] == [0, 4, 8, 2, 6]
 
 
-def test_files_are_ranked():
-    names = ["d/List_of_attacks.xlsx", "d/Plant_Dataset_Normal_v0.csv", "d/Plant_Dataset_Normal_v1.xlsx", "d/Plant_Dataset_Normal_v1.csv", "d/x_attack.csv", "d/~$x.csv"]
-    assert plants.normal_and_attack(names) == {"normal": "d/Plant_Dataset_Normal_v1.csv", "attack": "d/x_attack.csv"}
+def test_files_are_ranked(spark, tmp_path):
+    names = ["d/List_of_attacks.xlsx", "d/Plant_Dataset_Normal_v0.csv", "d/Plant_Dataset_Normal_v1.xlsx", "d/Plant_Dataset_Normal_v1.csv", "d/deep/x_attack.csv", "d/~$x_attack.csv", "d/notes.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    found = records.find(spark, str(tmp_path), "inline")
+    assert {k: v.rsplit("/d/")[-1] for k, v in found.items()} == {"normal": "Plant_Dataset_Normal_v1.csv", "attack": "deep/x_attack.csv"}
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/readme.txt").write_text("x")
     with pytest.raises(FileNotFoundError):
-        plants.normal_and_attack([])
+        records.find(spark, str(tmp_path / "e"), "inline")
+    with pytest.raises(ValueError):
+        records.load(spark, str(tmp_path), "other")
+
+
+def test_records_are_loaded_checked_and_kept(spark, tmp_path):
+    line = lambda i, label: f"28/12/2015 10:00:{i % 60:02d} AM,{i},{label}"
+    head = "Timestamp,FIT101,Normal/Attack (1)\n"
+    (tmp_path / "plant").mkdir()
+    (tmp_path / "plant/Dataset_Normal_v1.csv").write_text(head + "\n".join(line(i, "Normal") for i in range(40)))
+    (tmp_path / "plant/Dataset_Attack_v0.csv").write_text(head + "\n".join(line(i, "Attack" if i > 30 else "Normal") for i in range(40)))
+    normal, attack = records.load(spark, str(tmp_path / "plant"), "inline", skip=10, step=5)
+    assert [r.FIT101 for r in normal.orderBy("row_id").collect()] == [10, 15, 20, 25, 30, 35] and attack.filter("att_flag = 1").count() == 1
+    again = records.kept(spark, str(tmp_path / "plant"), "inline", str(tmp_path / "store"), 10, 5)
+    once = records.kept(spark, str(tmp_path / "plant"), "inline", str(tmp_path / "store"), 10, 5)
+    assert again[0].count() == once[0].count() == 6 and len(list((tmp_path / "store").iterdir())) == 2
+    (tmp_path / "plant/Dataset_Normal_v2.csv").write_text(head + line(1, "Attack"))
+    with pytest.raises(ValueError, match="holds attack rows"):
+        records.load(spark, str(tmp_path / "plant"), "inline", 0, 1)
+
+
+def test_logged_folder(spark, tmp_path):
+    preamble = "info\ninfo\nRow,Date,Time,\\\\S\\1_FIT_001_PV,\\\\S\\1_P_001_STATUS\n"
+    body = "".join(f"{i + 1},10/9/2017,6:00:0{i}.000 PM,{i},1\n" for i in range(5))
+    for n in ("W_14days.csv", "W_attackdata.csv"):
+        (tmp_path / n).write_text(preamble + body)
+    (tmp_path / "attack_description.csv").write_text("Attacks,,,\nS.No,Date,Start Time,End Time\n1,2017-10-09,18:00:01,18:00:03\n")
+    normal, attack = records.load(spark, str(tmp_path), "logged")
+    assert normal.agg(F.sum("att_flag")).first()[0] == 0
+    assert [r.att_flag for r in attack.orderBy("row_id").collect()] == [0, 1, 1, 0, 0]
 
 
 def test_manifest(spark, tmp_path):

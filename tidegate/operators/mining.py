@@ -131,3 +131,17 @@ def state_rules(df: DataFrame, sensors: Sequence[str], actuators: Sequence[str],
         g = g.select(F.lit(s).alias("sensor"), "component", "actuator", (-F.col("m.v")).alias("value"), (F.col("m.c") / F.col("t")).alias("purity"), (F.col("t") / F.lit(float(max(n, 1)))).alias("support"))
         out = g if out is None else out.unionByName(g)
     return out.filter((F.col("purity") >= purity) & (F.col("support") >= support)).orderBy(F.desc("purity"), F.desc("support"), "sensor", "component", "actuator").limit(limit)
+
+
+def mined(df: DataFrame, key: list[str], levels: Sequence[str], flows: Sequence[str], statuses: Sequence[str], setting: str = "narrow", limit: int = 40) -> tuple[list[rules.Rule], DataFrame]:
+    """Rules mined from a clean record under a setting, couplings first, then balances whose r2 reaches it, ``limit`` at most; and a report.
+
+    The report has a row for each rule found: name, kind, fit (r2 or cv), used. KeyError for an unknown setting.
+    """
+    r2_min, off_ratio, support = SETTINGS[setting]
+    found_couplings = couplings(coupling_table(df, key, statuses, flows, support, off_ratio))
+    found = balances(df, key, levels, flows, alpha=5e-4)
+    fits = [(r.name, r.kind, None, True) for r in found_couplings] + [(b.rule().name, b.rule().kind, float(b.r2), bool(b.r2 >= r2_min)) for b in found]
+    out = [*found_couplings, *[b.rule() for b in found if b.r2 >= r2_min]][:limit]
+    chosen = {r.name for r in out}
+    return out, df.sparkSession.createDataFrame([(n, k, f, u and n in chosen) for n, k, f, u in fits], "name string, kind string, fit double, used boolean")

@@ -71,21 +71,25 @@ def with_previous(df: DataFrame, key: list[str], channels: list[str], row: str =
 
 def filled(df: DataFrame, key: list[str], channel: str, out: str, row: str = "row_id", block: int = BLOCK) -> DataFrame:
     """``out``: the last known value of ``channel`` up to the row, else the first known one after it."""
+    return all_filled(df.withColumn(out, F.col(channel)), key, [out], row, block)
+
+
+def all_filled(df: DataFrame, key: list[str], channels: list[str], row: str = "row_id", block: int = BLOCK) -> DataFrame:
+    """``df`` with each of ``channels`` filled forward, then backward: one window over blocks for all of them, and one join with the blocks' edges."""
     d = df.withColumn("__block", F.floor((F.col(row) - 1) / block))
-    edge = d.filter(F.col(channel).isNotNull()).groupBy(*key, "__block").agg(F.max_by(channel, row).alias("__last"), F.min_by(channel, row).alias("__first"))
-    every = d.select(*key, "__block").distinct().join(edge, [*key, "__block"], "left")
+    known = lambda c, f: f(F.when(F.col(c).isNotNull(), F.struct(row, c)))[c]
+    edges = [x for i, c in enumerate(channels) for x in (known(c, F.max).alias(f"__last_{i}"), known(c, F.min).alias(f"__first_{i}"))]
     over = Window.partitionBy(*key).orderBy("__block")
-    carried = every.select(
-        *key,
-        "__block",
-        F.last("__last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"),
-        F.first("__first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
-    )
+    before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    carried = d.groupBy(*key, "__block").agg(*edges) if channels else d.select(*key, "__block").distinct()
+    carry = [x for i in range(len(channels)) for x in (F.last(f"__last_{i}", ignorenulls=True).over(before).alias(f"__carry_{i}"), F.first(f"__first_{i}", ignorenulls=True).over(after).alias(f"__next_{i}"))]
+    carried = carried.select(*key, "__block", *carry)
     w = Window.partitionBy(*key, "__block").orderBy(row)
-    back = F.last(channel, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(channel, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = d.withColumns({"__back": back, "__ahead": ahead}).join(carried, [*key, "__block"])
-    return d.select(*df.columns, F.coalesce("__back", "__carry", "__ahead", "__next").alias(out))
+    back = {f"__back_{i}": F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, c in enumerate(channels)}
+    ahead = {f"__ahead_{i}": F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) for i, c in enumerate(channels)}
+    d = d.withColumns(back | ahead).join(carried, [*key, "__block"])
+    put = {c: F.coalesce(f"__back_{i}", f"__carry_{i}", f"__ahead_{i}", f"__next_{i}").alias(c) for i, c in enumerate(channels)}
+    return d.select(*[put.get(c, F.col(f"`{c}`")) for c in df.columns])
 
 
 def exact_quantile(df: DataFrame, key: list[str], value: str, q: float, out: str, accuracy: int = 10_000) -> DataFrame:

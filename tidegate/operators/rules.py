@@ -6,12 +6,13 @@ and has_prev, those of the row before; ``order.with_previous`` supplies them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.scalar import no_nan
@@ -178,3 +179,20 @@ def plant_rules(weak_bounds: bool = False, dt: float = 1.0) -> list[Rule]:
     out = [balance(f"L_T{i}", [f"F_PU{i}"], [f"F_PU{i + 1}"], PLANT_AREAS[i - 1], dt) for i in (1, 2, 3)]
     out += [coupling(f"S_PU{i}", f"F_PU{i}", PLANT_FLOWS[i - 1]) for i in (1, 2, 3)]
     return out + ([bound(f"L_T{i}", 0.0, 12.0) for i in (1, 2, 3)] if weak_bounds else [])
+
+
+RULE = "name string, kind string, params string, eps double"
+
+
+def as_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """name, kind, params (JSON), eps: a row for each rule, to be kept in any format Spark writes."""
+    return spark.createDataFrame([(r.name, r.kind, json.dumps(r.params, sort_keys=True), r.eps) for r in rules], RULE)
+
+
+def from_table(table: DataFrame) -> list[Rule]:
+    """The rules of a table, by name. ValueError for a kind that the engine does not know."""
+    rows = table.select("name", "kind", "params", "eps").orderBy("name").collect()  # a row a rule
+    unknown = {r.kind for r in rows} - {"coupling", "balance", "bound", "linear"}
+    if unknown:
+        raise ValueError(f"unknown kinds of rules: {sorted(unknown)}")
+    return [Rule(r.name, r.kind, json.loads(r.params), r.eps) for r in rows]

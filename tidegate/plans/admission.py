@@ -176,6 +176,38 @@ m AS (SELECT a.client_id, s.seg_id, count(*) AS n_rows, avg(({' OR '.join(_VIOL)
   FROM allr AS a JOIN seg AS s ON a.client_id = s.client_id AND a.row_id BETWEEN s.start_row AND s.start_row + s.n_rows - 1, eps GROUP BY ALL)
 SELECT client_id, seg_id, n_rows, round(f, 6) AS violating_fraction, CASE WHEN m0 >= m1 AND m0 >= m2 THEN '{RULES[0].name}' WHEN m1 >= m2 THEN '{RULES[1].name}' ELSE '{RULES[2].name}' END AS worst_rule, f > 0.01 AS covered FROM m"""
 
+def verdict_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts under rules that were calibrated, written as a table of JSON and read back."""
+    t = views.telemetry(spark, sf_dir)
+    rule_set = rules.from_table(rules.as_table(spark, calibrated(t)))
+    v = rules.verdicts(rules.residuals(looked_back(batch_part(t), rule_set), rule_set), KEY, rule_set)
+    return v.select("client_id", "n_rows", tidy(F.col("violating_fraction")).alias("violating_fraction"), "admitted")
+
+
+SQL_FROM_TABLE = f"WITH {SQL_VERDICTS} SELECT client_id, n_rows, round(violating_fraction, 6) AS violating_fraction, violating_fraction <= 0.01 AS admitted FROM ver"
+
+
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each client: attack stretches, covered ones, and the share of attack rows that lie in covered ones."""
+    c = coverage_by_segment(spark, sf_dir)
+    covered = F.when(F.col("covered"), F.col("n_rows")).otherwise(0)
+    return c.groupBy("client_id").agg(F.count("*").alias("n_segments"), F.count_if("covered").alias("n_covered"), tidy(F.sum(covered) / F.sum("n_rows")).alias("covered_row_share"))
+
+
+SQL_COVERAGE_SUMMARY = f"SELECT client_id, count(*) AS n_segments, count(*) FILTER (covered) AS n_covered, round(coalesce(sum(n_rows) FILTER (covered), 0) / sum(n_rows), 6) AS covered_row_share FROM ({SQL_COVERAGE}) GROUP BY 1"
+
+
+def clean_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the clean record: attack rows go before rows look back, so a step may span them."""
+    t = views.telemetry(spark, sf_dir).filter("att_flag = 0")
+    t = order.cumulative(t.withColumnRenamed("row_id", "at"), KEY, F.floor(F.col("at") / order.BLOCK), [F.col("at")])
+    d = order.with_previous(t, KEY, ["value"])
+    return d.select("client_id", "row_id", tidy(F.col("value") - F.col("prev_value")).alias("step"))
+
+
+SQL_CLEAN_STEPS = f"WITH {views.SQL_TELEMETRY} SELECT client_id, row_number() OVER w AS row_id, round(value - lag(value) OVER w, 6) + 0.0 AS step FROM tel WHERE att_flag = 0 WINDOW w AS (PARTITION BY client_id ORDER BY row_id)"
+
+
 QUERIES = {
     "admission_verdict": (admission_verdict, SQL_ADMISSION),
     "calibrate_eps": (calibrate_eps, SQL_EPS),
@@ -190,4 +222,7 @@ QUERIES = {
     "honest_only": (honest_only, SQL_HONEST),
     "alpha_sensitivity": (alpha_sensitivity, SQL_ALPHA),
     "coverage_by_segment": (coverage_by_segment, SQL_COVERAGE),
+    "verdict_from_table": (verdict_from_table, SQL_FROM_TABLE),
+    "coverage_summary": (coverage_summary, SQL_COVERAGE_SUMMARY),
+    "clean_steps": (clean_steps, SQL_CLEAN_STEPS),
 }

@@ -51,6 +51,12 @@ def mine_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(b.target, b.terms, b.const, b.r2, b.tightness) for b in found], "target string, terms map<string,double>, const double, r2 double, tightness double")
 
 
+def mined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the rules that the wide setting mines from each client's status, flow and value."""
+    t = _statused(spark, sf_dir).withColumn("status", F.when(F.col("status") == 0, 1).otherwise(F.col("status")))
+    return mining.mined(t, KEY, ["value"], ["flow"], ["status"], "wide")[1]
+
+
 def state_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.state_rules(_statused(spark, sf_dir), ["flow"], ["status"], purity=0.5)
 
@@ -113,6 +119,7 @@ QUERIES = {
     "mine_couplings": (mine_couplings, SQL_COUPLINGS),
     "boundary_r2": (boundary_r2, SQL_R2),
     "mine_balances": (mine_balances, None),
+    "mined_rules": (mined_rules, None),
     "state_rules": (state_rules, None),
     "local_train_round": (local_train_round, SQL_TRAIN),
     "window_scores": (window_scores, SQL_SCORED),

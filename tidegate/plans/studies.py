@@ -17,6 +17,7 @@ from tidegate.sources import views
 KEY = ["client_id"]
 TEL = f"WITH {views.SQL_TELEMETRY}"
 RULES = [replace(rules.linear("value", {"k": 0.5}, 0.0, diff=True), eps=120.0), replace(rules.coupling("status", "value", 50.0, off=1, on=2), eps=150.0)]
+TOLERATED = (0.01, 0.05, 0.2)
 ALPHA, ROWS, DRAWS, SAMPLE, HONEST = 0.1, record_plans.BATCH_ROWS, 20, 8, 64
 BATCHED = f"(('0x' || substr(md5('3/' || client_id || '/' || i), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0"
 
@@ -89,6 +90,31 @@ _HW = f"hw AS (SELECT client_id, unnest(range(0, (n - {HONEST}) // {HONEST // 2}
 SQL_HONEST = f"{TEL}, {_QR}, {_HW} SELECT hw.client_id, b::INTEGER AS batch_id, sum(v)::BIGINT AS v, sum(u)::BIGINT AS u FROM hw JOIN vu ON vu.client_id = hw.client_id AND row_id BETWEEN b * {HONEST // 2} + 1 AND b * {HONEST // 2} + {HONEST} GROUP BY ALL"
 
 
+def honest_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each client and tolerated share: the honest windows' largest and mean share of violating rows, and how many are rejected."""
+    c = evaluation._counted(spark, sf_dir).withColumn("bad", (F.col("v") > 0).cast("double"))
+    n = c.groupBy("client_id").agg(F.count("*").alias("n")).filter(F.col("n") >= HONEST)
+    starts = n.select("client_id", F.posexplode(F.sequence(F.lit(1).cast("bigint"), F.col("n") - HONEST + 1, F.lit(HONEST // 2).cast("bigint"))).alias("batch_id", "start"))
+    f = record.batches(c, KEY, starts, HONEST).groupBy("client_id", "batch_id").agg(F.avg("bad").alias("f"))
+    f = f.withColumn("alpha", F.explode(F.array(*map(F.lit, TOLERATED))))
+    return f.groupBy("client_id", "alpha").agg(F.count("*").alias("n_windows"), tidy(F.max("f")).alias("worst"), tidy(F.avg("f")).alias("mean"), F.count_if(F.col("f") > F.col("alpha")).alias("n_rejected"))
+
+
+SQL_HONEST_VERDICTS = f"""{TEL}, {_QR}, {_HW}, f AS (SELECT hw.client_id, b, avg((v > 0)::INTEGER) AS f FROM hw JOIN vu ON vu.client_id = hw.client_id AND row_id BETWEEN b * {HONEST // 2} + 1 AND b * {HONEST // 2} + {HONEST} GROUP BY ALL)
+SELECT client_id, alpha, count(*) AS n_windows, round(max(f), 6) AS worst, round(avg(f), 6) AS mean, count(*) FILTER (f > alpha) AS n_rejected FROM f, (VALUES {', '.join(f'({a}::DOUBLE)' for a in TOLERATED)}) AS t(alpha) GROUP BY ALL"""
+
+
+def pilot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each defence: mean F1 by mode, the damage done and left, and whether damage reaches 0.01 and the gate takes half of it away."""
+    m = views.cells(spark, sf_dir).groupBy("defence").pivot("mode", ["reference", "naive", "gated"]).agg(F.avg("f1"))
+    m = m.withColumns({"damage": F.col("reference") - F.col("naive"), "left": F.col("reference") - F.col("gated")})
+    return m.select("defence", *[tidy(F.col(c)).alias(c) for c in ("reference", "naive", "gated", "damage", "left")], (F.col("damage") >= 0.01).alias("damaged"), (F.col("left") <= 0.5 * F.col("damage")).alias("halved"))
+
+
+SQL_PILOT = f"""WITH {views.SQL_CELLS}, m AS (SELECT defence, avg(f1) FILTER (mode = 'reference') AS reference, avg(f1) FILTER (mode = 'naive') AS naive, avg(f1) FILTER (mode = 'gated') AS gated FROM cells GROUP BY 1)
+SELECT defence, round(reference, 6) AS reference, round(naive, 6) AS naive, round(gated, 6) AS gated, round(reference - naive, 6) + 0.0 AS damage, round(reference - gated, 6) + 0.0 AS "left", reference - naive >= 0.01 AS damaged, reference - gated <= 0.5 * (reference - naive) AS halved FROM m"""
+
+
 def budget_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P(v <= m) for sums of violations over seeded samples of SAMPLE rows, DRAWS from each block of 64 rows of a client."""
     c = evaluation._counted(spark, sf_dir).withColumn("block", F.floor((F.col("row_id") - 1) / HONEST))
@@ -181,6 +207,8 @@ QUERIES = {
     "train_selection": (train_selection, SQL_SELECTION),
     "honest_windows": (honest_windows, SQL_HONEST),
     "budget_table": (budget_table, SQL_BUDGETS),
+    "honest_verdicts": (honest_verdicts, SQL_HONEST_VERDICTS),
+    "pilot_summary": (pilot_summary, SQL_PILOT),
     "round_record": (round_record, SQL_ROUNDS),
     "mode_verdicts": (mode_verdicts, None),
     "projection_cost": (projection_cost, None),
