@@ -669,15 +669,16 @@ def test_flat_trees_walk_like_nested_ones():
 # near-dedup
 
 
-@pytest.mark.parametrize(("bucket", "leaders"), [(2, 1), (8, 2), (4096, 64)])
-def test_near_copies(spark, bucket, leaders):
+@pytest.mark.parametrize(("bucket", "leaders", "members"), [(2, 1, 1), (8, 2, 3), (4096, 64, 1024)])
+def test_near_copies(spark, bucket, leaders, members):
     rng = np.random.default_rng(6)
     texts, n = {}, 0
     for size in (1, 1, 3, 8, 30):
         base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
         for _ in range(size):
             w = list(base)
-            for j in rng.choice(200, int(rng.integers(0, 5)), replace=False):
+            # families of 8 and 30 straddle the threshold: some members link only through others
+            for j in rng.choice(200, int(rng.integers(0, 5 if size < 8 else 9)), replace=False):
                 w[j] = f"e{rng.integers(0, 10**6)}"
             texts[n] = " ".join(w)
             n += 1
@@ -696,7 +697,7 @@ def test_near_copies(spark, bucket, leaders):
                 x, y = sorted((top(a), top(b)))
                 parent[y] = x
     want = {k for k in texts if top(k) == k}
-    got = neardedup.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bucket, leaders)
+    got = neardedup.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bucket, leaders, members)
     assert {r.doc_id for r in got.collect()} == want and got.columns == ["doc_id", "text"]
 
 

@@ -7,13 +7,15 @@ doc_id stays.
 1. One pass gives each text its digest, a 128-bit SimHash and ``BANDS`` keys, each a hash of four independent minima.
    Equal texts are one entry. Entries that share a key are a shard: at a similarity of 0.8 two share at least one
    with a chance of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, more above. A shard over ``BUCKET`` entries is dealt in parts by a hash of the entry.
-2. Attachment, in ``ROUNDS`` rounds: each entry walks a BK-tree (children keyed by integer Hamming distance to the parent, only edges within
-   ``RADIUS`` bits followed; at a similarity of 0.8 SimHash differs in 19 bits of 128, with a standard deviation of 4) and takes one entry
-   of another component: the first within ``SURE`` bits, else the nearest. The tree of a shard in parts holds about
-   ``LEADERS`` of its entries and is given to every part. So an entry of a family of any size costs one check a round.
-3. The rest, exactly: in shards that still hold several components, all entries outside of the shard's largest component
-   walk the trees of all its parts, and every pair of two components within ``RADIUS`` is checked.
-4. Checks join the two texts of a pair to it and compare their shingles; verified pairs are links, and components of
+2. Attachment: each entry walks a BK-tree (children keyed by integer Hamming distance to the parent, only edges within
+   ``RADIUS`` bits followed; at a similarity of 0.8 SimHash differs in 19 bits of 128, with a standard deviation of 4) and takes two entries:
+   of those within ``SURE`` bits the first and the last, else the nearest. The tree of a shard in parts holds about
+   ``LEADERS`` of its entries and is given to every part. So an entry of a family of any size costs two checks.
+3. The rest: in shards that still hold several components, all entries outside of the shard's largest component walk the trees of
+   all its parts. Whoever meets another component within ``RADIUS`` is checked against all of the largest component, or against all
+   others of the shard that met such ones: their shingles form an inverted index, in parts of ``MEMBERS`` texts, through which the
+   entries' shingles go one by one, so that exact similarities with a whole part come at once and no pairs are written.
+4. Attachments are checked by joining both texts to them. Verified pairs are links, and components of
    the links the groups. No task holds a shard, a family or its pairs.
 """
 
@@ -33,7 +35,7 @@ from tidegate.llm.decontamination import ByteHashes, WordHashes, rolled, shingle
 from tidegate.llm.simhash import Forest, numbered, runs, slices
 
 SHINGLE, SIMILARITY, RADIUS, SURE = 5, 0.8, 32, 12
-BANDS, ROWS, BUCKET, LEADERS, ROUNDS = 14, 4, 256, 64, 2
+BANDS, ROWS, BUCKET, LEADERS, MEMBERS = 14, 4, 256, 64, 1024
 #: Seeds and odd factors of the minima (two of 32 bits from each 64-bit hash) and of the two words of SimHash, and hashes mixed at once.
 _SEEDS = np.random.default_rng(20).integers(0, 2**64, (2, BANDS * ROWS // 2 + 2, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 CHUNK = 4096
@@ -140,29 +142,36 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield t, at[other], entry[other], d[other]
 
 
-def _pairs(t: pa.Table, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+def _pairs(t: pa.Table, a: np.ndarray, b: np.ndarray, d: np.ndarray, last: bool = False) -> pa.RecordBatch:
     digest = t.column("digest").combine_chunks()
-    return pa.RecordBatch.from_arrays([digest.take(pa.array(a)), digest.take(pa.array(b)), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
+    return pa.RecordBatch.from_arrays([digest.take(pa.array(a)), digest.take(pa.array(b)), pa.array(d.astype(np.int32)), pa.array(np.full(len(a), last))], ["a", "b", "distance", "last"])
 
 
 def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each probe one entry (a) of the tree: the first within SURE bits, else the nearest one."""
+    """For each probe two entries (a) of the tree: the first and the last within SURE bits, else at the least distance."""
     for t, probe, entry, d in _trees(batches):
-        order = np.lexsort((entry, np.where(d <= SURE, 0, d), probe))
-        chosen = order[np.flatnonzero(np.diff(probe[order], prepend=-1))]
-        yield _pairs(t, entry[chosen], probe[chosen], d[chosen])
+        rank = np.where(d <= SURE, 0, d)
+        for last in (False, True):
+            order = np.lexsort((-entry if last else entry, rank, probe))
+            chosen = order[np.flatnonzero(np.diff(probe[order], prepend=-1))]
+            yield _pairs(t, entry[chosen], probe[chosen], d[chosen], last)
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, probe, entry, d in _trees(batches):
-        yield _pairs(t, entry, probe, d)
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """digest, by_key, target: probes with an entry of another component within the radius, and where it lies: in the shard's
+    main component (target), or among the other entries of the shard (by_key; its key is the target)."""
+    for t, probe, entry, _ in _trees(batches):
+        key, comp = t.column("key").to_numpy(), t.column("comp").to_numpy()
+        aside = comp[entry] != t.column("main").to_numpy()[entry]
+        met = np.unique(np.stack([probe, aside, np.where(aside, key[entry], comp[entry])]), axis=1)
+        yield pa.RecordBatch.from_arrays([t.column("digest").combine_chunks().take(pa.array(met[0])), pa.array(met[1] == 1), pa.array(met[2])], ["digest", "by_key", "target"])
 
 
-PAIR, ROW = "a binary, b binary, distance int", ("key", "part", "role", "digest", "low", "high", "comp")
+PAIR, ROW = "a binary, b binary, distance int, last boolean", ("key", "part", "role", "digest", "low", "high", "comp")
 
 
-def _walked(rows: DataFrame, walk) -> DataFrame:
-    return rows.select(*ROW).repartition("key", "part").sortWithinPartitions("key", "part", "digest").mapInArrow(trimming(walk), PAIR)
+def _walked(rows: DataFrame, walk, schema: str, *more: str) -> DataFrame:
+    return rows.select(*ROW, *more).repartition("key", "part").sortWithinPartitions("key", "part", "digest").mapInArrow(trimming(walk), schema)
 
 
 def _parts(n, bucket: int):
@@ -180,26 +189,89 @@ def filed(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return stored(rows.join(spread, ["key", "part"]))
 
 
-def attach(rows: DataFrame, turn: int, bucket: int = BUCKET, leaders: int = LEADERS) -> DataFrame:
-    """a, b: for each entry of ``rows`` (as ``filed``, with comp) at most one entry of another component to check."""
+def attach(rows: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> DataFrame:
+    """a, b: for each entry of ``rows`` (as ``filed``, with comp) two entries at most to check: those within SURE bits of the least and of
+    the greatest digest over all its shards, else the nearest ones. So all of a family meet the same few entries."""
     whole = rows.filter(F.col("n") <= bucket).withColumn("role", F.lit(2))
     large = rows.filter(F.col("n") > bucket)
-    chosen = large.filter(F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("n")) < leaders)
+    chosen = large.filter(F.pmod(F.xxhash64("digest"), F.col("n")) < leaders)
     given = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), _parts("n", bucket) - 1))).withColumn("role", F.lit(0))
-    tried = _walked(whole.unionByName(large.withColumn("role", F.lit(1))).unionByName(given), _attached)
-    rank = F.struct(F.when(F.col("distance") <= SURE, 0).otherwise(F.col("distance")).alias("rank"), "a")
-    best = tried.groupBy("b").agg(F.min(rank).alias("best")).select("best.a", "b")
+    tried = _walked(whole.unionByName(large.withColumn("role", F.lit(1))).unionByName(given), _attached, PAIR)
+    rank = F.when(F.col("distance") <= SURE, 0).otherwise(F.col("distance"))
+    first = F.min(F.when(~F.col("last"), F.struct(rank.alias("rank"), "a")))["a"]
+    last = F.max(F.when(F.col("last"), F.struct((-rank).alias("rank"), "a")))["a"]
+    best = tried.groupBy("b").agg(F.array_distinct(F.array(first, last)).alias("best")).select(F.explode("best").alias("a"), "b")
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def remaining(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """a, b: all pairs within the radius that share a key and lie in two components."""
+    """digest, by_key, target: the entries of ``rows`` (as ``filed``, with comp) that may be near copies of another component, and of which."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("held"))
     main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"))
-    outside = rows.join(sized(stored(main)), "key").filter(F.col("comp") != F.col("main")).drop("main")
-    probes = outside.withColumn("part", F.explode(F.sequence(F.lit(0), _parts("n", bucket) - 1))).withColumn("role", F.lit(1))
-    pairs = _walked(rows.withColumn("role", F.lit(0)).unionByName(probes), _all_pairs)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = rows.join(sized(stored(main)), "key")
+    probes = rows.filter("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), _parts("n", bucket) - 1))).withColumn("role", F.lit(1))
+    return _walked(rows.withColumn("role", F.lit(0)).unionByName(probes), _open, "digest binary, by_key boolean, target long", "main").distinct()
+
+
+def settled(open_: DataFrame, labels: DataFrame, texts: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """a, b: verified links between the entries of ``open_`` (digest, by_key, target) and their targets; labels: digest, comp of all entries."""
+    named = open_.filter("NOT by_key").select(F.col("target").alias("comp")).distinct()
+    inside = labels.join(named, "comp", "left_semi").select(F.lit(False).alias("by_key"), F.col("comp").alias("target"), "digest")
+    inside = inside.unionByName(open_.filter("by_key").select("by_key", "target", "digest"))
+    parts = sized(stored(inside.groupBy("by_key", "target").agg(F.ceil(F.count("*") / members).cast("int").alias("parts"))))
+    held = inside.join(parts, ["by_key", "target"]).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).withColumn("role", F.lit(0))
+    probes = open_.join(parts, ["by_key", "target"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1))
+    rows = held.unionByName(probes).join(texts, "digest").select("by_key", "target", "part", "role", "digest", "text")
+    return rows.repartition("by_key", "target", "part").sortWithinPartitions("by_key", "target", "part", "role").mapInArrow(trimming(_settled), "a binary, b binary")
+
+
+class Held:
+    """An inverted index over the shingles of a part's texts."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        values = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+    def near(self, own: np.ndarray) -> np.ndarray:
+        """The texts whose similarity with ``own`` reaches SIMILARITY."""
+        low = np.searchsorted(self.values, own)
+        count = np.searchsorted(self.values, own, side="right") - low
+        at = np.arange(int(count.sum())) + np.repeat(low - np.cumsum(count) + count, count)
+        both = np.bincount(self.owner[at], minlength=len(self.size))
+        return np.flatnonzero(both >= SIMILARITY * (len(own) + self.size - both) if len(own) else self.size == 0)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by by_key, target, part and role: a part's texts, then its probes, one at a time. A link is given only where it joins what is apart."""
+    known, run, digests, sets, index, parent = WordHashes(), None, [], [], None, {}
+
+    def top(x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        a, b = [], []
+        for by_key, target, part, role, digest, text in zip(*batch.columns, strict=True):
+            now = (by_key.as_py(), target.as_py(), part.as_py())
+            if now != run:
+                run, digests, sets, index, parent = now, [], [], None, {}
+            own, d = shingle_set(text.as_py(), known), digest.as_py()
+            if role.as_py() == 0:
+                digests.append(d)
+                sets.append(own)
+                if not now[0]:
+                    parent[d] = digests[0]  # one component already
+                continue
+            index = index or Held(sets)
+            for i in index.near(own).tolist():
+                if top(d) != top(digests[i]):
+                    a.append(digests[i])
+                    b.append(d)
+                    parent[top(d)] = top(digests[i])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -230,34 +302,30 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "first", "second").mapInArrow(trimming(_checked), "a binary, b binary")
 
 
-def groups(entries: DataFrame, docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> DataFrame:
+def groups(entries: DataFrame, docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS, members: int = MEMBERS) -> DataFrame:
     """node, root: the digests of all entries that have a near copy, with the least one of their group."""
     rows = filed(entries, bucket)
     wanted = rows.select("digest").distinct()
     texts = stored(docs.select(_digest().alias("digest"), clean_text().alias("text")).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
-    links = tried = None
     active = rows.withColumn("comp", F.xxhash64("digest"))
-    for turn in range(ROUNDS + 1):
-        pairs = attach(active, turn, bucket, leaders) if turn < ROUNDS else remaining(active, bucket)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = stored(verified(pairs, texts))
-        links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
-        own = components.roots(links)
-        if turn == ROUNDS:
-            return own
-        label = own.select(F.col("node").alias("digest"), F.xxhash64("root").alias("label"))
-        labelled = rows.join(label, "digest", "left").withColumn("comp", F.coalesce("label", F.xxhash64("digest"))).drop("label")
-        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-        active = stored(labelled.join(sized(stored(open_keys)), "key", "left_semi"))
-        if active.isEmpty():
-            return own
+    pairs = stored(attach(active, bucket, leaders))
+    links = stored(verified(pairs, texts))
+    own = components.roots(links)
+    label = own.select(F.col("node").alias("digest"), F.xxhash64("root").alias("label"))
+    labelled = rows.join(label, "digest", "left").withColumn("comp", F.coalesce("label", F.xxhash64("digest"))).drop("label")
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    active = stored(labelled.join(sized(stored(open_keys)), "key", "left_semi"))
+    if active.isEmpty():
+        return own
+    found = settled(stored(remaining(active, bucket)), labelled.select("digest", "comp").distinct(), texts, members)
+    return components.roots(links.union(found))
 
 
 def _digest():
     return F.unhex(F.md5(clean_text()))
 
 
-def keep_one(docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> DataFrame:
+def keep_one(docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS, members: int = MEMBERS) -> DataFrame:
     """``docs`` with one row of each group of exact and near copies: that of the least doc_id (null comes last).
 
     Null and empty texts are one group. Of rows alike in doc_id and text one stays. Columns are those of
@@ -266,7 +334,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> D
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     entries = docs.select(order.alias("id"), _digest().alias("digest"), clean_text().alias("text")).mapInArrow(trimming(_sketches), "id long, digest binary, low long, high long, keys array<long>")
     entries = stored(entries.groupBy("digest").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("keys").alias("keys")))
-    group = groups(entries, docs, bucket, leaders)
+    group = groups(entries, docs, bucket, leaders, members)
     members = entries.select("digest", "id").join(group.withColumnRenamed("node", "digest"), "digest")
     keepers = members.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("k"))
     losers = members.join(keepers, "root").filter(F.col("digest") != F.col("k.digest")).select("digest")
