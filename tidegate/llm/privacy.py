@@ -37,6 +37,8 @@ PATTERNS = {
 }
 TERM = r"\p{L}{4,}+"
 SUPPORT, SHARE, CERTAIN, BITS = 3, 0.5, 0.9, 6.0
+#: The largest table of possible terms that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16_000_000
 SPAN = "array<struct<start:int,kind:int,end:int,said:string>>"
 
 
@@ -152,9 +154,13 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     # a text without such a value pairs nothing, but its terms count
     open_texts = with_rebuilt(texts, "text", "base", "outside", lambda s: F.lit("\n"))
     terms = cut(open_texts.select("digest", "copies", F.explode(terms_of(F.col("outside"))).alias("term")))
-    frequent = stored(often(terms, "term", "n_found"))
-    # only words that may be terms are counted over the corpus
-    words = docs.select(F.explode(terms_of(clean_text())).alias("term")).join(frequent.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # a term is in as many documents at least as it was found in
+    frequent = stored(often(terms, "term", "n_found").crossJoin(n).filter(rare("n_found")).drop("n"))
+    words = docs.select(F.explode(terms_of(clean_text())).alias("term"))
+    size = frequent.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    if size.rows <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES:  # only words that may be terms are counted over the corpus
+        words = words.join(F.broadcast(frequent.select("term")), "term", "left_semi")
+    words = words.groupBy("term").agg(F.count("*").alias("n_term"))
     told = frequent.join(words, "term").crossJoin(n).filter(rare("n_term") & (F.col("n_found") >= SHARE * F.col("n_term")))
     terms = terms.join(values.select("digest").distinct(), "digest", "left_semi").join(told.select("term", "n_term"), "term")
     pairs = cut(values.join(terms.drop("copies"), "digest"))
