@@ -580,6 +580,33 @@ def test_items_less_their_ends(spark):
     assert any(n < len(items[i]) for (_, i), (_, _, n) in want.items())
 
 
+def test_recall_of_edited_items(spark):
+    """Items of 30 to 150 words, edited to a similarity of 0.80 to 0.87, inside other text: at least 99 in 100 are found, and nothing below 0.8."""
+    rng = np.random.default_rng(21)
+    items, texts, want = {}, {}, {}
+    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    while len(want) < 400:
+        n = int(rng.integers(30, 151))
+        w = [f"r{j}" for j in rng.integers(0, 3000, n)]
+        v = list(w)
+        for j in rng.choice(n, max(1, int(n * rng.uniform(0.01, 0.04))), replace=False):
+            v[j] = f"edit{j}"
+        a, b = bag(w), bag(v)
+        both = sum((a & b).values())
+        like = both / (2 * (n - 4) - both)
+        if 0.75 <= like < 0.87:
+            i = len(items)
+            items[i] = " ".join(w)
+            texts[i] = " ".join([*(f"o{j}" for j in rng.integers(0, 900, 20)), *v, *(f"o{j}" for j in rng.integers(0, 900, 20))])
+            if like >= 0.8:
+                want[i] = like
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in decontamination.contaminated(d, b).filter("doc_id = item_id").collect()}
+    assert len(set(want) & set(got)) >= 0.99 * len(want) and all(s >= 0.8 for s in got.values())
+    assert all(got[i] >= want[i] - 1e-9 for i in want if i in got)
+
+
 def test_every_item_within_the_radius_is_found():
     rng = np.random.default_rng(5)
     index = decontamination.Index([(i, " ".join(f"x{j}" for j in rng.integers(0, 900, 30))) for i in range(60)])

@@ -81,16 +81,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, buckets: int = SLOT_BUCKETS) -
 
     Slots number a shard's rows from 0 without gaps, by (hash bucket, doc_id, size, crc). Counts per
     (shard, bucket) - at most (shards) x (buckets) rows - give each bucket its first slot, so no task
-    ever orders a whole shard. A null text has size 16 and crc 0; a null doc_id is keyed as "null";
+    ever orders a whole shard, nor all texts of one repeated or null id. A null text has size 16 and crc 0; a null doc_id is keyed as "null";
     repeated ids share a shard and get slots of their own; an empty table gives no rows.
     """
     text = clean_text()
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("doc_id").cast("string").alias("__key"))
-    placed = lambda df: place(df, "__key", topology(shards)).withColumn(
-        "__bucket", (F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce("__key", F.lit("null")), F.lit("slot"))), 1, 8), 16, 10).cast("long") % buckets).cast("int")
-    )
-    rows = placed(rows)
-    counts = placed(docs.select(F.col("doc_id").cast("string").alias("__key"))).groupBy("shard", "__bucket").agg(F.count("*").alias("n"))
+    drawn = F.md5(F.concat_ws("/", F.coalesce("__key", F.lit("null")), F.lit("slot"), F.col("size").cast("string"), F.col("text_crc32").cast("string")))
+    rows = place(rows, "__key", topology(shards)).withColumn("__bucket", (F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long") % buckets).cast("int"))
+    counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
     within = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "size", "text_crc32")
@@ -127,7 +125,7 @@ WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id::VARCH
 keys AS (SELECT DISTINCT key FROM docs),{_sql_place(topology(), 'shard')},{_sql_place(topology(extra=1), 'grown_shard')},
 crc AS (SELECT rid, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT), lambda acc, b: xor(acc >> 8, c.t[xor(acc & 255, b) + 1]), 4294967295), 4294967295) AS text_crc32 FROM docs, {table_sql} AS c),
 placed AS (SELECT d.doc_id, (octet_length(encode(d.text)) + 16)::BIGINT AS size, text_crc32, s.shard, g.grown_shard,
-  (('0x' || substr(md5(d.key || '/slot'), 1, 8))::BIGINT) % {SLOT_BUCKETS} AS bucket
+  (('0x' || substr(md5(d.key || '/slot/' || (octet_length(encode(d.text)) + 16) || '/' || text_crc32), 1, 8))::BIGINT) % {SLOT_BUCKETS} AS bucket
   FROM docs AS d JOIN crc USING (rid) JOIN shard AS s ON s.key = d.key JOIN grown_shard AS g ON g.key = d.key)
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
   (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
