@@ -28,7 +28,7 @@ def fedavg(u: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     if weights is None:
         return mean(u)
     # one row per client
-    w = u.join(F.broadcast(weights), "client_id")
+    w = u.join(weights, "client_id")
     return w.groupBy("dim").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
 
 
@@ -55,7 +55,7 @@ def krum_scores(u: DataFrame, f: int) -> DataFrame:
 
 def krum(u: DataFrame, f: int, multi: int = 1) -> DataFrame:
     best = krum_scores(u, f).filter(F.col("rank") <= multi).select("client_id")
-    return mean(u.join(F.broadcast(best), "client_id"))
+    return mean(u.join(best, "client_id"))
 
 
 def coordinate_median(u: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def norm_clip(u: DataFrame, clip: float | None = None) -> DataFrame:
     n = norms(u)
     limit = n.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY norm)").alias("clip")) if clip is None else n.sparkSession.createDataFrame([(float(clip),)], "clip double")
     scale = n.crossJoin(F.broadcast(limit)).select("client_id", F.least(F.lit(1.0), F.col("clip") / (F.col("norm") + TINY)).alias("s"))
-    return u.join(F.broadcast(scale), "client_id").groupBy("dim").agg(F.avg(F.col("value") * F.col("s")).alias("value"))
+    return u.join(scale, "client_id").groupBy("dim").agg(F.avg(F.col("value") * F.col("s")).alias("value"))
 
 
 def fltrust_weights(u: DataFrame, server: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def fltrust(u: DataFrame, server: DataFrame | None) -> DataFrame:
     if server is None:
         return mean(u)
     w = fltrust_weights(u, server)
-    return u.join(F.broadcast(w), "client_id").groupBy("dim").agg(F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("factor") * F.col("trust")), F.sum("trust")), F.lit(0.0)).alias("value"))
+    return u.join(w, "client_id").groupBy("dim").agg(F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("factor") * F.col("trust")), F.sum("trust")), F.lit(0.0)).alias("value"))
 
 
 def history(rounds: DataFrame) -> DataFrame:
@@ -103,10 +103,10 @@ def history(rounds: DataFrame) -> DataFrame:
 def foolsgold_weights(h: DataFrame, kappa: float = KAPPA) -> DataFrame:
     """client_id, weight (they sum to 1) from the clients' summed updates; one client has weight 1."""
     own = norms(h)
-    p = pairs(h).join(F.broadcast(own.withColumnsRenamed({"client_id": "a", "norm": "na"})), "a").join(F.broadcast(own.withColumnsRenamed({"client_id": "b", "norm": "nb"})), "b")
+    p = pairs(h).join(own.withColumnsRenamed({"client_id": "a", "norm": "na"}), "a").join(own.withColumnsRenamed({"client_id": "b", "norm": "nb"}), "b")
     cs = p.select("a", "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dot") / (F.col("na") * F.col("nb") + TINY))).alias("cs"))
     v = cs.groupBy("a").agg(F.max("cs").alias("v"))
-    q = cs.join(F.broadcast(v), "a").join(F.broadcast(v.withColumnsRenamed({"a": "b", "v": "vb"})), "b")
+    q = cs.join(v, "a").join(v.withColumnsRenamed({"a": "b", "v": "vb"}), "b")
     pardoned = F.when((F.col("vb") > F.col("v")) & (F.col("vb") > TINY), F.col("cs") * F.col("v") / F.col("vb")).otherwise(F.col("cs"))
     w = q.groupBy("a").agg((1 - F.max(pardoned)).alias("w"))
     w = own.select("client_id").join(w.withColumnRenamed("a", "client_id"), "client_id", "left").select("client_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("w", F.lit(1.0)))).alias("w"))
@@ -120,7 +120,7 @@ def foolsgold_weights(h: DataFrame, kappa: float = KAPPA) -> DataFrame:
 
 
 def foolsgold(u: DataFrame, h: DataFrame, kappa: float = KAPPA) -> DataFrame:
-    return u.join(F.broadcast(foolsgold_weights(h, kappa)), "client_id").groupBy("dim").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+    return u.join(foolsgold_weights(h, kappa), "client_id").groupBy("dim").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
 
 
 def acceptance(name: str, u: DataFrame, f: int = 1, multi: int = 1, trim: float = TRIM, server: DataFrame | None = None, h: DataFrame | None = None) -> DataFrame:
