@@ -82,11 +82,17 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by:
     return left.join(right, [key, "__part"]).drop("__part")
 
 
-def trimming(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, which gives freed memory back to the system at a task's end: Spark reuses Python workers, and what they kept would add to the next stage's."""
+#: Texts that a Python worker takes from an Arrow batch at once: what it makes of them is bounded by these, not by the batch.
+TEXTS = 1024
+
+
+def trimming(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int | None = None):
+    """``run`` on batches of at most ``rows``. At a task's end freed memory goes back to the system: Spark reuses Python workers, and what they
+    kept would add to the next stage's."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        parts = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)) if rows else batches
+        yield from run(parts)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import stored, table, trimming, words_of
+from tidegate.llm.common import TEXTS, stored, table, trimming, words_of
 
 SHINGLE, SIMILARITY, RADIUS, NEAR = 5, 0.8, 20, 2
 ITEMS, CHARS, WORDS = 20_000, 32_000_000, 150_000
@@ -344,7 +344,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [[dict(zip(("item_id", "similarity", "first_word", "n_words"), m, strict=True)) for m in x] for x in found_in(b.column(1).to_pylist(), items)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _ARROW)], ["doc_id", "matches"])
 
-        return texts.mapInArrow(trimming(run), f"doc_id long, matches {MATCHES}").select("doc_id", F.inline("matches"))
+        return texts.mapInArrow(trimming(run, TEXTS), f"doc_id long, matches {MATCHES}").select("doc_id", F.inline("matches"))
 
     for items in item_blocks(benchmark):
         if last is not None:
@@ -369,5 +369,5 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             for b in batches:
                 yield b.filter(pa.array([not x for x in found_in(b.column(at).to_pylist(), items)], pa.bool_()))
 
-        docs = (stored(docs) if i else docs).mapInArrow(trimming(run), docs.schema)
+        docs = (stored(docs) if i else docs).mapInArrow(trimming(run, TEXTS), docs.schema)
     return docs

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import components
-from tidegate.llm.common import cut, table, trimming, words_of
+from tidegate.llm.common import TEXTS, cut, table, trimming, words_of
 
 RADIUS, FIRST, BLOCKS, LEVELS, BUCKET = 3, 4, 5, 4, 4096
 SHINGLE = 3
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> Da
             own = np.array([simhash(t or "", shingle) for t in b.column(0).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(own.view(np.int64))], [*b.schema.names[1:], "fingerprint"])
 
-    return texts.mapInArrow(trimming(run), f"{schema}, fingerprint long")
+    return texts.mapInArrow(trimming(run, TEXTS), f"{schema}, fingerprint long")
 
 
 def submasks(held: int, radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:

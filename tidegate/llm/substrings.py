@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import clean_text, spread_join, stored, table, trimming, words_of
+from tidegate.llm.common import TEXTS, clean_text, spread_join, stored, table, trimming, words_of
 from tidegate.llm.decontamination import WordHashes, shingles
 
 WINDOW, GRAM = 35, 16
@@ -238,7 +238,7 @@ def _parts(counts: DataFrame, key: str, count: str, hot: int) -> DataFrame:
 def with_repeated_grams(docs: DataFrame, texts: DataFrame, hot: int = HOT) -> DataFrame:
     """The distinct texts that own a repeated gram: digest, text, found (array of gram and its total)."""
     # a copy of a text adds nothing here: its windows are repeated anyway
-    grams = stored(_keyed(docs).mapInArrow(trimming(_grams), "digest binary, gram long, n long"))
+    grams = stored(_keyed(docs).mapInArrow(trimming(_grams, TEXTS), "digest binary, gram long, n long"))
     often = stored(grams.groupBy("gram").agg(F.sum("n").alias("total")).filter("total > 1"))
     lists = spread_join(grams, often, "gram", _parts(often, "gram", "total", hot), "digest").groupBy("digest").agg(F.collect_set(F.struct("gram", "total")).alias("found"))
     return texts.join(lists, "digest")
@@ -253,15 +253,15 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = distinct_texts(docs)
     held = with_repeated_grams(docs, texts, hot)
     # copies goes along so that all uses of the texts share one exchange
-    runs = held.select("digest", "text", "copies", "found.gram", "found.total").mapInArrow(trimming(lambda b: _runs(b, hot, False)), "digest binary, route long, first long, n int, back int, words binary")
+    runs = held.select("digest", "text", "copies", "found.gram", "found.total").mapInArrow(trimming(lambda b: _runs(b, hot, False), TEXTS), "digest binary, route long, first long, n int, back int, words binary")
     trees = runs.repartition("route").sortWithinPartitions("route").mapInArrow(trimming(_trees), "digest binary, first long, bits long")
     heavy = held.filter(F.exists("found", lambda x: x["total"] > hot)).select("digest", "text", "copies", "found.gram", "found.total")
-    whole = stored(heavy.mapInArrow(trimming(lambda b: _runs(b, hot, True)), "digest binary, first long, whole binary"))
+    whole = stored(heavy.mapInArrow(trimming(lambda b: _runs(b, hot, True), TEXTS), "digest binary, first long, whole binary"))
     again = stored(whole.groupBy("whole").agg(F.count("*").alias("times")).filter("times > 1"))
     repeated = spread_join(whole, again, "whole", _parts(again, "whole", "times", hot), "digest")
     found = trees.unionByName(repeated.select("digest", "first", F.lit(1).cast("long").alias("bits")))
     found = found.groupBy("digest").agg(F.collect_list(F.struct("first", "bits")).alias("found"))
-    done = texts.join(found, "digest", "left").select("digest", "text", "copies", "found.first", "found.bits").mapInArrow(trimming(_removed), "digest binary, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = texts.join(found, "digest", "left").select("digest", "text", "copies", "found.first", "found.bits").mapInArrow(trimming(_removed, TEXTS), "digest binary, n_words long, n_removed long, kept_sha256 string, kept string")
     own = docs.select("doc_id", F.unhex(F.md5(clean_text())).alias("digest"))
     copies = own.groupBy("digest").agg(F.count("*").alias("copies")).filter(F.col("copies") > hot)
     return spread_join(own, done, "digest", _parts(copies, "digest", "copies", hot), "doc_id").drop("digest")
