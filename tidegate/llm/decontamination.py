@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import TEXTS, stored, table, trimming, words_of
+from tidegate.llm.common import TEXTS, batched, stored, table, trimming, words_of
 
 SHINGLE, SIMILARITY, RADIUS, NEAR = 5, 0.8, 20, 2
 ITEMS, CHARS, WORDS = 20_000, 32_000_000, 150_000
@@ -336,7 +336,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     match nothing; a text with fewer shingles than an item is one window, of its own n_words; repeated documents or items give a row each.
     Of several blocks all but the last are written before the next is read, so that one is held at a time.
     """
-    texts, done, last = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None, None
+    texts, done, last = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None, None
 
     def marked(items: list[tuple[int, str | None]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,5 +369,5 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             for b in batches:
                 yield b.filter(pa.array([not x for x in found_in(b.column(at).to_pylist(), items)], pa.bool_()))
 
-        docs = (stored(docs) if i else docs).mapInArrow(trimming(run, TEXTS), docs.schema)
+        docs = (stored(docs) if i else batched(docs)).mapInArrow(trimming(run, TEXTS), docs.schema)
     return docs

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import components
-from tidegate.llm.common import TEXTS, clean_text, sized, stored, trimming, words_of
+from tidegate.llm.common import TEXTS, batched, clean_text, sized, stored, trimming, words_of
 from tidegate.llm.decontamination import CHUNK as BYTES
 from tidegate.llm.decontamination import ByteHashes, WordHashes, rolled, shingles
 from tidegate.llm.simhash import Forest, numbered, runs, slices
@@ -332,7 +332,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS, memb
     ``docs``, whatever their names. Empty tables stay empty.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    entries = docs.select(order.alias("id"), _digest().alias("digest"), clean_text().alias("text")).mapInArrow(trimming(_sketches, TEXTS), "id long, digest binary, low long, high long, keys array<long>")
+    entries = batched(docs).select(order.alias("id"), _digest().alias("digest"), clean_text().alias("text")).mapInArrow(trimming(_sketches, TEXTS), "id long, digest binary, low long, high long, keys array<long>")
     entries = stored(entries.groupBy("digest").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("keys").alias("keys")))
     group = groups(entries, docs, bucket, leaders, members)
     members = entries.select("digest", "id").join(group.withColumnRenamed("node", "digest"), "digest")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import TEXTS, WORD, table, trimming
+from tidegate.llm.common import TEXTS, WORD, batched, table, trimming
 
 #: Labelled rows that training reads at most; a stated bound, the same at every input size.
 SAMPLE = 20_000
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     # at most `sample` ids, so their broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).mapInArrow(trimming(measured, TEXTS), "doc_id long, quality int, x array<double>")
+    rows = batched(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).mapInArrow(trimming(measured, TEXTS), "doc_id long, quality int, x array<double>")
     got = sorted((r.doc_id, r.quality, r.x) for r in rows.collect())
     return fit(np.array([r[2] for r in got]).reshape(len(got), len(STATISTICS)), np.array([r[1] for r in got], dtype=float))
 
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 def score(docs: DataFrame, forest: Forest, keep: list[str], out: str = "score") -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``out``, 0 to 1, higher for better text; it takes the place of a kept column of its name."""
     keep = [c for c in keep if c.lower() != out.lower()]
-    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    rows = batched(docs).select(*keep, *(["text"] if "text" not in keep else []))
     at, schema = rows.columns.index("text"), ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,4 +184,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(forest.score(matrix(b.column(at).to_pylist())) >= THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(trimming(run, TEXTS), docs.schema)
+    return batched(docs).mapInArrow(trimming(run, TEXTS), docs.schema)

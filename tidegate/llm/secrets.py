@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import TEXTS, table, trimming
+from tidegate.llm.common import TEXTS, batched, table, trimming
 
 KINDS = ("assign", "access", "hex", "novel")
 PATTERNS = {
@@ -128,7 +128,7 @@ def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def identifiers(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
     """The ``most`` identifiers that stand in most documents (two at least), counted over all of them: a bounded dictionary."""
-    counts = docs.select("text").mapInArrow(trimming(_identifiers, TEXTS), "said string, n long").groupBy("said").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = batched(docs).select("text").mapInArrow(trimming(_identifiers, TEXTS), "said string, n long").groupBy("said").agg(F.sum("n").alias("n")).filter("n > 1")
     return [r.said for r in counts.orderBy(F.desc("n"), "said").limit(most).collect()]
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm.common import TEXTS, table, trimming
+from tidegate.llm.common import TEXTS, batched, table, trimming
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -212,7 +212,7 @@ def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                 )
                 at += len(texts)
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(trimming(run, TEXTS), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return batched(docs).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(trimming(run, TEXTS), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -225,7 +225,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(np.array(x or [], np.int32)) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "ids").mapInArrow(trimming(run, TEXTS), "doc_id long, text string")
+    return batched(encoded).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "ids").mapInArrow(trimming(run, TEXTS), "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

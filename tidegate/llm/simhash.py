@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import components
-from tidegate.llm.common import TEXTS, cut, table, trimming, words_of
+from tidegate.llm.common import TEXTS, batched, cut, table, trimming, words_of
 
 RADIUS, FIRST, BLOCKS, LEVELS, BUCKET = 3, 4, 5, 4, 4096
 SHINGLE = 3
@@ -55,7 +55,7 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """Columns ``keep`` with ``fingerprint`` (long, the 64 bits as a signed number). A null text has no words."""
-    texts = docs.select(F.col("text").alias("__text"), *keep)
+    texts = batched(docs).select(F.col("text").alias("__text"), *keep)
     schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import TEXTS, clean_text, spread_join, stored, table, trimming, words_of
+from tidegate.llm.common import TEXTS, batched, clean_text, spread_join, stored, table, trimming, words_of
 from tidegate.llm.decontamination import WordHashes, shingles
 
 WINDOW, GRAM = 35, 16
@@ -221,7 +221,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     # the filter holds for every row; written out, all uses of the texts plan alike and share an exchange
-    keyed = docs.select(F.unhex(F.md5(clean_text())).alias("digest"), clean_text().alias("text"))
+    keyed = batched(docs).select(F.unhex(F.md5(clean_text())).alias("digest"), clean_text().alias("text"))
     return keyed.filter("digest IS NOT NULL")
 
 
