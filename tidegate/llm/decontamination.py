@@ -82,7 +82,7 @@ def shingles(words: list[bytes], size: int, known: WordHashes) -> np.ndarray:
 
 
 #: Bytes that are hashed together without cutting words out one by one, and tables over byte values.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -177,6 +177,19 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
 
 
+class Sieve:
+    """Tells most hashes that are not among ``known`` by their leading bits, some 64 places for each."""
+
+    def __init__(self, known: np.ndarray):
+        bits = min(22, max(12, len(known).bit_length() + 6))
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[(known >> self.shift).astype(np.int64)] = True
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        return self.seen[(h >> self.shift).astype(np.int64)]
+
+
 class Index:
     """A block of items, ready for ``matches``."""
 
@@ -203,15 +216,9 @@ class Index:
                 for i in range(0, len(words) - k + 1):
                     small[k].append(rolled(self.bytes.words([b" ".join(words[i : i + k])])[0], k))
         self.quick = {k: np.unique(np.concatenate(v)) for k, v in small.items()}
-        self.quick_seen = {k: self._sieve(v) for k, v in self.quick.items()}
+        self.quick_seen = {k: Sieve(v) for k, v in self.quick.items()}
         self.known = {k: np.unique(np.array([h for s in group for bag in s.bags for h in bag], np.uint64)) for k, group in self.by_shingle.items()}
-        self.seen = {k: self._sieve(v) for k, v in self.known.items()}
-
-    @staticmethod
-    def _sieve(known: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << 22, bool)
-        out[(known >> np.uint64(42)).astype(np.int64)] = True
-        return out
+        self.seen = {k: Sieve(v) for k, v in self.known.items()}
 
     def possible(self, texts: list[str]) -> list[bool]:
         """Whether a text shares a shingle with any item; the others hold none and need no window."""
@@ -235,7 +242,7 @@ class Index:
         hit = np.zeros(len(texts), bool)
         for k, known in self.quick.items():
             s = rolled(h, k)
-            at = np.flatnonzero(self.quick_seen[k][(s >> np.uint64(42)).astype(np.int64)])
+            at = np.flatnonzero(self.quick_seen[k].may_hold(s))
             at = at[np.isin(s[at], known)]
             text = np.searchsorted(first, at, side="right") - 1
             hit[text[at + k <= first[text + 1]]] = True
@@ -247,7 +254,7 @@ class Index:
         best: dict[int, tuple[float, int, int]] = {}
         for k, group in self.by_shingle.items():
             h = shingles(words, k, self.hashes)
-            known = self.seen[k][(h >> np.uint64(42)).astype(np.int64)]
+            known = self.seen[k].may_hold(h)
             if not known.any():
                 continue
             at = np.flatnonzero(known)

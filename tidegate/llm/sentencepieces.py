@@ -20,6 +20,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from tidegate.llm.common import TEXTS, batched, table, trimming
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of text that are segmented together, and words (or pairs of pieces) that are remembered from chunk to chunk.
-CHUNK_CHARS, MEMORY = 2_000_000, 500_000
+#: Characters of text that are segmented together, and words that are remembered from chunk to chunk, and from task to task.
+CHUNK_CHARS, MEMORY, KEPT = 2_000_000, 400_000, 100_000
 TAIL = 3
 UNITS = re.compile(rf"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 
@@ -121,7 +122,7 @@ class Pieces:
     def learn(self, words: set[str]) -> None:
         """Encodings of new words: one depth-first walk over the trie of the sorted words."""
         if len(self.known) > MEMORY:
-            self.known.clear()
+            self.forget()
         before, starts, lasts, scores, ids = "", [0], [""], [0.0], self.ids
         for word in sorted(words - self.known.keys()):
             common, most = 0, min(len(before), len(word))
@@ -146,6 +147,11 @@ class Pieces:
                 self.pairs.clear()
                 self.likely.clear()
 
+    def forget(self, kept: int = KEPT) -> None:
+        """Keep the words and pairs that were met first, which are mostly the frequent ones."""
+        for name in ("known", "pairs", "likely"):
+            setattr(self, name, dict(islice(getattr(self, name).items(), kept)))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         self.learn(set().union(*units))
@@ -211,6 +217,7 @@ def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"],
                 )
                 at += len(texts)
+        own.forget()
 
     return batched(docs).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(trimming(run, TEXTS), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
