@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import chat, decontamination, fingerprints, privacy, quality, secrets, sentencepieces, sharding, simhash, substrings
+from tidegate.llm import chat, decontamination, fingerprints, periodic, privacy, quality, secrets, sentencepieces, sharding, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_disclosure_sanitiser": privacy.query,
         "op9_simhash_windows": decontamination.query,
         "op10_quality_trees": quality.query,
+        "op11_synchronising_runs": periodic.query,
     }
 
 
