@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import chat, decontamination, fingerprints, licenses, periodic, privacy, quality, secrets, sentencepieces, sharding, simhash, substrings
+from tidegate.llm import alignment, chat, decontamination, fingerprints, licenses, periodic, privacy, quality, secrets, sentencepieces, sharding, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_quality_trees": quality.query,
         "op11_synchronising_runs": periodic.query,
         "op12_fuzzy_notices": licenses.query,
+        "op13_token_alignment": alignment.query,
     }
 
 
