@@ -4,19 +4,19 @@ Two texts are near copies if the sets of their 5-word shingles (lower case A-Z)
 similarity of 0.8 or more; near copies of near copies form a group, of which the document of the least
 doc_id stays.
 
-1. One pass gives each text its digest, a 128-bit SimHash and ``BANDS`` keys, each a hash of four independent minima.
+1. One pass gives each text its digest, a 128-bit SimHash and ``BANDS`` keys, each a hash of three independent minima.
    Equal texts are one entry. Entries that share a key are a shard: at a similarity of 0.8 two share at least one
-   with a chance of 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, more above. A shard over ``BUCKET`` entries is dealt in parts by a hash of the entry.
+   with a chance of 1 - (1 - 0.8 ** 3) ** 20 = 0.9999994, more above. A shard over ``BUCKET`` entries is dealt in parts by a hash of the entry.
 2. Attachment: each entry walks a BK-tree (children keyed by integer Hamming distance to the parent, only edges within
    ``RADIUS`` bits followed; at a similarity of 0.8 SimHash differs in 19 bits of 128, with a standard deviation of 4) and takes two entries:
    of those within ``SURE`` bits the first and the last, else the nearest. The tree of a shard in parts holds about
-   ``LEADERS`` of its entries and is given to every part. So an entry of a family of any size costs two checks.
-3. The rest: in shards that still hold several components, all entries outside of the shard's largest component walk the trees of
-   all its parts. Whoever meets another component within ``RADIUS`` is checked against all of the largest component, or against all
-   others of the shard that met such ones: their shingles form an inverted index, in parts of ``MEMBERS`` texts, through which the
-   entries' shingles go one by one, so that exact similarities with a whole part come at once and no pairs are written.
-4. Attachments are checked by joining both texts to them. Verified pairs are links, and components of
-   the links the groups. No task holds a shard, a family or its pairs.
+   ``LEADERS`` of its entries and is given to every part. So an entry of a family of any size costs two checks. Attachments are checked by joining
+   both texts to them; verified pairs are links, their components the families.
+3. The rest, by prefixes, which lose no pair: in shards that still hold several families, shingles are ordered from rare to common. Two sets of
+   a similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of either, so entries meet by these alone: text that many documents
+   share comes last and is no meeting place. Where two meet, what is left of both sets behind the shingle and their sizes bound the similarity;
+   most shards have no pair of two families that could reach 0.8. Pairs that could, whose SimHash is within ``FAR`` bits, are verified on
+   their lists of shingles. No task holds a family or its pairs, and no text is copied to a shard.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ from tidegate.llm.decontamination import CHUNK as BYTES
 from tidegate.llm.decontamination import ByteHashes, WordHashes, rolled, shingles
 from tidegate.llm.simhash import Forest, numbered, runs, slices
 
-SHINGLE, SIMILARITY, RADIUS, SURE = 5, 0.8, 32, 12
-BANDS, ROWS, BUCKET, LEADERS, MEMBERS = 14, 4, 256, 64, 1024
+SHINGLE, SIMILARITY, RADIUS, SURE, FAR = 5, 0.8, 32, 12, 48
+BANDS, ROWS, BUCKET, LEADERS, MEMBERS = 20, 3, 256, 64, 65_536
+#: Pairs of a shard that are compared at once.
+COMPARED = 1 << 19
 #: Seeds and odd factors of the minima (two of 32 bits from each 64-bit hash) and of the two words of SimHash, and hashes mixed at once.
 _SEEDS = np.random.default_rng(20).integers(0, 2**64, (2, BANDS * ROWS // 2 + 2, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 CHUNK = 4096
@@ -74,16 +77,43 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return 2 * ones > len(h), least.ravel()
 
 
-def sketches(texts: list[str], bytes_: ByteHashes, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """For each text SimHash as two signed numbers, and its keys. Words are hashed together, CHUNK bytes of texts at a time."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def shingle_sets(texts: list[str], bytes_: ByteHashes) -> Iterator[np.ndarray]:
+    """As ``shingle_set``, by hashes of its own that are the same for texts of every length."""
     for part in byte_chunks(texts):
-        if len(part) == 1 and len(part[0]) >= BYTES:
-            sets = [shingle_set(part[0].decode("utf-8", "replace"), known)]
-        else:
+        if len(part[0]) < BYTES:
             h, first = bytes_.words(part)
-            sets = [np.unique(rolled(w, min(SHINGLE, len(w)))) if len(w := h[s:e]) else w for s, e in zip(first, first[1:], strict=False)]
-        found += map(sketch, sets)
+            own = [h[s:e] for s, e in zip(first, first[1:], strict=False)]
+        else:
+            own = [_long_words(part[0], bytes_)]
+        for w in own:
+            yield np.unique(rolled(w, min(SHINGLE, len(w)))) if len(w) else w
+
+
+def _long_words(raw: bytes, bytes_: ByteHashes) -> np.ndarray:
+    """Hashes of the words of one long text, BYTES of them at a time; a word of BYTES itself has a hash of another kind."""
+    out, held, size = [np.zeros(0, np.uint64)], [], 0
+
+    def take() -> None:
+        out.append(bytes_.words([b" ".join(held)])[0])
+        held.clear()
+
+    for word in raw.lower().split():
+        if held and (size + len(word) + 2 > BYTES):
+            take()
+            size = 0
+        if len(word) + 2 > BYTES:
+            out.append(np.array([xxhash.xxh64_intdigest(word)], np.uint64))
+            continue
+        held.append(word)
+        size += len(word) + 1
+    if held:
+        take()
+    return np.concatenate(out)
+
+
+def sketches(texts: list[str], bytes_: ByteHashes) -> tuple[np.ndarray, np.ndarray]:
+    """For each text SimHash as two signed numbers, and its keys."""
+    found = [sketch(x) for x in shingle_sets(texts, bytes_)]
     if not found:
         return np.zeros((0, 2), np.int64), np.zeros((0, BANDS), np.int64)
     bands = np.stack([x[1] for x in found]).reshape(len(found), BANDS, ROWS)
@@ -109,9 +139,9 @@ def byte_chunks(texts: list[str]) -> Iterator[list[bytes]]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bytes_, known = ByteHashes(), WordHashes()
+    bytes_ = ByteHashes()
     for b in batches:
-        prints, keys = sketches(b.column(2).to_pylist(), bytes_, known)
+        prints, keys = sketches(b.column(2).to_pylist(), bytes_)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], ["id", "digest", "low", "high", "keys"])
 
@@ -157,16 +187,6 @@ def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(t, entry[chosen], probe[chosen], d[chosen], last)
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest, by_key, target: probes with an entry of another component within the radius, and where it lies: in the shard's
-    main component (target), or among the other entries of the shard (by_key; its key is the target)."""
-    for t, probe, entry, _ in _trees(batches):
-        key, comp = t.column("key").to_numpy(), t.column("comp").to_numpy()
-        aside = comp[entry] != t.column("main").to_numpy()[entry]
-        met = np.unique(np.stack([probe, aside, np.where(aside, key[entry], comp[entry])]), axis=1)
-        yield pa.RecordBatch.from_arrays([t.column("digest").combine_chunks().take(pa.array(met[0])), pa.array(met[1] == 1), pa.array(met[2])], ["digest", "by_key", "target"])
-
-
 PAIR, ROW = "a binary, b binary, distance int, last boolean", ("key", "part", "role", "digest", "low", "high", "comp")
 
 
@@ -204,74 +224,78 @@ def attach(rows: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS) -> Dat
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def remaining(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """digest, by_key, target: the entries of ``rows`` (as ``filed``, with comp) that may be near copies of another component, and of which."""
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("held"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"))
-    rows = rows.join(sized(stored(main)), "key")
-    probes = rows.filter("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), _parts("n", bucket) - 1))).withColumn("role", F.lit(1))
-    return _walked(rows.withColumn("role", F.lit(0)).unionByName(probes), _open, "digest binary, by_key boolean, target long", "main").distinct()
-
-
-def settled(open_: DataFrame, labels: DataFrame, texts: DataFrame, members: int = MEMBERS) -> DataFrame:
-    """a, b: verified links between the entries of ``open_`` (digest, by_key, target) and their targets; labels: digest, comp of all entries."""
-    named = open_.filter("NOT by_key").select(F.col("target").alias("comp")).distinct()
-    inside = labels.join(named, "comp", "left_semi").select(F.lit(False).alias("by_key"), F.col("comp").alias("target"), "digest")
-    inside = inside.unionByName(open_.filter("by_key").select("by_key", "target", "digest"))
-    parts = sized(stored(inside.groupBy("by_key", "target").agg(F.ceil(F.count("*") / members).cast("int").alias("parts"))))
-    held = inside.join(parts, ["by_key", "target"]).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).withColumn("role", F.lit(0))
-    probes = open_.join(parts, ["by_key", "target"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1))
-    rows = held.unionByName(probes).join(texts, "digest").select("by_key", "target", "part", "role", "digest", "text")
-    return rows.repartition("by_key", "target", "part").sortWithinPartitions("by_key", "target", "part", "role").mapInArrow(trimming(_settled), "a binary, b binary")
-
-
-class Held:
-    """An inverted index over the shingles of a part's texts."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
-        values = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        order = np.argsort(values, kind="stable")
-        self.values, self.owner = values[order], np.repeat(np.arange(len(sets)), self.size)[order]
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bytes_ = ByteHashes()
+    for b in batches:
+        sets = list(shingle_sets(b.column(1).to_pylist(), bytes_))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), lists], ["no", "n", "hs"])
 
-    def near(self, own: np.ndarray) -> np.ndarray:
-        """The texts whose similarity with ``own`` reaches SIMILARITY."""
-        low = np.searchsorted(self.values, own)
-        count = np.searchsorted(self.values, own, side="right") - low
-        at = np.arange(int(count.sum())) + np.repeat(low - np.cumsum(count) + count, count)
-        both = np.bincount(self.owner[at], minlength=len(self.size))
-        return np.flatnonzero(both >= SIMILARITY * (len(own) + self.size - both) if len(own) else self.size == 0)
 
+def prefixes(lists: DataFrame) -> DataFrame:
+    """h, no, n, i: the shingles by which an entry of ``lists`` (no, n, hs) can meet another: those of its first n - ceil(0.8 n) + 1, from rare to
+    common, that stand in another entry too; ``i`` counts the rarer ones of the entry."""
+    rows = lists.select("no", "n", F.explode("hs").alias("h"))
+    shared = stored(rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
+    own = rows.join(shared, "h").groupBy("no", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    # shingles of no other entry are the rarest
+    own = own.withColumn("alone", F.col("n") - F.size("s")).withColumn("keep", F.expr("n - (4 * n + 4) DIV 5 + 1 - alone"))
+    first = own.filter("keep > 0").select("no", "n", "alone", F.posexplode(F.slice("s", 1, F.col("keep").cast("int"))).alias("at", "x"))
+    return first.select(F.col("x.h").alias("h"), "no", "n", (F.col("alone") + F.col("at")).alias("i"))
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by by_key, target, part and role: a part's texts, then its probes, one at a time. A link is given only where it joins what is apart."""
-    known, run, digests, sets, index, parent = WordHashes(), None, [], [], None, {}
 
-    def top(x: bytes) -> bytes:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def candidates(meetings: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """a, b: pairs of entries of two families that meet in ``meetings`` (h, no, n, i, comp, low, high) and could be near copies there.
 
-    for batch in batches:
-        a, b = [], []
-        for by_key, target, part, role, digest, text in zip(*batch.columns, strict=True):
-            now = (by_key.as_py(), target.as_py(), part.as_py())
-            if now != run:
-                run, digests, sets, index, parent = now, [], [], None, {}
-            own, d = shingle_set(text.as_py(), known), digest.as_py()
-            if role.as_py() == 0:
-                digests.append(d)
-                sets.append(own)
-                if not now[0]:
-                    parent[d] = digests[0]  # one component already
-                continue
-            index = index or Held(sets)
-            for i in index.near(own).tolist():
-                if top(d) != top(digests[i]):
-                    a.append(digests[i])
-                    b.append(d)
-                    parent[top(d)] = top(digests[i])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    Entries outside of the shard's largest family are compared, by size and what is left behind the shingle; a shard is dealt in parts of ``members`` entries.
+    """
+    sizes = meetings.groupBy("h", "comp").agg(F.count("*").alias("held"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shards = sizes.groupBy("h").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("held", "comp")).alias("main"), F.min("least").alias("least"), F.max("most").alias("most"), F.ceil(F.sum("held") / members).cast("int").alias("parts"))
+    open_ = stored(shards.filter("comps > 1").drop("comps"))
+    # 9 times what both share is at least 4 times their sizes' sum; what one shares is at most what is left to it, and at most the other
+    room = F.expr("9 * (n - i) - 4 * n")
+    rows = meetings.join(open_, "h").filter((room >= 4 * F.col("least")) & F.expr("4 * n <= 5 * most")).drop("least", "most")
+    rows = stored(rows)
+    held = rows.withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int")).withColumn("role", F.lit(0))
+    tried = rows.filter("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1))
+    both = held.unionByName(tried).select("h", "part", "role", "no", "n", "i", "comp", "low", "high")
+    return both.repartition("h", "part").sortWithinPartitions("h", "part", "role", "n").mapInArrow(trimming(_compared), "a long, b long").distinct()
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by h, part, role and n: entries of the part (role 0), then those to compare with them."""
+    for t in runs(batches, 2):
+        h, part, role, no, n, i, comp, low, high = (c.to_numpy() for c in t.columns)
+        shard = numbered(h, part)
+        inside, probes = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        wide = int(n.max()) + 2
+        at = shard[inside] * wide + n[inside]  # sorted
+        # partners have 0.8 to 1.25 times the size, and no more than what is left to the probe allows
+        least, most = -(-4 * n[probes] // 5), np.minimum(5 * n[probes] // 4, (9 * (n[probes] - i[probes]) - 4 * n[probes]) // 4)
+        start = np.searchsorted(at, shard[probes] * wide + least)
+        stop = np.searchsorted(at, shard[probes] * wide + np.clip(most, 0, wide - 1), side="right")
+        count = np.maximum(stop - start, 0)
+        for own in slices(count, COMPARED):
+            c = count[own]
+            x = np.repeat(probes[own], c)
+            y = inside[np.arange(len(x)) + np.repeat(start[own] - np.cumsum(c) + c, c)]
+            ok = (comp[x] != comp[y]) & (9 * (n[y] - i[y]) >= 4 * (n[x] + n[y]))
+            x, y = x[ok], y[ok]
+            ok = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= FAR
+            x, y = no[x[ok]], no[y[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def prefix_links(active: DataFrame, texts: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """a, b: the near copies of two families (comp) among the entries ``active`` (digest, comp, low, high), by digest."""
+    named = stored(active.withColumn("no", F.monotonically_increasing_id()))
+    lists = stored(named.select("no", "digest").join(texts, "digest").select("no", "text").mapInArrow(trimming(_listed, TEXTS), "no long, n long, hs array<long>"))
+    pairs = stored(candidates(prefixes(lists).join(named.drop("digest"), "no"), members))
+    own = lambda side: lists.select(F.col("no").alias(side), F.col("hs").alias(f"h_{side}"))
+    both = F.size(F.array_intersect("h_a", "h_b"))
+    near = pairs.join(own("a"), "a").join(own("b"), "b").filter(9 * both >= 4 * (F.size("h_a") + F.size("h_b"))).select("a", "b")
+    digest = lambda side: named.select(F.col("no").alias(side), F.col("digest").alias(f"d_{side}"))
+    return near.join(digest("a"), "a").join(digest("b"), "b").select(F.col("d_a").alias("a"), F.col("d_b").alias("b"))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -317,8 +341,8 @@ def groups(entries: DataFrame, docs: DataFrame, bucket: int = BUCKET, leaders: i
     active = stored(labelled.join(sized(stored(open_keys)), "key", "left_semi"))
     if active.isEmpty():
         return own
-    found = settled(stored(remaining(active, bucket)), labelled.select("digest", "comp").distinct(), texts, members)
-    return components.roots(links.union(found))
+    entry = active.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("comp", "low", "high")])
+    return components.roots(links.union(prefix_links(entry, texts, members)))
 
 
 def _digest():
@@ -328,19 +352,21 @@ def _digest():
 def keep_one(docs: DataFrame, bucket: int = BUCKET, leaders: int = LEADERS, members: int = MEMBERS) -> DataFrame:
     """``docs`` with one row of each group of exact and near copies: that of the least doc_id (null comes last).
 
-    Null and empty texts are one group. Of rows alike in doc_id and text one stays. Columns are those of
+    Null and empty texts are one group. Of rows alike in doc_id and text one stays, chosen by a hash of its columns. Columns are those of
     ``docs``, whatever their names. Empty tables stay empty.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     entries = batched(docs).select(order.alias("id"), _digest().alias("digest"), clean_text().alias("text")).mapInArrow(trimming(_sketches, TEXTS), "id long, digest binary, low long, high long, keys array<long>")
     entries = stored(entries.groupBy("digest").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("keys").alias("keys")))
     group = groups(entries, docs, bucket, leaders, members)
-    members = entries.select("digest", "id").join(group.withColumnRenamed("node", "digest"), "digest")
-    keepers = members.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("k"))
-    losers = members.join(keepers, "root").filter(F.col("digest") != F.col("k.digest")).select("digest")
+    grouped = entries.select("digest", "id").join(group.withColumnRenamed("node", "digest"), "digest")
+    keepers = grouped.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("k"))
+    losers = grouped.join(keepers, "root").filter(F.col("digest") != F.col("k.digest")).select("digest")
     # a document travels as one value, so that its columns may have any names
-    rows = docs.select(_digest().alias("digest"), order.alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    alone = rows.groupBy("digest").agg(F.min_by("row", "id").alias("row"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = F.xxhash64(F.to_json(F.struct(F.lit(0), *[c for c, n in zip(columns, docs.columns, strict=True) if n != "text"])))
+    rows = docs.select(_digest().alias("digest"), order.alias("id"), rest.alias("rest"), F.struct(*columns).alias("row"))
+    alone = rows.groupBy("digest").agg(F.min_by("row", F.struct("id", "rest")).alias("row"))
     return alone.join(losers, "digest", "left_anti").select("row.*")
 
 
