@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidegate.plans import admission, evaluation, federated, learning, record, studies
+from tidegate.plans import admission, evaluation, federated, learning, record, scenarios, studies
 
-QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES, **evaluation.QUERIES, **learning.QUERIES, **studies.QUERIES}
+QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES, **evaluation.QUERIES, **learning.QUERIES, **studies.QUERIES, **scenarios.QUERIES}
