@@ -86,6 +86,12 @@ def test_awkward_rows(odd, none):
     assert {tuple(r)[1:] for r in alignment.aligned(odd.filter("text IS NULL OR text = ''")).collect()} == {(0, 0, 0, 0, 0, 0, "")}
 
 
+def test_both_readings_of_a_give_the_same_ids(tools, texts):
+    known = [t for t in texts.values() if t] + AWKWARD + [" " * 6000, "x" + "\n" * 20_000 + "y", "a " * 3000, "é" * 5000, " \u3000" * 3000]
+    for t in known:
+        assert tools.ids_a(t).tolist() == tools.a.encode(f" {t}", add_special_tokens=False).ids
+
+
 def test_long_groups_are_counted_not_listed(tools):
     # 40,000 equal signs: groups hold few different ids, so pairs stay few
     rows, pairs = alignment.align(["=" * 40_000], tools)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,15 @@ from tidegate.llm.common import TEXTS, stored, table, trimming
 
 #: Frequent pairs that travel to every task; characters of text, and pairs of partial counts, that a task holds at once.
 HOT, CHARACTERS, PARTIAL = 1 << 18, 1 << 20, 1 << 20
+#: Links for a token from which on a group's ids are counted before they are joined.
+WIDER = 4
 LINKED = "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, n array<long>"
 SUMMED = "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, a array<int>, b array<int>, n array<long>"
 #: A (byte-level BPE) and B (SentencePiece), unless other files are named.
 PATHS = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+#: How byte-level BPE of this kind cuts a text before its merges (fixed value), and runs of white space that a backtracking engine should not meet.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WIDE = re.compile(r"(?<!\s)\s{5000}")
 LISTS = {"a": pa.list_(pa.int32()), "b": pa.list_(pa.int32()), "n": pa.list_(pa.int64())}
 
 
@@ -42,11 +48,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers, and the bytes of their ids."""
+    """Both tokenizers, and the bytes of their ids. A's file is read by two libraries: its own, and a faster one that takes
+    the same vocabulary as ranks and gives the same ids, for all texts but those with long runs of white space."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -57,14 +65,23 @@ class Tokenizers:
         for token, i in vocabulary.items():
             said[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.bytes_a = pa.array(said, pa.large_binary())
+        special = {x.content for x in self.a.get_added_tokens_decoder().values()}
+        self.quick = tiktoken.Encoding("a", pat_str=CUT, mergeable_ranks={said[i]: i for t, i in vocabulary.items() if t not in special}, special_tokens={})
         b = self.b
         self.bytes_b = pa.array([bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())], pa.large_binary())
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """The ids of either side; none for an empty text."""
-        a = [x.ids if t else [] for t, x in zip(texts, self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), strict=True)]
+        a = [self.ids_a(t) if t else np.zeros(0, np.uint32) for t in texts]
         b = [x if t else [] for t, x in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]
-        return pa.array(a, LISTS["a"]), pa.array(b, LISTS["b"])
+        offsets = np.cumsum([0, *map(len, a)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint32), *a]).astype(np.int32))), pa.array(b, LISTS["b"])
+
+    def ids_a(self, text: str) -> np.ndarray:
+        """The ids of a space and ``text``."""
+        if WIDE.search(text):
+            return np.array(self.a.encode(f" {text}", add_special_tokens=False).ids, np.uint32)
+        return self.quick.encode_to_numpy(f" {text}", disallowed_special=())
 
 
 def _faithful(ids: pa.ListArray, said: pa.LargeBinaryArray, texts: list[bytes]) -> np.ndarray:
@@ -123,14 +140,17 @@ def align(texts: list[str | None], tools: Tokenizers) -> tuple[pa.Table, pa.Tabl
     raw = [f" {t}".encode("utf-8", "replace") if t else b"" for t in known]
     keep = np.array([bool(t) for t in known], bool) & _faithful(ids_a, tools.bytes_a, raw) & _faithful(ids_b, tools.bytes_b, raw)
     a, b = _tokens(ids_a, tools.bytes_a, keep, "at_a"), _tokens(ids_b, tools.bytes_b, keep, "at_b")
-    cuts = a.select(["doc", "end", "at_a"]).join(b.select(["doc", "end", "at_b"]), keys=["doc", "end"], join_type="inner")
+    ends = [pa.table({"doc_end": pc.add(pc.multiply(x["doc"], 1 << 40), x["end"]), at: x[at]}) for x, at in ((a, "at_a"), (b, "at_b"))]
+    cuts = ends[0].join(ends[1], keys="doc_end", join_type="inner", use_threads=False)
     group_a, group_b = (_grouped(len(x), cuts[at].to_numpy()) for x, at in ((a, "at_a"), (b, "at_b")))
     docs = np.zeros(len(cuts), np.int64)  # a group's text
     docs[group_a] = a["doc"].to_numpy()
-    each = [pa.table({"group": g, side: x["id"]}).group_by(["group", side]).aggregate([([], "count_all")]).rename_columns(["group", side, f"n_{side}"]) for x, g, side in ((a, group_a, "a"), (b, group_b, "b"))]
-    linked = each[0].join(each[1], keys="group", join_type="inner")
+    each = [pa.table({"group": g, side: x["id"], f"n_{side}": np.ones(len(x), np.int64)}) for x, g, side in ((a, group_a, "a"), (b, group_b, "b"))]
+    if int((np.bincount(group_a) * np.bincount(group_b)).sum()) > WIDER * (len(a) + len(b)):  # long groups of few ids: each id once, with its count
+        each = [x.group_by(["group", side], use_threads=False).aggregate([(f"n_{side}", "sum")]).rename_columns(["group", side, f"n_{side}"]) for x, side in zip(each, "ab", strict=True)]
+    linked = each[0].join(each[1], keys="group", join_type="inner", use_threads=False)
     linked = pa.table({"doc": docs[linked["group"].to_numpy()], "a": linked["a"], "b": linked["b"], "n": pc.multiply(linked["n_a"], linked["n_b"])})
-    pairs = linked.group_by(["doc", "a", "b"]).aggregate([("n", "sum")]).rename_columns(["doc", "a", "b", "n"]).sort_by("doc")
+    pairs = linked.group_by(["doc", "a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["doc", "a", "b", "n"]).sort_by("doc")
     count = lambda x: np.bincount(x, minlength=n)
     said = _written(a["id"].to_numpy(), b["id"].to_numpy(), group_a, group_b, docs, n)
     links = np.zeros(n, np.int64)
@@ -146,7 +166,7 @@ def _lists(pairs: pa.Table, offsets: np.ndarray) -> list[pa.ListArray]:
 
 
 def _partial(counts: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(counts).group_by(["a", "b"]).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
+    return pa.concat_tables(counts).group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
 
 
 def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -181,7 +201,7 @@ def linked_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 columns = [part.column(0), pa.array(np.arange(row, row + len(part))), *[c.combine_chunks() for c in rows.columns], *lists]
                 row += len(part)
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINKED.split(", ")])
-                held.append(pairs.group_by(["a", "b"]).aggregate([([], "count_all")]).rename_columns(["a", "b", "n"]))
+                held.append(pairs.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["a", "b", "n"]))
                 pairs_held += len(held[-1])
                 if pairs_held > PARTIAL:
                     held = [_partial(held)]
@@ -212,7 +232,7 @@ def _summed(linked: DataFrame, hot: pa.Table) -> DataFrame:
         names = [c.split()[0] for c in SUMMED.split(", ")]
         for batch in batches:
             doc = pc.list_parent_indices(batch["a"]).cast(pa.int64())
-            pairs = pa.table({"doc": doc, **{c: pc.list_flatten(batch[c]) for c in LISTS}}).join(counts, keys=["a", "b"], join_type="left outer")
+            pairs = pa.table({"doc": doc, **{c: pc.list_flatten(batch[c]) for c in LISTS}}).join(counts, keys=["a", "b"], join_type="left outer", use_threads=False)
             known = pairs.filter(pc.is_valid(pairs["count"]))
             sums = np.zeros((2, len(batch)), np.int64)
             for i, c in enumerate(("best", "count")):
