@@ -45,11 +45,10 @@ def test_batches_and_verdicts(built):
 
 
 def test_training_windows(built):
-    w = scenario.windows_of(built, 10)
-    n = {r.client_id: r.n for r in w.groupBy("client_id").agg(F.count("*").alias("n")).collect()}
-    assert set(n.values()) == {111}
-    drawn = built.selection.groupBy("client_id").agg(F.count("*").alias("n")).collect()
-    assert [r.n for r in drawn] == [111, 111]
+    count = lambda w: {r.client_id: (r.n, r.d) for r in w.groupBy("client_id").agg(F.count("*").alias("n"), F.countDistinct("window_id").alias("d")).collect()}
+    assert count(scenario.windows_of(built, built.batches, 10, ["L_1", "F_1"])) == {i: (111, 111) for i in range(5)}
+    drawn = count(scenario.windows_of(built, built.batches, 10, ["L_1", "F_1"], drawn=True))
+    assert len(drawn) == 2 and all(n == 111 and d < 111 for n, d in drawn.values())
 
 
 def test_evaluation_sets(built):

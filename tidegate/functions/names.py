@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import re
 
-#: Prefixes that give a role, the form of a flow tag, endings of commands, parts of a balance target's name.
+#: Prefixes that give a role, the form of a flow tag, endings of commands.
 _CONTINUOUS, _DISCRETE = ("L_", "F_", "P_"), ("S_",)
 _FLOW_TAG = re.compile(r"F(IT|T|IC)?\d*Z?")
 _COMMANDS = {"CO", "SP"}
-_STORES = ("LIT", "LEVEL", "TANK", "PIT", "PRESSURE", "TIT", "TEMP", "_L_", "_LT_")
-_FLOWS = ("FT", "FIT", "FLOW", "PUMP", "VALVE", "_F_")
 
 
 def role_by_name(channel: str) -> str | None:
@@ -25,18 +23,6 @@ def is_flow(channel: str) -> bool:
     return last not in _COMMANDS and any(_FLOW_TAG.fullmatch(part) for part in [*rest, last])
 
 
-def is_store(channel: str) -> bool:
-    """Could be the stored quantity of a balance."""
-    u = channel.upper()
-    return u[:1] == "L" or u[-2:] == "_L" or any(s in u for s in _STORES)
-
-
-def may_flow(channel: str) -> bool:
-    """Could be a flow into or out of a store; looser than ``is_flow``."""
-    u = channel.upper()
-    return u[:1] == "F" or u[-2:] == "_F" or any(s in u for s in _FLOWS)
-
-
 def is_analyser(channel: str) -> bool:
     """Analysers (AIT anywhere in the name) are kept from the detector."""
     return "AIT" in channel.upper()

@@ -97,13 +97,3 @@ def sampled_check(rows: DataFrame, sample: DataFrame, key: list[str], v_max: int
 def detection(n: Column, bad: Column, k: Column) -> Column:
     """Chance that a sample of k meets a violating row."""
     return 1 - miss_probability(n, bad, k)
-
-
-def coupling_applies(status_prev: Column, status: Column, off: int, on: int) -> Column:
-    """Off/off or on/on, exactly."""
-    return ((status_prev == off) & (status == off)) | ((status_prev == on) & (status == on))
-
-
-def range_bits(coefficients: list[int], bits: int = 32) -> int:
-    """Bits that hold a residual of these coefficients over ``bits``-bit values, with sign."""
-    return (sum(map(abs, coefficients)) << bits).bit_length() + 1

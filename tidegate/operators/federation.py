@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators import aggregation
+from tidegate.operators.keep import written
 
 RATE, EPOCHS = 0.05, 2
 
@@ -27,33 +28,40 @@ def target(width: int, channels: int) -> Column:
     return F.col("x")[width - channels].cast("double")
 
 
-def moments(windows: DataFrame, width: int, channels: int, key: str = "client_id") -> DataFrame:
-    """key, n, a (rows of the mean products of inputs), b (of inputs and target)."""
+def moments(windows: DataFrame, width: int, channels: int, *key: str) -> DataFrame:
+    """key (client_id, if none is named), n, a (rows of the mean products of inputs), b (of inputs and target)."""
+    key = key or ("client_id",)
     f, y = inputs(width, channels), target(width, channels)
     d = len(f)
-    named = windows.select(key, *[c.alias(f"f{i}") for i, c in enumerate(f)], y.alias("y"))
+    named = windows.select(*key, *[c.alias(f"f{i}") for i, c in enumerate(f)], y.alias("y"))
     upper = {(i, j): F.avg(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"a{i}_{j}") for i in range(d) for j in range(i, d)}
-    m = named.groupBy(key).agg(F.count("*").alias("n"), *upper.values(), *[F.avg(F.col(f"f{i}") * F.col("y")).alias(f"b{i}") for i in range(d)])
+    m = named.groupBy(*key).agg(F.count("*").alias("n"), *upper.values(), *[F.avg(F.col(f"f{i}") * F.col("y")).alias(f"b{i}") for i in range(d)])
     rows = [F.array(*[F.col(f"a{min(i, j)}_{max(i, j)}") for j in range(d)]) for i in range(d)]
-    return m.select(key, "n", F.array(*rows).alias("a"), F.array(*[F.col(f"b{i}") for i in range(d)]).alias("b"))
+    return m.select(*key, "n", F.array(*rows).alias("a"), F.array(*[F.col(f"b{i}") for i in range(d)]).alias("b"))
 
 
-def _dot(x: Column, y: Column) -> Column:
+def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
 
 
+def stepped(w: Column, rate: float = RATE) -> Column:
+    """The parameters ``w`` after one full-batch step on the row's moments (a, b)."""
+    step = F.zip_with(F.transform("a", lambda row: dot(row, w)), "b", lambda aw, b: 2 * rate * (b - aw))
+    return F.zip_with(w, step, lambda x, s: x + s)
+
+
 def local_updates(held: DataFrame, params: Sequence[float], epochs: int = EPOCHS, rate: float = RATE, key: str = "client_id") -> DataFrame:
     """key, dim, value: each client's change of the parameters after ``epochs`` full-batch steps on its moments."""
     start = F.array(*[F.lit(float(p)) for p in params])
     d = held.withColumn("w", start)
     for _ in range(epochs):
-        step = F.zip_with(F.transform("a", lambda row: _dot(row, F.col("w"))), "b", lambda aw, b: 2 * rate * (b - aw))
-        d = d.withColumn("w", F.zip_with("w", step, lambda w, s: w + s))
+        d = d.withColumn("w", stepped(F.col("w"), rate))
     return d.select(key, F.posexplode(F.zip_with("w", start, lambda w, s: w - s)).alias("dim", "value"))
 
 
 def run_rounds(held: DataFrame, rounds: int, rule: str = "fedavg", attack: Callable[[DataFrame], DataFrame] | None = None, epochs: int = EPOCHS, rate: float = RATE, **options) -> list[float]:
-    """Global parameters after ``rounds`` from zero; ``attack`` rewrites a round's updates. One number a parameter comes back a round."""
+    """Global parameters after ``rounds`` from zero; ``attack`` rewrites a round's updates. The moments are written once; one number a parameter comes back a round."""
+    held = written(held)
     width = len(held.select("b").first().b)
     params = [0.0] * width
     for _ in range(rounds):

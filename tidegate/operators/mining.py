@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators import rules
+from tidegate.operators.keep import written
 from tidegate.operators.order import exact_quantile, with_previous
 
 CV_MAX, OFF_QUANTILE, SEPARATION = 0.35, 0.99, 3.0
@@ -111,26 +112,58 @@ def build(balance_list: Sequence[Balance], coupling_rules: Sequence[rules.Rule],
     return chosen[:limit]
 
 
-def state_rules(df: DataFrame, sensors: Sequence[str], actuators: Sequence[str], components: int = 3, purity: float = 0.98, support: float = 0.03, limit: int = 40, seed: int = 0, fit_rows: int = 10_000) -> DataFrame:
-    """sensor, component, actuator, value, purity, support: a component of a sensor's Gaussian mixture that pins an actuator.
+def _densities(value: Column, w: Column) -> Column:
+    """For each component (weight, mean, var) of the array ``w`` its share in ``value``; exponents are taken from the greatest on, so far values have shares too."""
+    logs = F.transform(w, lambda c: F.ln(c["weight"]) - F.ln(c["var"]) / 2 - F.pow(value - c["mean"], 2) / (2 * c["var"]))
+    return F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+
+
+def mixtures(values: DataFrame, components: int = 3, rounds: int = 12, floor: float = 1e-6) -> DataFrame:
+    """sensor, w (an array of weight, mean, var): a Gaussian mixture of each sensor's ``values`` (sensor, value, n: how often), fitted on all of them.
 
-    The mixture is fitted on about ``fit_rows`` rows (a documented sample); every row is then counted.
+    Components start evenly between one deviation under and over the mean. A round is one grouped sum over the distinct values; a variance is at least ``floor`` of
+    the whole one, a weight at least 1e-9. Sensors are few; their parameters are broadcast and come from a written table, so that rounds do not pile up in one plan.
     """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
+    values = written(values.filter("value IS NOT NULL"))
+    mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
+    s = values.groupBy("sensor").agg(mean.alias("m"), F.sum("n").alias("rows"))
+    s = values.join(F.broadcast(s), "sensor").groupBy("sensor", "m").agg((F.sum(F.pow(F.col("value") - F.col("m"), 2) * F.col("n")) / F.sum("n")).alias("v"))
+    least = F.greatest(F.col("v") * floor, F.lit(1e-12))
+    at = [2 * i / (components - 1) - 1 if components > 1 else 0.0 for i in range(components)]
+    start = F.array(*[F.struct(F.lit(1 / components).alias("weight"), (F.col("m") + x * F.sqrt("v")).alias("mean"), F.greatest(F.col("v"), least).alias("var")) for x in at])
+    held = written(s.select("sensor", least.alias("least"), start.alias("w")))
+    for _ in range(rounds):
+        shares = values.join(F.broadcast(held), "sensor").withColumn("e", _densities(F.col("value"), F.col("w")))
+        total = F.aggregate("e", F.lit(0.0), lambda x, y: x + y)
+        part = [(F.col("e")[i] / total * F.col("n")).alias(f"r{i}") for i in range(components)]
+        sums = [x for i in range(components) for x in (F.sum(f"r{i}").alias(f"s{i}"), F.sum(F.col(f"r{i}") * F.col("d")).alias(f"x{i}"), F.sum(F.col(f"r{i}") * F.col("d") * F.col("d")).alias(f"y{i}"))]
+        # about the middle of the last round's means, so that squares do not cancel
+        middle = F.aggregate("w", F.lit(0.0), lambda x, c: x + c["mean"]) / components
+        g = shares.select("sensor", "n", "least", middle.alias("mid"), (F.col("value") - middle).alias("d"), *part).groupBy("sensor", "least", "mid").agg(F.sum("n").alias("rows"), *sums)
+        one = lambda i: F.struct(
+            F.greatest(F.col(f"s{i}") / F.col("rows"), F.lit(1e-9)).alias("weight"),
+            (F.col("mid") + F.coalesce(F.try_divide(F.col(f"x{i}"), F.col(f"s{i}")), F.lit(0.0))).alias("mean"),
+            F.greatest(F.coalesce(F.try_divide(F.col(f"y{i}"), F.col(f"s{i}")) - F.pow(F.try_divide(F.col(f"x{i}"), F.col(f"s{i}")), 2), F.lit(0.0)), F.col("least")).alias("var"),
+        )
+        held = written(g.select("sensor", "least", F.array(*[one(i) for i in range(components)]).alias("w")))
+    return held.select("sensor", "w")
+
+
+def state_rules(df: DataFrame, sensors: Sequence[str], actuators: Sequence[str], components: int = 3, purity: float = 0.98, support: float = 0.03, limit: int = 40, rounds: int = 12) -> DataFrame:
+    """sensor, component, actuator, value, purity, support: a component of a sensor's Gaussian mixture that pins an actuator.
 
-    n = df.count()
-    out = None
-    for s in sensors:
-        v = VectorAssembler(inputCols=[s], outputCol="x", handleInvalid="skip").transform(df.select(s, *[a for a in actuators if a != s]))
-        sample = v.sample(fraction=min(1.0, fit_rows / max(n, 1)), seed=seed) if n > fit_rows else v
-        at = GaussianMixture(k=components, seed=seed, featuresCol="x", predictionCol="component").fit(sample).transform(v)
-        long = at.select("component", F.explode(F.array(*[F.struct(F.lit(a).alias("actuator"), F.col(a).cast("double").alias("value")) for a in actuators if a != s])).alias("z")).select("component", "z.*")
-        c = long.groupBy("component", "actuator", "value").agg(F.count("*").alias("c"))
-        g = c.groupBy("component", "actuator").agg(F.max(F.struct(F.col("c"), (-F.col("value")).alias("v"))).alias("m"), F.sum("c").alias("t"))
-        g = g.select(F.lit(s).alias("sensor"), "component", "actuator", (-F.col("m.v")).alias("value"), (F.col("m.c") / F.col("t")).alias("purity"), (F.col("t") / F.lit(float(max(n, 1)))).alias("support"))
-        out = g if out is None else out.unionByName(g)
-    return out.filter((F.col("purity") >= purity) & (F.col("support") >= support)).orderBy(F.desc("purity"), F.desc("support"), "sensor", "component", "actuator").limit(limit)
+    Mixtures are fitted on all rows, and every row is counted with the component of its greatest share (the first of equals). A sensor is no actuator of its own.
+    """
+    cell = lambda names, a, b: F.array(*[F.struct(F.lit(c).alias(a), F.col(c).cast("double").alias(b)) for c in names])
+    rows = df.select(F.explode(cell(sensors, "sensor", "reading")).alias("s"), cell(actuators, "actuator", "value").alias("a")).select("s.*", "a").filter("reading IS NOT NULL")
+    fitted = mixtures(rows.groupBy("sensor", F.col("reading").alias("value")).agg(F.count("*").alias("n")), components, rounds)
+    e = _densities(F.col("reading"), F.col("w"))
+    at = rows.join(F.broadcast(fitted), "sensor").select("sensor", (F.array_position(e, F.array_max(e)) - 1).cast("int").alias("component"), F.explode("a").alias("a")).select("sensor", "component", "a.*").filter("sensor <> actuator")
+    c = at.groupBy("sensor", "component", "actuator", "value").agg(F.count("*").alias("c"))
+    n = df.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    g = c.groupBy("sensor", "component", "actuator").agg(F.max(F.struct(F.col("c"), (-F.col("value")).alias("v"))).alias("m"), F.sum("c").alias("t")).crossJoin(F.broadcast(n))
+    g = g.select("sensor", "component", "actuator", (-F.col("m.v")).alias("value"), (F.col("m.c") / F.col("t")).alias("purity"), (F.col("t") / F.col("n")).alias("support"))
+    return g.filter((F.col("purity") >= purity) & (F.col("support") >= support)).orderBy(F.desc("purity"), F.desc("support"), "sensor", "component", "actuator").limit(limit)
 
 
 def mined(df: DataFrame, key: list[str], levels: Sequence[str], flows: Sequence[str], statuses: Sequence[str], setting: str = "narrow", limit: int = 40) -> tuple[list[rules.Rule], DataFrame]:

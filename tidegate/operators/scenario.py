@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.names import is_analyser, is_flow
 from tidegate.functions.scalar import unit_hash
 from tidegate.operators import mining, order, record, rules
+from tidegate.operators.keep import written
 
 KEY, PLACES, DRAWS, TARGETS = ["client_id"], 5, 11, 777
 
@@ -41,7 +42,7 @@ class Settings:
 
 @dataclass
 class Scenario:
-    """Tables of a federation; ``batches`` holds client_id, row_id, the channels, spliced and is_malicious."""
+    """Tables of a federation; ``shards`` and ``batches`` hold client_id, row_id, the channels and is_malicious, ``batches`` as the clients submit them and whether a row was spliced."""
 
     channels: list[str]
     rules: list[rules.Rule]
@@ -49,6 +50,7 @@ class Scenario:
     slices: dict[str, DataFrame]
     attack: DataFrame
     targets: DataFrame
+    shards: DataFrame
     batches: DataFrame
     spliced: DataFrame
     selection: DataFrame
@@ -150,39 +152,37 @@ def build(normal: DataFrame, attack: DataFrame, settings: Settings, mine: Callab
     pool_rows = n - sum(int(n * f) for f in fractions.values())
     dealt = shards(slices["pool"], pool_rows, s.clients, s.partition, s.seed, s.least_rows).select("client_id", "row_id", *channels)
     who = adversaries(s.clients, s.malicious, s.seed, spark)
-    dealt = dealt.join(F.broadcast(who), "client_id")  # a row a client
+    dealt = written(dealt.join(F.broadcast(who), "client_id"))  # a row a client
     own, honest = (dealt.filter(c).drop("is_malicious") for c in ("is_malicious", "NOT is_malicious"))
     targets = target_segments(attack, round(pool_rows // s.clients * s.target), s.seed)
-    laid = spliced_shards(own, attack, targets, channels, s.seed)
+    laid = written(spliced_shards(own, attack, targets, channels, s.seed))
     made = fabricated(laid, s.fabrication, channels, s.seed, s.options)
-    batches = honest.withColumn("spliced", F.lit(False)).unionByName(made).join(F.broadcast(who), "client_id")
+    batches = written(honest.withColumn("spliced", F.lit(False)).unionByName(made).join(F.broadcast(who), "client_id"))
     touched = record.touched_windows(laid.withColumn("hit", F.col("spliced").cast("int")), KEY, "hit", s.window)
     selection = record.exposed(touched, KEY, "touched", s.poison, s.seed + DRAWS, "row_id")
     looked = rules.residuals(order.with_previous(batches, KEY, rules.looking_back(chosen)), chosen)
     verdicts = rules.verdicts(looked, KEY, chosen, s.alpha).join(F.broadcast(who), "client_id")
-    return Scenario(channels, chosen, record.scaler(slices["pool"], channels), slices, attack, targets, batches, laid.select("client_id", "row_id", "spliced"), selection, verdicts)
+    return Scenario(channels, chosen, record.scaler(slices["pool"], channels), slices, attack, targets, dealt, batches, laid.select("client_id", "row_id", "spliced"), selection, verdicts)
 
 
-def windows_of(sc: Scenario, width: int, step: int = 1) -> DataFrame:
-    """client_id, window_id, x: the standardised windows that each client trains on, a malicious one's as drawn, with repeats."""
-    z = record.standardised(sc.batches.withColumn("label", F.lit(0)), sc.scaler, sc.channels)
-    w = record.windows(z, KEY, [f"z_{c}" for c in sc.channels], "label", width, step).drop("label")
-    # the others have no selection
-    drawn = sc.selection.groupBy("client_id", F.floor((F.col("row_id") - 1) / step).alias("window_id")).agg(F.count("*").alias("times"))
-    bad = sc.verdicts.filter("is_malicious").select("client_id", F.lit(True).alias("bad"))
-    each = w.join(F.broadcast(bad), "client_id", "left").join(drawn, ["client_id", "window_id"], "left")
-    times = F.when(F.col("bad"), F.coalesce("times", F.lit(0))).otherwise(1)
-    return each.withColumn("__i", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("client_id", "window_id", "x")
+def windows_of(sc: Scenario, batches: DataFrame, width: int, channels: Sequence[str], drawn: bool = False) -> DataFrame:
+    """client_id, window_id, x: all standardised windows of each client's rows in ``batches``, or, where ``drawn``, those that the scenario selected, with repeats."""
+    z = record.standardised(batches.select("client_id", "row_id", *sc.channels, F.lit(0).alias("label")), sc.scaler, sc.channels)
+    w = record.windows(z, KEY, [f"z_{c}" for c in channels], "label", width).drop("label")
+    if not drawn:
+        return w
+    times = sc.selection.groupBy("client_id", (F.col("row_id") - 1).alias("window_id")).agg(F.count("*").alias("times"))
+    return w.join(times, ["client_id", "window_id"]).withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("times")
 
 
-def evaluation_windows(sc: Scenario, width: int) -> DataFrame:
+def evaluation_windows(sc: Scenario, width: int, channels: Sequence[str] | None = None) -> DataFrame:
     """set (clean_val, test), window_id, x, label, targeted: windows of the validation slice and of the attack record; ``targeted`` ones touch a target row."""
     apart = ["__set"]
     aims = sc.targets.select(F.explode(F.sequence("start_row", F.col("start_row") + F.col("n_rows").cast("long") - 1)).alias("row_id"), F.lit(1).alias("aim"))
     test = sc.attack.select("row_id", *sc.channels, F.col("att_flag").alias("hit")).join(aims, "row_id", "left").withColumns({"aim": F.coalesce("aim", F.lit(0)), "__set": F.lit("test")})
     val = sc.slices["validation"].select("row_id", *sc.channels, F.lit(0).alias("hit"), F.lit(0).alias("aim"), F.lit("clean_val").alias("__set"))
     z = record.standardised(test.unionByName(val), sc.scaler, sc.channels)
-    w = record.windows(z, apart, [f"z_{c}" for c in sc.channels], "hit", width)
+    w = record.windows(z, apart, [f"z_{c}" for c in channels or sc.channels], "hit", width)
     aimed = record.touched_windows(z, apart, "aim", width).select("__set", (F.col("row_id") - 1).alias("window_id"), "touched")
     joined = w.join(aimed, ["__set", "window_id"])
     return joined.select(F.col("__set").alias("set"), "window_id", "x", "label", (F.col("touched") == 1).alias("targeted"))

@@ -75,9 +75,9 @@ def wilcoxon_less(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame
     return every.select(*key, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
-def resume(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
-    """The cells of the grid that no finished cell has the key of."""
-    return wanted.join(done.select(*key).distinct(), key, "left_anti")
+def two_way(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that stand more often on one side than on the other, as often as they do, with ``side`` (a or b). Both have the same columns; nulls are equal."""
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
 def tree_diff(a: DataFrame, b: DataFrame, tol: float = 1e-9) -> DataFrame:

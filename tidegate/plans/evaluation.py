@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.functions import trees
 from tidegate.functions.scalar import miss_probability, tidy
-from tidegate.operators import aggregation, attestation, fixedpoint, metrics, order, rules, stats
+from tidegate.operators import aggregation, attestation, fixedpoint, metrics, order, record, rules, stats
 from tidegate.plans import record as record_plans
 from tidegate.sources import views
 
@@ -273,6 +274,57 @@ t AS (SELECT round, client_id, greatest(sum(u.value * s.value) / (sqrt(sum(u.val
 m AS (SELECT round, coalesce(avg(trust) FILTER (client_id % 3 = 0), 0) AS m, coalesce(avg(trust) FILTER (client_id % 3 <> 0), 0) AS h FROM t GROUP BY 1)
 SELECT count(*) AS n_rounds, round(avg(m), 5) + 0.0 AS malicious_trust, round(avg(h), 5) + 0.0 AS honest_trust FROM m"""
 
+def integer_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each client: rows, rules that apply and that are violated over its rows, and how many of these answers the integer and the decimal model do not share."""
+    from dataclasses import replace
+
+    sized = [replace(r, eps=e) for r, e in zip(RULES, EPS, strict=True)]
+    c = _counted(spark, sf_dir)
+    long = lambda answers: c.select("client_id", "row_id", F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), a.alias("applies"), v.alias("violates")) for r, (a, v) in zip(sized, answers, strict=True)])).alias("x")).select("client_id", "row_id", "x.*")
+    first = long([(F.coalesce(fixedpoint.integer_applies(q), F.lit(False)), F.coalesce(fixedpoint.integer_violates(q), F.lit(False))) for q in _fixed()])
+    second = long(fixedpoint.decimal_model(c, sized))
+    apart = stats.two_way(first, second).groupBy("client_id").agg(F.count_if(F.col("side") == "a").alias("integer_only"), F.count_if(F.col("side") == "b").alias("decimal_only"))
+    n = first.groupBy("client_id").agg(F.countDistinct("row_id").alias("n_rows"), F.count_if("applies").alias("n_applies"), F.count_if("violates").alias("n_violates"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return n.join(apart, "client_id", "left").select("client_id", "n_rows", "n_applies", "n_violates", zero("integer_only"), zero("decimal_only"))
+
+
+SQL_CROSS = f"{TEL}, {_QR} SELECT client_id, count(*) AS n_rows, sum(2 - u)::BIGINT AS n_applies, sum(v)::BIGINT AS n_violates, 0::BIGINT AS integer_only, 0::BIGINT AS decimal_only FROM vu GROUP BY 1"
+
+
+def _result_tree(t: DataFrame) -> DataFrame:
+    """One JSON document over the record: for each client its rows, its mean value and its rows by status."""
+    c = t.groupBy("client_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *[F.count_if(F.col("status") == i).alias(f"s{i}") for i in range(3)])
+    entry = F.struct(F.concat(F.lit("c"), F.col("client_id").cast("string")).alias("k"), F.struct("n", F.struct("mean").alias("value"), F.array("s0", "s1", "s2").alias("by_status")).alias("v"))
+    return c.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("j"))  # an entry a client
+
+
+def result_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two results, kept as JSON, differ: the whole record's and that of its rows without attacks."""
+    t = views.telemetry(spark, sf_dir)
+    a, b = (trees.flattened(_result_tree(x), [], "j") for x in (t, t.filter("att_flag = 0")))
+    d = stats.tree_diff(a, b)
+    return d.select("path", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+
+
+def _leaf_sql(name: str, where: str) -> str:
+    parts = ["'.n' AS leaf, count(*)::DOUBLE AS v", "'.value.mean', round(avg(value), 6)", *[f"'.by_status[{i}]', count(*) FILTER (status = {i})::DOUBLE" for i in range(3)]]
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT '$.c' || client_id || {p.replace(' AS leaf', ' AS path', 1)} FROM tel WHERE {where} GROUP BY client_id" for p in parts) + ")"
+
+
+SQL_DIFF = f"{TEL}, {_leaf_sql('wa', 'true')}, {_leaf_sql('wb', 'att_flag = 0')} SELECT coalesce(wa.path, wb.path) AS path, wa.v AS a, wb.v AS b FROM wa FULL OUTER JOIN wb ON wa.path = wb.path WHERE coalesce(abs(wa.v - wb.v) > 1e-9, true)"
+
+
+def relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each client: attack rows, and those left when a seeded 40 % of them are called normal."""
+    t = views.telemetry(spark, sf_dir)
+    d = record.relabel(t.withColumn("was", F.col("att_flag")), "att_flag", 0.4, 13, "event_id")
+    return d.groupBy("client_id").agg(F.sum("was").alias("n_before"), F.sum("att_flag").alias("n_after"))
+
+
+SQL_RELABEL = f"{TEL} SELECT client_id, sum(att_flag)::BIGINT AS n_before, (count(*) FILTER (att_flag = 1 AND {record_plans.UNIT.format("'13/' || event_id")} >= 0.4))::BIGINT AS n_after FROM tel GROUP BY 1"
+
+
 QUERIES = {
     "threshold": (threshold, SQL_THRESHOLD),
     "detection_report": (detection_report, SQL_REPORT),
@@ -295,4 +347,7 @@ QUERIES = {
     "bootstrap_ci": (bootstrap_ci, SQL_BOOTSTRAP),
     "wilcoxon": (wilcoxon, SQL_WILCOXON),
     "trust_summary": (trust_summary, SQL_TRUST),
+    "integer_cross_check": (integer_cross_check, SQL_CROSS),
+    "result_diff": (result_diff, SQL_DIFF),
+    "relabelled": (relabelled, SQL_RELABEL),
 }

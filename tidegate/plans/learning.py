@@ -58,7 +58,28 @@ def mined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.state_rules(_statused(spark, sf_dir), ["flow"], ["status"], purity=0.5)
+    """The components of both sensors' mixtures that pin the status, however loosely."""
+    t = mining.state_rules(_statused(spark, sf_dir), ["flow", "value"], ["status"], purity=0.3, rounds=MIXED)
+    return t.select("sensor", "component", "actuator", "value", tidy(F.col("purity"), 4).alias("purity"), tidy(F.col("support"), 4).alias("support"))
+
+
+def _mixed_sql() -> str:
+    """The rounds of both mixtures, one after another."""
+    log = lambda i: f"ln(w{i}) - ln(v{i}) / 2 - (x - m{i}) ** 2 / (2 * v{i})"
+    out = ["p0 AS (SELECT sensor, greatest(var_pop(x) * 1e-6, 1e-12) AS lo, " + ", ".join(f"1.0::DOUBLE / 3 AS w{i}, avg(x) + {i - 1} * stddev_pop(x) AS m{i}, greatest(var_pop(x), 1e-12) AS v{i}" for i in range(3)) + " FROM s2 GROUP BY 1)"]
+    for r in range(MIXED):
+        out.append(f"l{r} AS (SELECT s2.*, p.lo, (m0 + m1 + m2) / 3 AS mid, {', '.join(f'{log(i)} AS l{i}' for i in range(3))} FROM s2 JOIN p{r} AS p USING (sensor))")
+        out.append(f"e{r} AS (SELECT sensor, lo, mid, x - mid AS d, {', '.join(f'exp(l{i} - greatest(l0, l1, l2)) / (exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) AS r{i}' for i in range(3))} FROM l{r})")
+        out.append(f"p{r + 1} AS (SELECT sensor, lo, " + ", ".join(f"greatest(sum(r{i}) / count(*), 1e-9) AS w{i}, mid + sum(r{i} * d) / sum(r{i}) AS m{i}, greatest(sum(r{i} * d * d) / sum(r{i}) - (sum(r{i} * d) / sum(r{i})) ** 2, lo) AS v{i}" for i in range(3)) + f" FROM e{r} GROUP BY sensor, lo, mid)")
+    out.append(f"f AS (SELECT sensor, st, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS component FROM (SELECT s2.*, {', '.join(f'{log(i)} AS l{i}' for i in range(3))} FROM s2 JOIN p{MIXED} USING (sensor)))")
+    return ", ".join(out)
+
+
+MIXED = 6
+_FLOW = "CASE WHEN status = 2 THEN 20 + value / 200 ELSE value / 5000 END"
+SQL_STATES = f"""{TEL}, s2 AS (SELECT 'flow' AS sensor, {_FLOW} AS x, status AS st FROM tel UNION ALL SELECT 'value', value, status FROM tel), {_mixed_sql()},
+c AS (SELECT sensor, component, st, count(*) AS c FROM f GROUP BY ALL), g AS (SELECT sensor, component, arg_max(st, {{'c': c, 'v': -st}}) AS st, max(c) AS c, sum(c) AS t FROM c GROUP BY ALL)
+SELECT sensor, component::INTEGER AS component, 'status' AS actuator, st::DOUBLE AS value, round(c / t, 4) AS purity, round(t / (SELECT count(*) FROM tel), 4) AS support FROM g WHERE c / t >= 0.3 AND t / (SELECT count(*) FROM tel) >= 0.03"""
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +141,7 @@ QUERIES = {
     "boundary_r2": (boundary_r2, SQL_R2),
     "mine_balances": (mine_balances, None),
     "mined_rules": (mined_rules, None),
-    "state_rules": (state_rules, None),
+    "state_rules": (state_rules, SQL_STATES),
     "local_train_round": (local_train_round, SQL_TRAIN),
     "window_scores": (window_scores, SQL_SCORED),
     "project_batch": (project_batch, None),

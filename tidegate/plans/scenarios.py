@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.scalar import tidy
 from tidegate.operators import order, rules, scenario
+from tidegate.operators.keep import written
 from tidegate.plans.record import UNIT
 from tidegate.sources import views
 
@@ -20,9 +21,9 @@ def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The clean rows of the event record, numbered anew, and the whole labelled record. A flow follows the status, so that a coupling can be mined."""
     t = views.telemetry(spark, sf_dir, key=False)
     flow = F.when(F.col("status") == 2, 20 + F.col("value") / 200).otherwise(F.col("value") / 5000)
-    whole = t.select("row_id", F.col("value").cast("double").alias("value"), F.col("k").cast("double").alias("k"), flow.alias("flow"), F.when(F.col("status") == 2, 2).otherwise(1).alias("status"), LABEL)
+    whole = written(t.select("row_id", F.col("value").cast("double").alias("value"), F.col("k").cast("double").alias("k"), flow.alias("flow"), F.when(F.col("status") == 2, 2).otherwise(1).alias("status"), LABEL))
     clean = order.cumulative(whole.filter(f"{LABEL} = 0").withColumnRenamed("row_id", "at"), [], F.floor(F.col("at") / order.BLOCK), [F.col("at")]).drop("at")
-    return clean, whole
+    return written(clean), whole
 
 
 def built(spark: SparkSession, sf_dir: str, settings: scenario.Settings = SETTINGS) -> scenario.Scenario:

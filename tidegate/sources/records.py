@@ -16,7 +16,7 @@ PARTS = {
     "logged": {"normal": "14days", "attack": "attack", "intervals": "attack_description"},
     "flagged": {"normal": "dataset03", "attack": "dataset04"},
 }
-TABLES = ("csv", "xlsx", "xls")
+TABLES, UNREAD = ("csv", "xlsx"), ("xls",)
 STRIDE, SKIP = 5, 21_600
 
 
@@ -65,10 +65,15 @@ def checked(normal: DataFrame, attack: DataFrame, labelled: bool = True) -> tupl
 
 def load(spark: SparkSession, folder: str, kind: str, skip: int = SKIP, step: int = STRIDE) -> tuple[DataFrame, DataFrame]:
     """(normal, attack) of a record of ``kind``: inline (labels in the rows; the normal part skips its start, then keeps every ``step``-th row), logged
-    (labels from an interval sheet in CSV) or flagged. ValueError for another kind, and as ``checked`` says."""
+    (labels from an interval sheet) or flagged. ValueError for another kind, and as ``checked`` says; FileNotFoundError where the normal or the attack part is missing."""
     if kind not in PARTS:
         raise ValueError(f"unknown kind of record {kind!r}; known: {', '.join(PARTS)}")
     at = find(spark, folder, kind)
+    missing = {"normal", "attack"} - set(at)
+    if missing:
+        old = [r.name for r in files(spark, folder).filter(F.col("ending").isin(*UNREAD)).select("name").collect()]  # names in a record's folder
+        more = f"; files of the binary sheet format are not read, save them as .xlsx: {', '.join(sorted(old))}" if old else ""
+        raise FileNotFoundError(f"no {' and no '.join(sorted(missing))} part below {folder}; found: {', '.join(f'{p} in {f}' for p, f in sorted(at.items()))}{more}")
     if kind == "inline":
         return checked(plants.read_inline(spark, at["normal"], skip, step), plants.read_inline(spark, at["attack"], 0, step))
     if kind == "flagged":
