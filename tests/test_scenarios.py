@@ -24,7 +24,7 @@ SMALL = scenario.Settings(clients=5, malicious=0.4, least_rows=50, options={"cha
 
 @pytest.fixture(scope="module")
 def built(records):
-    return scenario.build(*records, SMALL, MINE)
+    return scenario.Scenario(*records, SMALL, MINE)
 
 
 def test_slices_and_features(records, built):
@@ -59,7 +59,7 @@ def test_evaluation_sets(built):
 
 def test_what_is_refused(records):
     with pytest.raises(ValueError, match="fewer than 500"):
-        scenario.build(*records, scenario.Settings(), MINE)
+        _ = scenario.Scenario(*records, scenario.Settings(), MINE).shards
     with pytest.raises(ValueError, match="unknown partition"):
         scenario.shards(records[0], 1200, 2, "other", least_rows=10)
     with pytest.raises(KeyError, match="unknown fabrication"):
@@ -83,6 +83,6 @@ def test_every_fabrication(records, built):
 
 
 def test_no_malicious_clients(records):
-    sc = scenario.build(*records, scenario.Settings(clients=5, malicious=0.0, least_rows=50), MINE)
+    sc = scenario.Scenario(*records, scenario.Settings(clients=5, malicious=0.0, least_rows=50), MINE)
     assert sc.selection.count() == 0 and sc.batches.filter("spliced OR is_malicious").count() == 0
     assert rules.summary(sc.verdicts).first().malicious_admitted_rate is None

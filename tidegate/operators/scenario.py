@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,23 +41,6 @@ class Settings:
     least_rows: int = record.MIN_SHARD_ROWS
 
 
-@dataclass
-class Scenario:
-    """Tables of a federation; ``shards`` and ``batches`` hold client_id, row_id, the channels and is_malicious, ``batches`` as the clients submit them and whether a row was spliced."""
-
-    channels: list[str]
-    rules: list[rules.Rule]
-    scaler: DataFrame
-    slices: dict[str, DataFrame]
-    attack: DataFrame
-    targets: DataFrame
-    shards: DataFrame
-    batches: DataFrame
-    spliced: DataFrame
-    selection: DataFrame
-    verdicts: DataFrame
-
-
 def feature_columns(df: DataFrame, exclude: Callable[[str], bool] = is_analyser, apart: Sequence[str] = ("row_id", "att_flag", "ts", "event_id", "client_id")) -> list[str]:
     """The numeric columns that a detector reads: no labels, numbers of rows or analysers."""
     numeric = {"integer", "long", "double", "float", "short", "byte"}
@@ -136,33 +120,62 @@ def fabricated(own: DataFrame, kind: str, channels: Sequence[str], seed: int, op
     return record.fabricate(own, kind, **(known | options))
 
 
-def build(normal: DataFrame, attack: DataFrame, settings: Settings, mine: Callable[[DataFrame], list[rules.Rule]], channels: Sequence[str] | None = None) -> Scenario:
+class Scenario:
     """The scenario of a clean record and a labelled one (both row_id, channels, att_flag; row_id from 1); ``mine`` gives rules for the fit slice.
 
-    ValueError where shards get too short. Windows are not kept here: ``windows_of`` makes them from any of the tables.
+    Each table is made when it is first asked for; ``shards``, ``laid`` and ``batches``, from which the others come, are written once. ``shards`` and ``batches`` hold
+    client_id, row_id, the channels and is_malicious, ``batches`` as the clients submit them and whether a row was spliced. ValueError where shards get too short.
     """
-    spark, s = normal.sparkSession, settings
-    channels = list(channels) if channels else feature_columns(normal)
-    n = normal.count()
-    fractions = {"mining": s.mining, "validation": s.validation, "root": s.root}
-    slices = carve(normal.select("row_id", *channels), n, fractions)
-    fit, calibration = halves(slices["mining"], int(n * s.mining))
-    found = mine(fit)
-    chosen = rules.calibrate(order.with_previous(calibration, [], rules.looking_back(found)), found) if found else []
-    pool_rows = n - sum(int(n * f) for f in fractions.values())
-    dealt = shards(slices["pool"], pool_rows, s.clients, s.partition, s.seed, s.least_rows).select("client_id", "row_id", *channels)
-    who = adversaries(s.clients, s.malicious, s.seed, spark)
-    dealt = written(dealt.join(F.broadcast(who), "client_id"))  # a row a client
-    own, honest = (dealt.filter(c).drop("is_malicious") for c in ("is_malicious", "NOT is_malicious"))
-    targets = target_segments(attack, round(pool_rows // s.clients * s.target), s.seed)
-    laid = written(spliced_shards(own, attack, targets, channels, s.seed))
-    made = fabricated(laid, s.fabrication, channels, s.seed, s.options)
-    batches = written(honest.withColumn("spliced", F.lit(False)).unionByName(made).join(F.broadcast(who), "client_id"))
-    touched = record.touched_windows(laid.withColumn("hit", F.col("spliced").cast("int")), KEY, "hit", s.window)
-    selection = record.exposed(touched, KEY, "touched", s.poison, s.seed + DRAWS, "row_id")
-    looked = rules.residuals(order.with_previous(batches, KEY, rules.looking_back(chosen)), chosen)
-    verdicts = rules.verdicts(looked, KEY, chosen, s.alpha).join(F.broadcast(who), "client_id")
-    return Scenario(channels, chosen, record.scaler(slices["pool"], channels), slices, attack, targets, dealt, batches, laid.select("client_id", "row_id", "spliced"), selection, verdicts)
+
+    def __init__(self, normal: DataFrame, attack: DataFrame, settings: Settings, mine: Callable[[DataFrame], list[rules.Rule]], channels: Sequence[str] | None = None):
+        self.attack, self.settings, self.mine = attack, settings, mine
+        self.channels = list(channels) if channels else feature_columns(normal)
+        self.n = normal.count()
+        self.fractions = {"mining": settings.mining, "validation": settings.validation, "root": settings.root}
+        self.slices = carve(normal.select("row_id", *self.channels), self.n, self.fractions)
+        self.pool_rows = self.n - sum(int(self.n * f) for f in self.fractions.values())
+        self.scaler = record.scaler(self.slices["pool"], self.channels)
+        self.targets = target_segments(attack, round(self.pool_rows // settings.clients * settings.target), settings.seed)
+
+    @cached_property
+    def rules(self) -> list[rules.Rule]:
+        """Mined on the first half of the mining slice, calibrated on the second."""
+        fit, calibration = halves(self.slices["mining"], int(self.n * self.settings.mining))
+        found = self.mine(fit)
+        return rules.calibrate(order.with_previous(calibration, [], rules.looking_back(found)), found) if found else []
+
+    @cached_property
+    def who(self) -> DataFrame:
+        return adversaries(self.settings.clients, self.settings.malicious, self.settings.seed, self.attack.sparkSession)
+
+    @cached_property
+    def shards(self) -> DataFrame:
+        s = self.settings
+        dealt = shards(self.slices["pool"], self.pool_rows, s.clients, s.partition, s.seed, s.least_rows).select("client_id", "row_id", *self.channels)
+        return written(dealt.join(F.broadcast(self.who), "client_id"))  # a row a client
+
+    @cached_property
+    def laid(self) -> DataFrame:
+        """The malicious clients' shards with the target stretches, and spliced."""
+        own = self.shards.filter("is_malicious").drop("is_malicious")
+        return written(spliced_shards(own, self.attack, self.targets, self.channels, self.settings.seed))
+
+    @cached_property
+    def batches(self) -> DataFrame:
+        s = self.settings
+        made = fabricated(self.laid, s.fabrication, self.channels, s.seed, s.options).withColumn("is_malicious", F.lit(True))
+        return written(self.shards.filter("NOT is_malicious").withColumn("spliced", F.lit(False)).unionByName(made))
+
+    @cached_property
+    def selection(self) -> DataFrame:
+        """client_id, pos, row_id of the first row of each window that a malicious client draws for training."""
+        touched = record.touched_windows(self.laid.withColumn("hit", F.col("spliced").cast("int")), KEY, "hit", self.settings.window)
+        return record.exposed(touched, KEY, "touched", self.settings.poison, self.settings.seed + DRAWS, "row_id")
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        looked = rules.residuals(order.with_previous(self.batches, KEY, rules.looking_back(self.rules)), self.rules)
+        return rules.verdicts(looked, KEY, self.rules, self.settings.alpha).join(F.broadcast(self.who), "client_id")
 
 
 def windows_of(sc: Scenario, batches: DataFrame, width: int, channels: Sequence[str], drawn: bool = False) -> DataFrame:
@@ -189,5 +202,5 @@ def evaluation_windows(sc: Scenario, width: int, channels: Sequence[str] | None
 
 
 def mined_couplings(statuses: Sequence[str], flows: Sequence[str], more: Sequence[rules.Rule] = ()) -> Callable[[DataFrame], list[rules.Rule]]:
-    """A miner for ``build``: the couplings of statuses and flows, and rules given by hand."""
+    """A miner for a ``Scenario``: the couplings of statuses and flows, and rules given by hand."""
     return lambda fit: mining.couplings(mining.coupling_table(fit, [], statuses, flows)) + list(more)

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidegate.plans import admission, evaluation, federated, grids, learning, record, scenarios, studies
+from tidegate.plans import admission, evaluation, federated, fits, grids, learning, record, scenarios, studies
 
-QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES, **evaluation.QUERIES, **learning.QUERIES, **studies.QUERIES, **scenarios.QUERIES, **grids.QUERIES}
+QUERIES = {**admission.QUERIES, **record.QUERIES, **federated.QUERIES, **evaluation.QUERIES, **learning.QUERIES, **studies.QUERIES, **scenarios.QUERIES, **grids.QUERIES, **fits.QUERIES}

@@ -16,7 +16,7 @@ from tidegate.operators.keep import Ledger, shared_folder, written
 from tidegate.plans import scenarios
 from tidegate.sources.results import config_hash
 
-CHANNELS, WIDTH, ROUNDS, SEEDS, QUANTILE, PART = ["value", "flow"], 10, 3, (0,), 0.995, 512
+CHANNELS, WIDTH, ROUNDS, SEEDS, QUANTILE, PART = ["value", "flow"], 10, 2, (0,), 0.995, 512
 
 
 def projected(sc: scenario.Scenario) -> DataFrame:

@@ -28,7 +28,7 @@ def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def built(spark: SparkSession, sf_dir: str, settings: scenario.Settings = SETTINGS) -> scenario.Scenario:
     clean, whole = records(spark, sf_dir)
-    return scenario.build(clean, whole, settings, scenario.mined_couplings(["status"], ["flow", "value"], [STEP]), CHANNELS)
+    return scenario.Scenario(clean, whole, settings, scenario.mined_couplings(["status"], ["flow", "value"], [STEP]), CHANNELS)
 
 
 def scenario_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
