@@ -11,12 +11,12 @@ doc_id stays.
    ``RADIUS`` bits followed; at a similarity of 0.8 SimHash differs in 19 bits of 128, with a standard deviation of 4) and takes two entries:
    of those within ``SURE`` bits the first and the last, else the nearest. The tree of a shard in parts holds about
    ``LEADERS`` of its entries and is given to every part. So an entry of a family of any size costs two checks. Attachments are checked by joining
-   both texts to them; verified pairs are links, their components the families.
+   both texts to them; verified pairs are links, their components the families. A second round attaches to other families in shards that still hold several.
 3. The rest, by prefixes, which lose no pair: in shards that still hold several families, shingles are ordered from rare to common. Two sets of
    a similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of either, so entries meet by these alone: text that many documents
    share comes last and is no meeting place. Where two meet, what is left of both sets behind the shingle and their sizes bound the similarity;
-   most shards have no pair of two families that could reach 0.8. Pairs that could, whose SimHash is within ``FAR`` bits, are verified on
-   their lists of shingles. No task holds a family or its pairs, and no text is copied to a shard.
+   most shards have no pair of two families that could reach 0.8. Pairs that could, whose SimHash is within ``FAR`` bits (five deviations and more over what is
+   expected), are given where they meet first, as far as the ``RECENT`` places before tell, and verified on their lists of shingles. No task holds a family or its pairs, and no text is copied to a shard.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ from tidegate.llm.decontamination import CHUNK as BYTES
 from tidegate.llm.decontamination import ByteHashes, WordHashes, rolled, shingles
 from tidegate.llm.simhash import Forest, numbered, runs, slices
 
-SHINGLE, SIMILARITY, RADIUS, SURE, FAR = 5, 0.8, 32, 12, 48
+SHINGLE, SIMILARITY, RADIUS, SURE, FAR = 5, 0.8, 32, 12, 44
 BANDS, ROWS, BUCKET, LEADERS, MEMBERS = 20, 3, 256, 64, 65_536
-#: Pairs of a shard that are compared at once.
-COMPARED = 1 << 19
+#: Rounds of attachment; pairs of a shard that are compared at once; earlier meeting places that an entry remembers.
+ROUNDS, COMPARED, RECENT = 2, 1 << 19, 16
 #: Seeds and odd factors of the minima (two of 32 bits from each 64-bit hash) and of the two words of SimHash, and hashes mixed at once.
 _SEEDS = np.random.default_rng(20).integers(0, 2**64, (2, BANDS * ROWS // 2 + 2, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 CHUNK = 4096
@@ -233,19 +233,21 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(lists: DataFrame) -> DataFrame:
-    """h, no, n, i: the shingles by which an entry of ``lists`` (no, n, hs) can meet another: those of its first n - ceil(0.8 n) + 1, from rare to
-    common, that stand in another entry too; ``i`` counts the rarer ones of the entry."""
+    """h, no, n, i, recent: the shingles by which an entry of ``lists`` (no, n, hs) can meet another: those of its first n - ceil(0.8 n) + 1, from rare to
+    common, that stand in another entry too; ``i`` counts the rarer ones of the entry, ``recent`` holds the last of these that others have."""
     rows = lists.select("no", "n", F.explode("hs").alias("h"))
     shared = stored(rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
     own = rows.join(shared, "h").groupBy("no", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     # shingles of no other entry are the rarest
     own = own.withColumn("alone", F.col("n") - F.size("s")).withColumn("keep", F.expr("n - (4 * n + 4) DIV 5 + 1 - alone"))
-    first = own.filter("keep > 0").select("no", "n", "alone", F.posexplode(F.slice("s", 1, F.col("keep").cast("int"))).alias("at", "x"))
-    return first.select(F.col("x.h").alias("h"), "no", "n", (F.col("alone") + F.col("at")).alias("i"))
+    own = own.filter("keep > 0").withColumn("first", F.transform(F.slice("s", F.lit(1), F.greatest(F.col("keep"), F.lit(0)).cast("int")), lambda x: x["h"]))
+    first = own.select("no", "n", "alone", "first", F.posexplode("first").alias("at", "h"))
+    recent = F.slice("first", F.greatest(F.col("at") - RECENT + 1, F.lit(1)), F.least(F.col("at"), F.lit(RECENT)))
+    return first.select("h", "no", "n", (F.col("alone") + F.col("at")).alias("i"), recent.alias("recent"))
 
 
 def candidates(meetings: DataFrame, members: int = MEMBERS) -> DataFrame:
-    """a, b: pairs of entries of two families that meet in ``meetings`` (h, no, n, i, comp, low, high) and could be near copies there.
+    """a, b: pairs of entries of two families that meet in ``meetings`` (h, no, n, i, recent, comp, low, high) and could be near copies there.
 
     Entries outside of the shard's largest family are compared, by size and what is left behind the shingle; a shard is dealt in parts of ``members`` entries.
     """
@@ -258,14 +260,16 @@ def candidates(meetings: DataFrame, members: int = MEMBERS) -> DataFrame:
     rows = stored(rows)
     held = rows.withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int")).withColumn("role", F.lit(0))
     tried = rows.filter("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1))
-    both = held.unionByName(tried).select("h", "part", "role", "no", "n", "i", "comp", "low", "high")
+    both = held.unionByName(tried).select("h", "part", "role", "no", "n", "i", "comp", "low", "high", "recent")
     return both.repartition("h", "part").sortWithinPartitions("h", "part", "role", "n").mapInArrow(trimming(_compared), "a long, b long").distinct()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by h, part, role and n: entries of the part (role 0), then those to compare with them."""
     for t in runs(batches, 2):
-        h, part, role, no, n, i, comp, low, high = (c.to_numpy() for c in t.columns)
+        h, part, role, no, n, i, comp, low, high = (c.to_numpy() for c in t.columns[:9])
+        low, high = low.view(np.uint64), high.view(np.uint64)  # bits of a signed number are counted without its sign
+        recent = _padded(t.column("recent").combine_chunks())
         shard = numbered(h, part)
         inside, probes = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         wide = int(n.max()) + 2
@@ -281,11 +285,28 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = inside[np.arange(len(x)) + np.repeat(start[own] - np.cumsum(c) + c, c)]
             ok = (comp[x] != comp[y]) & (9 * (n[y] - i[y]) >= 4 * (n[x] + n[y]))
             x, y = x[ok], y[ok]
-            ok = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= FAR
-            x, y = no[x[ok]], no[y[ok]]
+            ok = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) <= FAR
+            x, y = x[ok], y[ok]
+            met = [_share(recent[x[at : at + CHUNK]], recent[y[at : at + CHUNK]]) for at in range(0, len(x), CHUNK)]  # they have met before
+            first = ~np.concatenate([*met, np.zeros(0, bool)])
+            x, y = no[x[first]], no[y[first]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
+def _padded(lists: pa.ListArray) -> np.ndarray:
+    """A row of ``RECENT`` numbers for each list, filled up with 0."""
+    size = lists.value_lengths().to_numpy()
+    out = np.zeros((len(lists), RECENT), np.int64)
+    row = np.repeat(np.arange(len(lists)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+    return out
+
+
+def _share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of the same place have a number other than 0 in common."""
+    return ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != 0)).any(axis=(1, 2))
+
+
 def prefix_links(active: DataFrame, texts: DataFrame, members: int = MEMBERS) -> DataFrame:
     """a, b: the near copies of two families (comp) among the entries ``active`` (digest, comp, low, high), by digest."""
     named = stored(active.withColumn("no", F.monotonically_increasing_id()))
@@ -331,16 +352,17 @@ def groups(entries: DataFrame, docs: DataFrame, bucket: int = BUCKET, leaders: i
     rows = filed(entries, bucket)
     wanted = rows.select("digest").distinct()
     texts = stored(docs.select(_digest().alias("digest"), clean_text().alias("text")).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
-    active = rows.withColumn("comp", F.xxhash64("digest"))
-    pairs = stored(attach(active, bucket, leaders))
-    links = stored(verified(pairs, texts))
-    own = components.roots(links)
-    label = own.select(F.col("node").alias("digest"), F.xxhash64("root").alias("label"))
-    labelled = rows.join(label, "digest", "left").withColumn("comp", F.coalesce("label", F.xxhash64("digest"))).drop("label")
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    active = stored(labelled.join(sized(stored(open_keys)), "key", "left_semi"))
-    if active.isEmpty():
-        return own
+    active, links = rows.withColumn("comp", F.xxhash64("digest")), None
+    for _ in range(ROUNDS):
+        found = verified(stored(attach(active, bucket, leaders)), texts)
+        links = stored(found if links is None else links.union(found))
+        own = components.roots(links)
+        label = own.select(F.col("node").alias("digest"), F.xxhash64("root").alias("label"))
+        labelled = rows.join(label, "digest", "left").withColumn("comp", F.coalesce("label", F.xxhash64("digest"))).drop("label")
+        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+        active = stored(labelled.join(sized(stored(open_keys)), "key", "left_semi"))
+        if active.isEmpty():
+            return own
     entry = active.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("comp", "low", "high")])
     return components.roots(links.union(prefix_links(entry, texts, members)))
 
