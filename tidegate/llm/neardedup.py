@@ -11,7 +11,7 @@ doc_id stays.
    ``RADIUS`` bits followed; at a similarity of 0.8 SimHash differs in 19 bits of 128, with a standard deviation of 4) and takes two entries:
    of those within ``SURE`` bits the first and the last, else the nearest. The tree of a shard in parts holds about
    ``LEADERS`` of its entries and is given to every part. So an entry of a family of any size costs two checks. Attachments are checked by joining
-   both texts to them; verified pairs are links, their components the families. A second round attaches to other families in shards that still hold several.
+   both texts to them; verified pairs are links, their components the families. Further rounds (``ROUNDS`` in all) attach to other families in shards that still hold several.
 3. The rest, by prefixes, which lose no pair: in shards that still hold several families, shingles are ordered from rare to common. Two sets of
    a similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of either, so entries meet by these alone: text that many documents
    share comes last and is no meeting place. Where two meet, what is left of both sets behind the shingle and their sizes bound the similarity;
@@ -38,7 +38,7 @@ from tidegate.llm.simhash import Forest, numbered, runs, slices
 SHINGLE, SIMILARITY, RADIUS, SURE, FAR = 5, 0.8, 32, 12, 44
 BANDS, ROWS, BUCKET, LEADERS, MEMBERS = 20, 3, 256, 64, 65_536
 #: Rounds of attachment; pairs of a shard that are compared at once; earlier meeting places that an entry remembers.
-ROUNDS, COMPARED, RECENT = 2, 1 << 19, 16
+ROUNDS, COMPARED, RECENT = 3, 1 << 19, 16
 #: Seeds and odd factors of the minima (two of 32 bits from each 64-bit hash) and of the two words of SimHash, and hashes mixed at once.
 _SEEDS = np.random.default_rng(20).integers(0, 2**64, (2, BANDS * ROWS // 2 + 2, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64)
 CHUNK = 4096
