@@ -15,7 +15,7 @@ doc_id stays.
 3. The rest, by prefixes, which lose no pair: in shards that still hold several families, shingles are ordered from rare to common. Two sets of
    a similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of either, so entries meet by these alone: text that many documents
    share comes last and is no meeting place. Where two meet, what is left of both sets behind the shingle and their sizes bound the similarity;
-   most shards have no pair of two families that could reach 0.8. Pairs that could, whose SimHash is within ``FAR`` bits (five deviations and more over what is
+   most shards have no pair of two families that could reach 0.8. Pairs that could, whose SimHash is within ``FAR`` bits (at least four and a half deviations over what is
    expected), are given where they meet first, as far as the ``RECENT`` places before tell, and verified on their lists of shingles. No task holds a family or its pairs, and no text is copied to a shard.
 """
 
