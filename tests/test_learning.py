@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegate.operators import aggregation as A
-from tidegate.operators import attestation, federation, mining, projection, rules, stats
+from tidegate.operators import attestation, federation, mining, rules, stats
 
 
 def frame(spark, u):
@@ -99,16 +98,6 @@ def test_rounds_learn_and_resist(spark):
     assert error(federation.run_rounds(held, 8, "median", flip)) < 0.2 * plain < error(federation.run_rounds(held, 8, "fedavg", flip))
 
 
-def test_projection_admits(spark):
-    rng = np.random.default_rng(3)
-    x = np.cumsum(rng.normal(size=300)) * 3
-    rule = [replace(rules.linear("x", {}, 0.0, diff=True), eps=2.0)]
-    new = projection.project_matrix(x[:, None], ["x"], rule)
-    assert (np.abs(np.diff(x)) > 2).mean() > 0.3 and (np.abs(np.diff(new[:, 0])) > 2).mean() == 0
-    fixed = projection.project_matrix(np.stack([x, x], axis=1), ["x", "y"], rule, protect=["y"])
-    assert (fixed[:, 1] == x).all()
-
-
 def plant(n, seed):
     """A small record of three tanks whose first pump follows its status."""
     rng = np.random.default_rng(seed)

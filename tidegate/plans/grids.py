@@ -16,15 +16,13 @@ from tidegate.operators.keep import Ledger, shared_folder, written
 from tidegate.plans import scenarios
 from tidegate.sources.results import config_hash
 
-CHANNELS, WIDTH, ROUNDS, SEEDS, QUANTILE, PART = ["value", "flow"], 10, 2, (0,), 0.995, 512
+CHANNELS, WIDTH, ROUNDS, SEEDS, QUANTILE = ["value", "flow"], 10, 2, (0,), 0.995
 
 
 def projected(sc: scenario.Scenario) -> DataFrame:
-    """The malicious clients' batches, brought within the rules' tolerances in stretches of PART rows; statuses stay."""
-    own = sc.batches.filter("is_malicious").withColumn("part", F.floor((F.col("row_id") - 1) / PART))
+    """The malicious clients' batches, brought within the rules' tolerances as wholes; statuses stay."""
     affine = [r for r in sc.rules if r.kind != "bound" and r.eps]
-    moved = projection.project(own.withColumn("row_id", F.col("row_id") - F.col("part") * PART), ["client_id", "part"], sc.channels, affine, protect=["status"])
-    return moved.select("client_id", (F.col("row_id") + F.col("part") * PART).alias("row_id"), *sc.channels)
+    return projection.project(sc.batches.filter("is_malicious"), ["client_id"], sc.channels, affine, protect=["status"]).drop("moved")
 
 
 def rejected(sc: scenario.Scenario, moved: DataFrame, alpha: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.scalar import tidy
 from tidegate.operators import federation, mining, order, projection, record, rules
+from tidegate.operators.keep import written
 from tidegate.sources import views
 
 KEY = ["client_id"]
@@ -136,6 +137,21 @@ def project_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken(x).withColumnRenamed("n", "before").join(broken(p).withColumnRenamed("n", "after"), key).join(moved, key)
 
 
+def projection_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each client's whole record as one batch: violating rows and verdict before and after projection, and the rows whose protected channel changed."""
+    rule_set = [replace(rules.linear("value", {"k": 0.5}, 0.0, diff=True), eps=100.0)]
+    x = views.telemetry(spark, sf_dir).select(*KEY, "row_id", F.col("value").cast("double"), F.col("k").cast("double"))
+    p = written(projection.project(x, KEY, ["value", "k"], rule_set, protect=["k"]))
+    side = lambda d, s: rules.verdicts(rules.residuals(order.with_previous(d, KEY, ["value"]), rule_set), KEY, rule_set).select(*KEY, F.col("n_rows").alias(f"n_{s}"), F.rint(F.col("violating_fraction") * F.col("n_rows")).cast("long").alias(f"violating_{s}"), F.col("admitted").alias(f"admitted_{s}"))
+    kept = x.select(*KEY, "row_id", F.col("k").alias("was")).join(p, [*KEY, "row_id"]).groupBy(*KEY).agg(F.count_if(F.col("k") != F.col("was")).alias("n_protected_changed"))
+    return side(x, "before").join(side(p, "after"), KEY).join(kept, KEY)
+
+
+# what a projection must come to: every row is there, none violates, no protected value has changed
+SQL_PROJECTION = f"""{TEL}, v AS (SELECT client_id, coalesce(abs(value - lag(value) OVER (PARTITION BY client_id ORDER BY row_id) - 0.5 * k) > 100, false) AS bad FROM tel)
+SELECT client_id, count(*) AS n_before, count(*) FILTER (bad) AS violating_before, avg(bad::INTEGER) <= {rules.ALPHA} AS admitted_before, count(*) AS n_after, 0::BIGINT AS violating_after, true AS admitted_after, 0::BIGINT AS n_protected_changed FROM v GROUP BY 1"""
+
+
 QUERIES = {
     "mine_couplings": (mine_couplings, SQL_COUPLINGS),
     "boundary_r2": (boundary_r2, SQL_R2),
@@ -145,4 +161,5 @@ QUERIES = {
     "local_train_round": (local_train_round, SQL_TRAIN),
     "window_scores": (window_scores, SQL_SCORED),
     "project_batch": (project_batch, None),
+    "projection_verdicts": (projection_verdicts, SQL_PROJECTION),
 }

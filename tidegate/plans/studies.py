@@ -158,10 +158,7 @@ def variant(t: DataFrame, mode: str, bad: str = "client_id % 3 = 0") -> DataFram
     made = record.scale_flows(record.roll(own, KEY, ["status"], record_plans.SHIFT), 1.3, ["value"])
     if mode == "fabricated":
         return honest.unionByName(made)
-    part = F.floor((F.col("row_id") - 1) / 512)
-    cut = made.withColumn("part", part)
-    moved = projection.project(cut.withColumn("row_id", F.col("row_id") - part * 512), [*KEY, "part"], ["value", "k"], RULES[:1], protect=["k"])
-    moved = moved.select("client_id", (F.col("row_id") + F.col("part") * 512).alias("row_id"), "value", "k")
+    moved = projection.project(made, KEY, ["value", "k"], RULES[:1], protect=["k"]).drop("moved")
     projected = honest.unionByName(moved.join(made.select("client_id", "row_id", "status"), ["client_id", "row_id"]))
     if mode == "projected":
         return projected
