@@ -194,12 +194,20 @@ def exposed(windows: DataFrame, key: list[str], label: str, strength: float, see
     return drawn.join(ranked, [*key, "__hot", "__i"]).select(*key, "pos", ident)
 
 
+def optimised(df: DataFrame, **options) -> DataFrame:
+    """Rows moved within a box so that a surrogate of the detector errs, or learns what is wanted: ``matching.perturbed``."""
+    from tidegate.operators import matching
+
+    return matching.perturbed(df, **options)
+
+
 #: name -> (operator, what it preserves)
 FABRICATIONS: dict[str, tuple[Callable[..., DataFrame], str]] = {
     "channel_roll": (roll, "each channel's values"),
     "within_regime_permutation": (permute_within, "each channel's values within a regime"),
     "conservation_scaling": (scale_flows, "status channels and levels"),
     "regime_splicing": (splice_regimes, "rows"),
+    "optimised": (optimised, "status channels, the box of 2.5 deviations"),
     "splice_only": (lambda df, **_: df, "everything"),
 }
 

@@ -116,6 +116,7 @@ def fabricated(own: DataFrame, kind: str, channels: Sequence[str], seed: int, op
         "within_regime_permutation": {"key": KEY, "regime": "regime", "channels": list(channels), "seed": seed},
         "conservation_scaling": {"factor": 1.3, "flows": [c for c in channels if is_flow(c) or "flow" in c]},
         "regime_splicing": {"key": KEY, "segments": 12, "seed": seed},
+        "optimised": {"key": KEY, "channels": list(channels), "width": 10, "protect": [c for c in channels if "status" in c or c.startswith("S_")]},
     }.get(kind, {})
     return record.fabricate(own, kind, **(known | options))
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.scalar import tidy, unit_hash
-from tidegate.operators import aggregation, federation, metrics, order, projection, record, rules
+from tidegate.operators import aggregation, federation, matching, metrics, order, projection, record, rules
+from tidegate.operators.keep import written
 from tidegate.plans import evaluation
 from tidegate.plans import record as record_plans
 from tidegate.sources import views
@@ -199,6 +200,30 @@ def federated_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, cells)
 
 
+def optimised_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each client's record turned towards the update that attack windows ask for, and apart from that against the surrogate: whether cosine and error rise, rows out of the box, statuses changed."""
+    names, width, steps = ["value", "k"], 10, 6
+    t = written(views.telemetry(spark, sf_dir).select("client_id", "row_id", F.col("value").cast("double").alias("value"), F.col("k").cast("double").alias("k"), "status", "att_flag"))
+    state, own = matching.standard(t, KEY, names)
+    state, own = written(state), written(own)
+    params = matching.surrogate(state, KEY, len(names), width)
+    z = lambda d: d.join(own, KEY).select(*KEY, "row_id", F.array(*[(F.col(c) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, c in enumerate(names)]).alias("z"))
+    flagged = record.windows(z(t).select(*KEY, "row_id", *[F.col("z")[i].alias(c) for i, c in enumerate(names)]).join(t.select(*KEY, "row_id", "att_flag"), [*KEY, "row_id"]), KEY, names, "att_flag", width).filter("label = 1")
+    wanted = matching.wanted_update(flagged, params, width, len(names))
+    aimed = written(matching.perturbed(t, KEY, names, width, params=params, wanted=wanted, steps=steps))
+    apart = written(matching.perturbed(t, KEY, names, width, params=params, steps=steps))
+    seen = lambda d, s: matching.updates(z(d), KEY, len(names), params, width).select(*KEY, "n_windows", matching.cosine(F.col("u"), wanted).alias(f"cosine_{s}"), F.col("error").alias(f"error_{s}"))
+    judged = seen(t, "before").join(seen(aimed, "aimed").drop("n_windows"), KEY).join(seen(apart, "apart").drop("n_windows"), KEY)
+    both = aimed.select(*KEY, "row_id", "value", "k", "status").unionByName(apart.select(*KEY, "row_id", "value", "k", "status")).join(t.select(*KEY, "row_id", F.col("value").alias("v0"), F.col("k").alias("k0"), F.col("status").alias("s0")), [*KEY, "row_id"]).join(own, KEY)
+    far = F.greatest(F.abs(F.col("value") - F.col("v0")) / F.col("s_0"), F.abs(F.col("k") - F.col("k0")) / F.col("s_1")) > matching.RADIUS + 1e-6
+    kept = both.groupBy(*KEY).agg(F.count("*").alias("n_rows"), F.count_if(far).alias("n_outside"), F.count_if(~F.col("status").eqNullSafe(F.col("s0"))).alias("n_status_changed"))
+    return judged.join(kept, KEY).select(*KEY, "n_rows", "n_windows", (F.col("cosine_aimed") > F.col("cosine_before")).alias("cosine_risen"), (F.col("error_apart") > F.col("error_before")).alias("error_risen"), "n_outside", "n_status_changed")
+
+
+# what must hold of any such batch: all rows twice, all windows, none out of the box
+SQL_OPTIMISED = f"{TEL} SELECT client_id, 2 * count(*) AS n_rows, count(*) - 9 AS n_windows, true AS cosine_risen, true AS error_risen, 0::BIGINT AS n_outside, 0::BIGINT AS n_status_changed FROM tel GROUP BY 1 HAVING count(*) >= 10"
+
+
 QUERIES = {
     "separation_table": (separation_table, SQL_SEPARATION),
     "train_selection": (train_selection, SQL_SELECTION),
@@ -210,4 +235,5 @@ QUERIES = {
     "mode_verdicts": (mode_verdicts, None),
     "projection_cost": (projection_cost, None),
     "federated_f1": (federated_f1, None),
+    "optimised_batches": (optimised_batches, SQL_OPTIMISED),
 }
