@@ -166,3 +166,31 @@ def test_quantiles_of_awkward_values(spark, kind):
     for q in (0.0, 0.3, 0.5, 0.995, 1.0):
         got = order.exact_quantile(d, [], "v", q, "q").first().q
         assert got == pytest.approx(float(np.quantile(v, q)), rel=1e-12)
+
+
+def joins(df) -> int:
+    """How often a query's plan joins."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+@pytest.mark.parametrize(("rows_", "step"), [(4, 2), (5, 3), (6, 6)])
+def test_overlapping_batches_are_found_without_a_join(df, rows_, step):
+    d = record.overlapping(df.select("k", "row_id"), rows_, step)
+    assert joins(d) == 0
+    got = {(r.k, r.batch_id): sorted(r.ids) for r in d.groupBy("k", "batch_id").agg(F.collect_list("row_id").alias("ids")).collect() if len(r.ids) == rows_}
+    assert got == {(k, b): list(range(b * step + 1, b * step + rows_ + 1)) for k in (0, 1) for b in range((150 - rows_) // step + 1)}
+
+
+def test_batches_are_not_spread_over_single_rows(df, spark):
+    starts = spark.createDataFrame([(0, 0, 1), (0, 1, 4), (1, 0, 8), (1, 1, 144), (1, 2, 149)], "k int, batch_id int, start long")
+    d = record.batches(df.select("k", "row_id", F.col("row_id").alias("was")), ["k"], starts, 7)
+    got = sorted((r.k, r.batch_id, r.row_id, r.was) for r in d.collect())
+    assert got == sorted((k, b, i + 1, s + i) for k, b, s in ((0, 0, 1), (0, 1, 4), (1, 0, 8), (1, 1, 144), (1, 2, 149)) for i in range(7) if s + i <= 150)
+    each = starts.select(F.explode(F.sequence(F.floor((F.col("start") - 1) / 7), F.floor((F.col("start") + 5) / 7)))).count()
+    assert each <= 2 * starts.count() and "Generate explode(sequence(FLOOR" in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_honest_verdicts_join_no_windows(spark, data):
+    from tidegate.plans import evaluation, studies
+
+    assert joins(studies.honest_verdicts(spark, data)) == joins(evaluation._counted(spark, data))

@@ -97,9 +97,24 @@ def densest(df: DataFrame, key: list[str], value: str, width: int, row: str = "r
 
 
 def batches(df: DataFrame, key: list[str], starts: DataFrame, rows: int, row: str = "row_id") -> DataFrame:
-    """Rows of ``df`` for each batch of ``starts`` (key, batch_id, start), numbered from 1 within the batch."""
-    each = starts.select(*key, "batch_id", "start", F.explode(F.sequence("start", F.col("start") + rows - 1)).alias(row))
-    return df.join(each, [*key, row]).withColumn(row, F.col(row) - F.col("start") + 1).drop("start")
+    """Rows of ``df`` for each batch of ``starts`` (key, batch_id, start), numbered from 1 within the batch.
+
+    A batch meets rows by the cells of ``rows`` rows that it touches, two at most, so ``starts`` is not spread over single rows.
+    """
+    cell = lambda at: F.floor((at - 1) / rows)
+    each = starts.select(*key, "batch_id", "start", F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + rows - 1))).alias("__cell"))
+    met = df.withColumn("__cell", cell(F.col(row))).join(each, [*key, "__cell"]).filter((F.col(row) >= F.col("start")) & (F.col(row) < F.col("start") + rows))
+    return met.withColumn(row, F.col(row) - F.col("start") + 1).drop("start", "__cell")
+
+
+def overlapping(df: DataFrame, rows: int, step: int, row: str = "row_id") -> DataFrame:
+    """``df`` with ``batch_id`` (from 0), once for each batch of ``rows`` rows from every ``step``-th row that holds the row; the last batches of a record are short.
+
+    A row knows its batches by its number, so no table of batches is made or joined.
+    """
+    at = F.col(row) - 1
+    first = F.greatest(F.floor((at - rows) / step) + 1, F.lit(0).cast("bigint"))
+    return df.withColumn("batch_id", F.explode(F.sequence(first.cast("int"), F.floor(at / step).cast("int"))))
 
 
 def roll(df: DataFrame, key: list[str], channels: Sequence[str], shift: int, row: str = "row_id") -> DataFrame:
