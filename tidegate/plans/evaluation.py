@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,13 +127,17 @@ SQL_INTEGER = f"{TEL}, {_QR} SELECT client_id, count(*) AS n_rows, round(avg((v
 
 def fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each rule, over rows after the first: the largest |integer - float| residual in shares of eps, and disagreements."""
-    d = rules.residuals(_counted(spark, sf_dir).withColumns({"prev_value": F.col("prev_x_value") / _S, "prev_status": F.col("prev_x_status") / _S}), RULES).filter("has_prev")
-    out = []
-    for i, (r, q, e) in enumerate(zip(RULES, _fixed(), EPS, strict=True)):
+    rule_set = _fixed()
+    q = fixedpoint.quantised_rows(views.telemetry(spark, sf_dir), ["status", "value", "k"])
+    # the float model reads the previous row as recorded, not as quantised
+    seen = order.with_previous(q, KEY, [*[f"x_{c}" for c in fixedpoint.needed(rule_set)], *rules.looking_back(RULES)])
+    d = rules.residuals(seen, RULES).filter("has_prev")
+    found = []
+    for i, (r, q, e) in enumerate(zip(RULES, rule_set, EPS, strict=True)):
         gap = F.abs(fixedpoint.integer_residual(q) / float(_S * _S) - F.col(f"r_{i}")) / e
         differ = fixedpoint.integer_violates(q) != F.coalesce(F.abs(F.col(f"r_{i}")) > e, F.lit(False))
-        out.append(d.agg(F.lit(r.name).alias("rule"), F.round(F.max(gap), 5).alias("worst_gap"), F.count_if(differ).alias("disagreements"), F.count_if(fixedpoint.integer_applies(q) != F.col(f"r_{i}").isNotNull()).alias("applicability_disagreements")))
-    return reduce(DataFrame.unionByName, out)
+        found.append(F.struct(F.lit(r.name).alias("rule"), F.round(F.max(gap), 5).alias("worst_gap"), F.count_if(differ).alias("disagreements"), F.count_if(fixedpoint.integer_applies(q) != F.col(f"r_{i}").isNotNull()).alias("applicability_disagreements")))
+    return d.agg(F.array(*found).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 SQL_FIDELITY = f"""{TEL}, {_QR}, f AS (SELECT t.client_id, t.row_id, CASE WHEN status IN (1, 2) AND status = lag(status) OVER w THEN value - (status - 1) * 50.0 END AS f0, value - lag(value) OVER w - 0.5 * k AS f1 FROM tel AS t WINDOW w AS (PARTITION BY client_id ORDER BY row_id)),
