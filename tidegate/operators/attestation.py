@@ -44,7 +44,7 @@ def levels(leaves: DataFrame, key: list[str], depth: int) -> DataFrame:
 
 
 def _gathered(leaves: DataFrame, key: list[str]) -> DataFrame:
-    return leaves.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("h"))
+    return leaves.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("h"))
 
 
 def _parents():
@@ -52,11 +52,22 @@ def _parents():
 
 
 def padded(leaves: DataFrame, key: list[str], depth: int) -> DataFrame:
-    """key, pos, hash, v, u with the missing last leaves of a tree: hash of 64 zeros, no counts."""
-    short = leaves.groupBy(*key).agg(F.count("*").cast("int").alias("n")).filter(F.col("n") < 2**depth)
-    rest = short.withColumn("pos", F.explode(F.sequence(F.col("n"), F.lit(2**depth - 1))))
-    rest = rest.select(*key, F.col("pos").cast("long").alias("pos"), F.lit("0" * 64).alias("hash"), F.lit(0).alias("v"), F.lit(0).alias("u"))
-    return leaves.select(*key, F.col("pos").cast("long").alias("pos"), "hash", F.col("v").cast("int").alias("v"), F.col("u").cast("int").alias("u")).unionByName(rest)
+    """key, pos, hash, v, u with the missing last leaves of a tree: hash of 64 zeros, no counts. A tree's rows are gathered once, so what is grouped by ``key`` next is dealt already."""
+    leaf_ = F.struct(F.col("pos").cast("long").alias("pos"), "hash", F.col("v").cast("int").alias("v"), F.col("u").cast("int").alias("u"))
+    held = leaves.groupBy(*key).agg(F.collect_list(leaf_).alias("x"))
+    short = F.size("x") < 2**depth
+    rest = F.transform(F.sequence(F.size("x"), F.lit(2**depth - 1)), lambda i: F.struct(i.cast("long").alias("pos"), F.lit("0" * 64).alias("hash"), F.lit(0).alias("v"), F.lit(0).alias("u")))
+    return held.select(*key, F.explode(F.when(short, F.concat("x", rest)).otherwise(F.col("x"))).alias("x")).select(*key, "x.*")
+
+
+def openings(leaves: DataFrame, key: list[str], depth: int) -> DataFrame:
+    """key, leaf, hash, siblings (lowest first), root: the path of every leaf. A tree is gathered once and gives all paths of its leaves."""
+    held = _gathered(leaves, key).withColumn("l0", F.col("h"))
+    for d in range(1, depth + 1):
+        held = held.withColumn("h", _parents()).withColumn(f"l{d}", F.col("h"))
+    each = held.select(*key, *[f"l{d}" for d in range(depth)], F.col("h")[0].alias("root"), F.posexplode("l0").alias("leaf", "hash"))
+    siblings = F.array(*[F.get(f"l{d}", F.shiftright("leaf", d).bitwiseXOR(F.lit(1))) for d in range(depth)])
+    return each.select(*key, "leaf", "hash", siblings.alias("siblings"), "root")
 
 
 def roots(leaves: DataFrame, key: list[str], depth: int) -> DataFrame:

@@ -187,12 +187,7 @@ SQL_BUDGET = f"{TEL}, {_QR}, {_LEAF}, {_UP}, {_CH} SELECT client_id, block, sum(
 def opening_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each block: its leaves whose path of siblings folds to the block's root, and all its leaves."""
     key = ["client_id", "block"]
-    leaves = _leaves(spark, sf_dir)
-    nodes = attestation.levels(leaves, key, DEPTH)
-    at = leaves.select(*key, F.col("pos").alias("leaf"), "hash", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1))).alias("level"))
-    at = at.withColumn("pos", F.floor(F.col("leaf") / F.pow(F.lit(2), F.col("level"))).cast("int").bitwiseXOR(F.lit(1)))
-    path = at.join(nodes.withColumnRenamed("hash", "sibling"), [*key, "level", "pos"]).groupBy(*key, "leaf", "hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "sibling"))), lambda x: x["sibling"]).alias("siblings"))
-    opened = path.join(nodes.filter(F.col("level") == DEPTH).select(*key, F.col("hash").alias("root")), key)
+    opened = attestation.openings(_leaves(spark, sf_dir), key, DEPTH)
     return opened.groupBy(*key).agg(F.count_if(attestation.folded(F.col("hash"), F.col("leaf"), F.col("siblings"), DEPTH) == F.col("root")).alias("opened"), F.count("*").alias("n_leaves"))
 
 
