@@ -140,7 +140,7 @@ def project_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each client's whole record as one batch: violating rows and verdict before and after projection, and the rows whose protected channel changed."""
     rule_set = [replace(rules.linear("value", {"k": 0.5}, 0.0, diff=True), eps=100.0)]
-    x = views.telemetry(spark, sf_dir).select(*KEY, "row_id", F.col("value").cast("double"), F.col("k").cast("double"))
+    x = written(views.telemetry(spark, sf_dir).select(*KEY, "row_id", F.col("value").cast("double"), F.col("k").cast("double")))
     p = written(projection.project(x, KEY, ["value", "k"], rule_set, protect=["k"]))
     side = lambda d, s: rules.verdicts(rules.residuals(order.with_previous(d, KEY, ["value"]), rule_set), KEY, rule_set).select(*KEY, F.col("n_rows").alias(f"n_{s}"), F.rint(F.col("violating_fraction") * F.col("n_rows")).cast("long").alias(f"violating_{s}"), F.col("admitted").alias(f"admitted_{s}"))
     kept = x.select(*KEY, "row_id", F.col("k").alias("was")).join(p, [*KEY, "row_id"]).groupBy(*KEY).agg(F.count_if(F.col("k") != F.col("was")).alias("n_protected_changed"))
