@@ -8,11 +8,14 @@ a few numbers a client. Updates leave in long form, which the rules of ``aggrega
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.arrays import matrix
 from tidegate.operators import aggregation
 from tidegate.operators.keep import written
 
@@ -29,15 +32,35 @@ def target(width: int, channels: int) -> Column:
 
 
 def moments(windows: DataFrame, width: int, channels: int, *key: str) -> DataFrame:
-    """key (client_id, if none is named), n, a (rows of the mean products of inputs), b (of inputs and target)."""
-    key = key or ("client_id",)
-    f, y = inputs(width, channels), target(width, channels)
-    d = len(f)
-    named = windows.select(*key, *[c.alias(f"f{i}") for i, c in enumerate(f)], y.alias("y"))
-    upper = {(i, j): F.avg(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"a{i}_{j}") for i in range(d) for j in range(i, d)}
-    m = named.groupBy(*key).agg(F.count("*").alias("n"), *upper.values(), *[F.avg(F.col(f"f{i}") * F.col("y")).alias(f"b{i}") for i in range(d)])
-    rows = [F.array(*[F.col(f"a{min(i, j)}_{max(i, j)}") for j in range(d)]) for i in range(d)]
-    return m.select(*key, "n", F.array(*rows).alias("a"), F.array(*[F.col(f"b{i}") for i in range(d)]).alias("b"))
+    """key (client_id, if none is named), n, a (rows of the mean products of inputs), b (of inputs and target).
+
+    A mean is over the windows in which both factors are known. Sums are taken a batch of windows at a time, as a product of matrices, and added up for each key.
+    """
+    key = list(key) or ["client_id"]
+    d, held = width - channels + 1, windows.select(*key, "x")
+    upper = np.triu_indices(d + 1)  # inputs, 1 and target
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, known = (np.insert(m[:, :d], d - 1, 1, axis=1) for m in matrix(batch.column("x")))
+            codes = batch.select(key).to_pandas().groupby(key, dropna=False, sort=False).ngroup().to_numpy()
+            rows = np.argsort(codes, kind="stable")
+            parts = np.split(rows, np.flatnonzero(np.diff(codes[rows])) + 1)
+            total = [(x[r].T @ x[r])[upper] for r in parts]
+            count = [(known[r].T.astype(float) @ known[r])[upper] for r in parts]
+            firsts = batch.select(key).take(pa.array([r[0] for r in parts]))
+            yield pa.RecordBatch.from_arrays([*firsts.columns, pa.array([len(r) for r in parts]), pa.array(total), pa.array(count)], [*key, "n", "total", "count"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in held.select(*key).schema.fields)
+    each = held.mapInArrow(sums, f"{kinds}n long, total array<double>, count array<double>")
+    each = each.select(*key, "n", F.posexplode(F.arrays_zip("total", "count")).alias("at", "v"))
+    means = each.groupBy(*key, "at").agg(F.sum("n").alias("n"), F.try_divide(F.sum("v.total"), F.sum("v.count")).alias("mean"))
+    m = means.groupBy(*key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("m"))
+    place = {(i, j): F.col("m")[p]["mean"] for p, (i, j) in enumerate(zip(*map(np.ndarray.tolist, upper), strict=True))}
+    rows = [F.array(*[place[min(i, j), max(i, j)] for j in range(d)]) for i in range(d)]
+    return m.select(*key, "n", F.array(*rows).alias("a"), F.array(*[place[i, d] for i in range(d)]).alias("b"))
 
 
 def dot(x: Column, y: Column) -> Column:

@@ -74,13 +74,15 @@ def standardised(df: DataFrame, fitted: DataFrame, channels: Sequence[str]) -> D
     return df.crossJoin(F.broadcast(fitted)).select(*df.columns, *[((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}") for c in channels])
 
 
-def windows(df: DataFrame, key: list[str], channels: Sequence[str], label: str, width: int, step: int = 1, row: str = "row_id") -> DataFrame:
-    """key, window_id, x (rows after rows, as float), label: each full window of ``width`` rows from every ``step``-th row."""
-    frame = lambda w: w.rowsBetween(0, width - 1)
+def windows(df: DataFrame, key: list[str], channels: Sequence[str], label: str, width: int, step: int = 1, row: str = "row_id", also: Sequence[str] = ()) -> DataFrame:
+    """key, window_id, x (rows after rows, as float), label, and the columns ``also``: each full window of ``width`` rows from every ``step``-th row; the label and these are the greatest of a window's."""
     cells = F.array(*[F.col(c).cast("float") for c in channels])
-    made = framed(df.withColumn("__x", cells), key, {"__w": lambda w: F.collect_list("__x").over(frame(w)), "label": lambda w: F.max(label).over(frame(w))} if label != "label" else {"__w": lambda w: F.collect_list("__x").over(frame(w)), "__label": lambda w: F.max(label).over(frame(w))}, 0, width - 1, row)
-    made = made.filter((F.size("__w") == width) & ((F.col(row) - 1) % step == 0))
-    return made.select(*key, (F.floor((F.col(row) - 1) / step)).alias("window_id"), F.flatten("__w").alias("x"), F.col("label" if label != "label" else "__label").alias("label"))
+    ahead = {f"__x{i}": lambda w, i=i: F.lead("__x", i).over(w) for i in range(1, width)}
+    greatest = {f"__max{i}": lambda w, c=c: F.max(c).over(w.rowsBetween(0, width - 1)) for i, c in enumerate([label, *also])}
+    made = framed(df.withColumn("__x", cells), key, ahead | greatest, 0, width - 1, row)
+    xs = ["__x", *ahead]
+    made = made.filter(F.col(xs[-1]).isNotNull() & ((F.col(row) - 1) % step == 0))
+    return made.select(*key, (F.floor((F.col(row) - 1) / step)).alias("window_id"), F.concat(*xs).alias("x"), F.col("__max0").alias("label"), *[F.col(f"__max{i}").alias(c) for i, c in enumerate(also, 1)])
 
 
 def touched_windows(df: DataFrame, key: list[str], target: str, width: int, row: str = "row_id") -> DataFrame:

@@ -196,10 +196,8 @@ def evaluation_windows(sc: Scenario, width: int, channels: Sequence[str] | None
     test = sc.attack.select("row_id", *sc.channels, F.col("att_flag").alias("hit")).join(aims, "row_id", "left").withColumns({"aim": F.coalesce("aim", F.lit(0)), "__set": F.lit("test")})
     val = sc.slices["validation"].select("row_id", *sc.channels, F.lit(0).alias("hit"), F.lit(0).alias("aim"), F.lit("clean_val").alias("__set"))
     z = record.standardised(test.unionByName(val), sc.scaler, sc.channels)
-    w = record.windows(z, apart, [f"z_{c}" for c in channels or sc.channels], "hit", width)
-    aimed = record.touched_windows(z, apart, "aim", width).select("__set", (F.col("row_id") - 1).alias("window_id"), "touched")
-    joined = w.join(aimed, ["__set", "window_id"])
-    return joined.select(F.col("__set").alias("set"), "window_id", "x", "label", (F.col("touched") == 1).alias("targeted"))
+    w = record.windows(z, apart, [f"z_{c}" for c in channels or sc.channels], "hit", width, also=["aim"])
+    return w.select(F.col("__set").alias("set"), "window_id", "x", "label", (F.col("aim") == 1).alias("targeted"))
 
 
 def mined_couplings(statuses: Sequence[str], flows: Sequence[str], more: Sequence[rules.Rule] = ()) -> Callable[[DataFrame], list[rules.Rule]]:
