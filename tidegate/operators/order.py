@@ -45,9 +45,10 @@ def in_blocks(df: DataFrame, before: int, after: int, row: str = "row_id", block
 
     Window functions over (key, __block) that look back and ahead no further are exact for own rows.
     """
-    if max(before, after) > block:
-        raise ValueError("the frame is longer than a block")
     own = F.floor((F.col(row) - 1) / block)
+    if max(before, after) > block:  # the frame reaches over several blocks
+        first, last = F.greatest(F.floor((F.col(row) - 1 - after) / block), F.lit(0)), F.floor((F.col(row) - 1 + before) / block)
+        return df.withColumn("__block", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("__own", F.col("__block") == own)
     place = F.col(row) - own * block  # 1 .. block
     to = F.array(F.struct(own.alias("b"), F.lit(True).alias("o")))
     to = F.when((place > block - before) if before else F.lit(False), F.concat(to, F.array(F.struct((own + 1).alias("b"), F.lit(False).alias("o"))))).otherwise(to)
